@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shopledger.functions.columns import count_where
+from shopledger.functions.columns import count_where, month_in
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
@@ -111,7 +112,29 @@ def left_join_optional(
     ).drop(right_key)
 
 
-# --- year pairing -----------------------------------------------------------
+# --- cohorts and year pairing -----------------------------------------------------------
+
+
+def first_event_cohort(
+    events: DataFrame,
+    entity: str,
+    day: str,
+    month: str,
+    periods: Mapping[int, Sequence[date]],
+) -> DataFrame:
+    """(entity, first_day, period): each period an entity was active in, and its first day ever.
+
+    ``periods`` maps a period to its month starts. One aggregation by entity,
+    combined before the shuffle, gives both, so the events of one entity are
+    never gathered nor joined back to themselves.
+    """
+    active = {p: F.bool_or(month_in(F.col(month), months)) for p, months in periods.items()}
+    history = events.groupBy(entity).agg(
+        F.min(day).alias("first_day"),
+        *[was_active.alias(f"active_{p}") for p, was_active in active.items()],
+    )
+    seen = F.array(*[F.when(F.col(f"active_{p}"), F.lit(p)) for p in periods])
+    return history.select(entity, "first_day", F.explode(F.array_compact(seen)).alias("period"))
 
 
 def pivot_max(

@@ -9,10 +9,9 @@ and region of a customer, so a hot source key costs nothing extra.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from shopledger.sources.tables import SCHEMAS, ShopTables
 
@@ -21,27 +20,27 @@ DAYS_FORWARD = 10_227
 UNKNOWN_KEY_OFFSET = 1_000_000_000
 
 # Raw spelling of the shipping region by order key modulo 19.
-RAW_REGIONS = {
-    0: "Dnipropetrovsk",
-    1: "dnipropetrovska",
-    2: "Ivano-Frankivsk",
-    3: "ivano  frankivsk",
-    4: "Kharkiv",
-    5: "KHARKIV",
-    6: "Kyiv",
-    7: "Kyiv-City",
-    8: " Lviv ",
-    9: "Odesa",
-    10: "Odessa",
-    11: "Poltava",
-    12: "Vinnytsia",
-    13: "Zaporizhia",
-    14: "zaporizhzhia",
-    15: "Chernihiv",
-    16: None,
-    17: "kyiv city",
-    18: "Lviv",
-}
+RAW_REGIONS = (
+    "Dnipropetrovsk",
+    "dnipropetrovska",
+    "Ivano-Frankivsk",
+    "ivano  frankivsk",
+    "Kharkiv",
+    "KHARKIV",
+    "Kyiv",
+    "Kyiv-City",
+    " Lviv ",
+    "Odesa",
+    "Odessa",
+    "Poltava",
+    "Vinnytsia",
+    "Zaporizhia",
+    "zaporizhzhia",
+    "Chernihiv",
+    None,
+    "kyiv city",
+    "Lviv",
+)
 
 # Regions with monthly targets; Sumy has no orders.
 TARGET_REGIONS = (
@@ -60,201 +59,153 @@ TARGET_REGIONS = (
 TARGET_MONTHS = ("2025-09", "2025-10", "2025-11", "2025-12")
 
 
-def _typed(df: DataFrame, table: str) -> DataFrame:
-    return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[table]])
+def _select(df: DataFrame, table: str, **columns: str) -> DataFrame:
+    """Project expressions to the columns and types of one shop table."""
+    return df.selectExpr(
+        *[f"CAST({columns[f.name]} AS {f.dataType.simpleString()}) AS {f.name}"
+          for f in SCHEMAS[table]]
+    )
+
 
+def _pick(selector: str, values: tuple[str | None, ...]) -> str:
+    """The value at the position given by a remainder."""
+    listed = ", ".join("NULL" if v is None else f"'{v}'" for v in values)
+    return f"get(array({listed}), CAST({selector} AS INT))"
 
-def _amount(value: Column | int) -> Column:
-    return (value if isinstance(value, Column) else F.lit(value)).cast("decimal(18,2)")
 
+def _moved(day: str, extra: str = "0") -> str:
+    shift = f"CAST({DAYS_FORWARD} + {extra} AS INT)"
+    return f"CAST(date_add(CAST({day} AS DATE), {shift}) AS TIMESTAMP_NTZ)"
 
-def _pick(selector: Column, values: Mapping[int, object]) -> Column:
-    chain = reduce(
-        lambda acc, item: acc.when(selector == item[0], F.lit(item[1])),
-        values.items(),
-        F.when(F.lit(False), F.lit(None).cast("string")),
-    )
-    return chain
+
+def _unknown(key: str) -> str:
+    return f"{UNKNOWN_KEY_OFFSET} + {key}"
 
 
-def _ntz(day: Column) -> Column:
-    return day.cast("timestamp_ntz")
+def _amount(value: str) -> str:
+    return f"CAST({value} AS DECIMAL(18,2))"
 
 
-def _moved(day: Column, extra: int | Column = 0) -> Column:
-    shift = F.lit(DAYS_FORWARD) + (extra if isinstance(extra, Column) else F.lit(extra))
-    return _ntz(F.date_add(day.cast("date"), shift.cast("int")))
+# A row-local item id: 60 bits of a digest, shared by all rows of a few parts.
+# Numbering the lines within an order would need every line of that order in
+# one task; a digest of the line's own keys does not.
+_LINE_KEYS = "concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+_DIGEST = f"CAST(conv(substr(md5({_LINE_KEYS}), 1, 15), 16, 10) AS BIGINT)"
+_ITEM_ID = f"if(l_partkey % 601 = 6, l_partkey, {_DIGEST})"
 
 
 def sample_orders(orders: DataFrame) -> DataFrame:
-    key, day = F.col("o_orderkey"), F.col("o_orderdate")
-    undelivered = (key % 13 == 7) | (key % 17 == 4) | (key % 29 == 6)
-    return _typed(
-        orders.select(
-            key.alias("order_id"),
-            F.when(key % 10 == 3, F.lit(None))
-            .when(key % 97 == 5, F.lit(UNKNOWN_KEY_OFFSET) + F.col("o_custkey"))
-            .otherwise(F.col("o_custkey"))
-            .alias("customer_id"),
-            (_moved(day) + F.make_dt_interval(hours=(key % 24).cast("int"))).alias("order_ts"),
-            F.when(key % 13 == 7, "cancelled")
-            .when(key % 17 == 4, "shipped")
-            .otherwise("delivered")
-            .alias("order_status"),
-            _pick(key % 3, {0: "web", 1: "app", 2: "marketplace"}).alias("order_channel"),
-            _pick(key % 2, {0: "mobile", 1: "desktop"}).alias("device_type"),
-            _pick(key % 19, RAW_REGIONS).alias("shipping_region"),
-            F.concat(F.lit("City "), (key % 40).cast("string")).alias("shipping_city"),
-            _amount(F.lit(50) + key % 100).alias("shipping_fee_uah"),
-            _moved(day, 5).alias("promised_delivery_ts"),
-            F.when(~undelivered, _moved(day, 3 + key % 6)).alias("delivered_ts"),
-        ),
+    undelivered = "o_orderkey % 13 = 7 OR o_orderkey % 17 = 4 OR o_orderkey % 29 = 6"
+    hours = "make_dt_interval(0, CAST(o_orderkey % 24 AS INT))"
+    return _select(
+        orders,
         "orders",
+        order_id="o_orderkey",
+        customer_id=f"""CASE WHEN o_orderkey % 10 = 3 THEN NULL
+            WHEN o_orderkey % 97 = 5 THEN {_unknown("o_custkey")} ELSE o_custkey END""",
+        order_ts=f"{_moved('o_orderdate')} + {hours}",
+        order_status="""CASE WHEN o_orderkey % 13 = 7 THEN 'cancelled'
+            WHEN o_orderkey % 17 = 4 THEN 'shipped' ELSE 'delivered' END""",
+        order_channel=_pick("o_orderkey % 3", ("web", "app", "marketplace")),
+        device_type=_pick("o_orderkey % 2", ("mobile", "desktop")),
+        shipping_region=_pick(f"o_orderkey % {len(RAW_REGIONS)}", RAW_REGIONS),
+        shipping_city="concat('City ', o_orderkey % 40)",
+        shipping_fee_uah="50 + o_orderkey % 100",
+        promised_delivery_ts=_moved("o_orderdate", "5"),
+        delivered_ts=f"if({undelivered}, NULL, {_moved('o_orderdate', '3 + o_orderkey % 6')})",
     )
 
 
-def _item_id() -> Column:
-    """A row-local item id: 60 bits of a digest, shared by all rows of a few parts.
-
-    Numbering the lines within an order would need every line of that order in
-    one task; a digest of the line's own keys does not.
-    """
-    keys = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    digest = F.conv(F.substring(F.md5(keys.cast("binary")), 1, 15), 16, 10).cast("bigint")
-    return F.when(F.col("l_partkey") % 601 == 6, F.col("l_partkey")).otherwise(digest)
-
-
 def sample_order_items(lineitem: DataFrame) -> DataFrame:
-    order, part = F.col("l_orderkey"), F.col("l_partkey")
-    price, pieces = 900 + part % 100, F.col("l_quantity").cast("int")
-    discount = F.col("l_discount").cast("decimal(4,2)") * _amount(price) * pieces
-    return _typed(
-        lineitem.select(
-            _item_id().alias("order_item_id"),
-            F.when(order % 499 == 11, order + UNKNOWN_KEY_OFFSET)
-            .otherwise(order)
-            .alias("order_id"),
-            F.when(part % 211 == 3, part + UNKNOWN_KEY_OFFSET).otherwise(part).alias("product_id"),
-            F.when(part % 307 == 1, 0).otherwise(pieces).alias("quantity"),
-            F.when(part % 401 == 2, _amount(-1))
-            .otherwise(_amount(price))
-            .alias("unit_price_uah"),
-            F.when(part % 607 == 7, _amount(-1))
-            .otherwise(_amount(500 + part % 90))
-            .alias("unit_cost_uah"),
-            F.when(part % 503 == 4, _amount(100_000))
-            .when(part % 509 == 5, _amount(-5))
-            .otherwise(_amount(discount))
-            .alias("item_discount_uah"),
-        ),
+    price, pieces = _amount("900 + l_partkey % 100"), "CAST(l_quantity AS INT)"
+    discount = f"CAST(l_discount AS DECIMAL(4,2)) * {price} * {pieces}"
+    return _select(
+        lineitem,
         "order_items",
+        order_item_id=_ITEM_ID,
+        order_id=f"if(l_orderkey % 499 = 11, {_unknown('l_orderkey')}, l_orderkey)",
+        product_id=f"if(l_partkey % 211 = 3, {_unknown('l_partkey')}, l_partkey)",
+        quantity=f"if(l_partkey % 307 = 1, 0, {pieces})",
+        unit_price_uah=f"if(l_partkey % 401 = 2, {_amount('-1')}, {price})",
+        unit_cost_uah=f"if(l_partkey % 607 = 7, {_amount('-1')}, {_amount('500 + l_partkey % 90')})",
+        item_discount_uah=f"""CASE WHEN l_partkey % 503 = 4 THEN {_amount("100000")}
+            WHEN l_partkey % 509 = 5 THEN {_amount("-5")} ELSE {_amount(discount)} END""",
     )
 
 
 def sample_customers(customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
-    key, balance = F.col("c_custkey"), F.col("c_acctbal")
     homes = nation.join(region, nation.n_regionkey == region.r_regionkey)
-    return _typed(
-        customer.join(homes, customer.c_nationkey == homes.n_nationkey).select(
-            key.alias("customer_id"),
-            F.when(key % 11 != 0, F.col("c_mktsegment")).alias("acquisition_channel"),
-            F.when(balance < 0, "bronze")
-            .when(balance < 5000, "silver")
-            .otherwise("gold")
-            .alias("loyalty_tier"),
-            F.col("r_name").alias("home_region"),
-            F.col("n_name").alias("home_city"),
-            (1950 + key % 55).alias("birth_year"),
-            _ntz(F.date_add(F.lit("2023-01-01").cast("date"), (key % 365).cast("int"))).alias(
-                "signup_ts"
-            ),
-        ),
+    return _select(
+        customer.join(homes, customer.c_nationkey == homes.n_nationkey),
         "customers",
+        customer_id="c_custkey",
+        acquisition_channel="if(c_custkey % 11 = 0, NULL, c_mktsegment)",
+        loyalty_tier="""CASE WHEN c_acctbal < 0 THEN 'bronze' WHEN c_acctbal < 5000 THEN 'silver'
+            ELSE 'gold' END""",
+        home_region="r_name",
+        home_city="n_name",
+        birth_year="1950 + c_custkey % 55",
+        signup_ts="date_add(DATE '2023-01-01', CAST(c_custkey % 365 AS INT))",
     )
 
 
 def sample_products(part: DataFrame) -> DataFrame:
-    return _typed(
-        part.select(F.col("p_partkey").alias("product_id"), F.col("p_type").alias("category")),
-        "products",
-    )
+    return _select(part, "products", product_id="p_partkey", category="p_type")
+
+
+def _event(order_id: str, sequence: int, status: str, amount: str, at: str) -> str:
+    return f"""struct({order_id} AS order_id, {sequence} AS payment_sequence,
+        {status} AS payment_status, {amount} AS payment_amount_uah, {at} AS payment_ts)"""
 
 
 def sample_payments(orders: DataFrame) -> DataFrame:
     """First attempt, retry and reversal of each order, from one scan."""
-    key, day = F.col("o_orderkey"), F.col("o_orderdate")
-    total = _amount(F.col("o_totalprice"))
-
-    def event(order_id: Column, sequence: int, status: Column, amount: Column, at: Column):
-        return F.struct(
-            order_id.alias("order_id"),
-            F.lit(sequence).alias("payment_sequence"),
-            status.alias("payment_status"),
-            amount.alias("payment_amount_uah"),
-            at.alias("payment_ts"),
-        )
-
-    attempt = event(
-        key,
-        1,
-        F.when(key % 7 == 2, "failed").when(key % 23 == 8, "pending").otherwise("captured"),
-        total,
-        _moved(day),
-    )
-    retry = F.when(key % 14 == 2, event(key, 2, F.lit("captured"), total, _moved(day, 1)))
-    reversal = F.when(
-        key % 19 == 9,
-        event(
-            F.when(key % 199 == 9, key + UNKNOWN_KEY_OFFSET).otherwise(key),
-            3,
-            F.when(key % 2 == 0, "refunded").otherwise("chargeback"),
-            F.when(key % 3 == 0, total).otherwise(_amount(100)),
-            _moved(day, 13),
-        ),
+    total, day = _amount("o_totalprice"), "o_orderdate"
+    tried = """CASE WHEN o_orderkey % 7 = 2 THEN 'failed' WHEN o_orderkey % 23 = 8 THEN 'pending'
+        ELSE 'captured' END"""
+    attempt = _event("o_orderkey", 1, tried, total, _moved(day))
+    retry = _event("o_orderkey", 2, "'captured'", total, _moved(day, "1"))
+    reversal = _event(
+        f"if(o_orderkey % 199 = 9, {_unknown('o_orderkey')}, o_orderkey)",
+        3,
+        "if(o_orderkey % 2 = 0, 'refunded', 'chargeback')",
+        f"if(o_orderkey % 3 = 0, {total}, {_amount('100')})",
+        _moved(day, "13"),
     )
-    events = F.array_compact(F.array(attempt, retry, reversal))
-    return _typed(
-        orders.select(F.explode(events).alias("event")).select("event.*"), "payments"
+    events = orders.selectExpr(
+        f"""inline(array_compact(array({attempt},
+            if(o_orderkey % 14 = 2, {retry}, NULL),
+            if(o_orderkey % 19 = 9, {reversal}, NULL))))"""
     )
+    return _select(events, "payments", **{f.name: f.name for f in SCHEMAS["payments"]})
 
 
 def sample_returns(lineitem: DataFrame) -> DataFrame:
-    order = F.col("l_orderkey")
-    returned = lineitem.filter((F.col("l_returnflag") == "R") & (F.col("l_partkey") % 4 == 1))
-    return _typed(
-        returned.select(
-            F.when(order % 397 == 13, order + UNKNOWN_KEY_OFFSET)
-            .otherwise(_item_id())
-            .alias("order_item_id"),
-            order.alias("order_id"),
-            F.when(order % 5 == 0, "requested")
-            .when(order % 5 == 1, "approved")
-            .when(order % 5 == 2, "rejected")
-            .otherwise("completed")
-            .alias("return_status"),
-            F.when(F.col("l_quantity") > 2, 2).otherwise(1).alias("returned_quantity"),
-            _amount(1500).alias("refund_amount_uah"),
-            _moved(F.col("l_shipdate"), 10).alias("return_request_ts"),
-        ),
+    return _select(
+        lineitem.filter("l_returnflag = 'R' AND l_partkey % 4 = 1"),
         "returns",
+        order_item_id=f"if(l_orderkey % 397 = 13, {_unknown('l_orderkey')}, {_ITEM_ID})",
+        order_id="l_orderkey",
+        return_status="""CASE l_orderkey % 5 WHEN 0 THEN 'requested' WHEN 1 THEN 'approved'
+            WHEN 2 THEN 'rejected' ELSE 'completed' END""",
+        returned_quantity="if(l_quantity > 2, 2, 1)",
+        refund_amount_uah="1500",
+        return_request_ts=_moved("l_shipdate", "10"),
     )
 
 
 def sample_monthly_targets(spark: SparkSession) -> DataFrame:
     """Four months of targets for eleven regions (a constant table)."""
     regions, months = len(TARGET_REGIONS), len(TARGET_MONTHS)
-    k = (F.col("id") % regions).cast("int")
-    month_index = F.floor(F.col("id") / regions).cast("int")
-    return _typed(
-        spark.range(regions * months, numPartitions=1).select(
-            F.element_at(F.array(*map(F.lit, TARGET_MONTHS)), month_index + 1).alias("month"),
-            F.element_at(F.array(*map(F.lit, TARGET_REGIONS)), k + 1).alias("region"),
-            (10 + k).alias("orders_target"),
-            F.when(k.isin(3, 8), _amount(100_000))
-            .otherwise(_amount(2_000_000 + 500_000 * k))
-            .alias("gross_profit_target_uah"),
+    return _select(
+        spark.range(0, regions * months, 1, 1).selectExpr(
+            f"id % {regions} AS k", f"id DIV {regions} AS m"
         ),
         "monthly_targets",
+        month=_pick("m", TARGET_MONTHS),
+        region=_pick("k", TARGET_REGIONS),
+        orders_target="10 + k",
+        gross_profit_target_uah="if(k IN (3, 8), 100000, 2000000 + 500000 * k)",
     )
 
 
@@ -264,13 +215,13 @@ def sample_tables(spark: SparkSession, sf_dir: str) -> ShopTables:
     def raw(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    orders, lineitem = raw("orders"), raw("lineitem")
-    return ShopTables(
-        orders=sample_orders(orders),
-        order_items=sample_order_items(lineitem),
-        customers=sample_customers(raw("customer"), raw("nation"), raw("region")),
-        products=sample_products(raw("part")),
-        payments=sample_payments(orders),
-        returns=sample_returns(lineitem),
-        monthly_targets=sample_monthly_targets(spark),
-    )
+    derive: dict[str, Callable[[], DataFrame]] = {
+        "orders": lambda: sample_orders(raw("orders")),
+        "order_items": lambda: sample_order_items(raw("lineitem")),
+        "customers": lambda: sample_customers(raw("customer"), raw("nation"), raw("region")),
+        "products": lambda: sample_products(raw("part")),
+        "payments": lambda: sample_payments(raw("orders")),
+        "returns": lambda: sample_returns(raw("lineitem")),
+        "monthly_targets": lambda: sample_monthly_targets(spark),
+    }
+    return ShopTables(lambda name: derive[name]())

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass, fields
+from collections.abc import Callable, Mapping
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
@@ -74,20 +74,43 @@ SCHEMAS: dict[str, T.StructType] = {
 }
 
 
-@dataclass(frozen=True)
 class ShopTables:
-    """The input tables of one shop, in the order reports list them."""
+    """The input tables of one shop, each opened on first use."""
 
-    orders: DataFrame
-    order_items: DataFrame
-    customers: DataFrame
-    products: DataFrame
-    payments: DataFrame
-    returns: DataFrame
-    monthly_targets: DataFrame
+    def __init__(self, open_table: Callable[[str], DataFrame]) -> None:
+        self._open = open_table
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return self._open("orders")
+
+    @cached_property
+    def order_items(self) -> DataFrame:
+        return self._open("order_items")
+
+    @cached_property
+    def customers(self) -> DataFrame:
+        return self._open("customers")
+
+    @cached_property
+    def products(self) -> DataFrame:
+        return self._open("products")
+
+    @cached_property
+    def payments(self) -> DataFrame:
+        return self._open("payments")
+
+    @cached_property
+    def returns(self) -> DataFrame:
+        return self._open("returns")
+
+    @cached_property
+    def monthly_targets(self) -> DataFrame:
+        return self._open("monthly_targets")
 
     def by_name(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        """All seven tables in the order reports list them."""
+        return {name: getattr(self, name) for name in SCHEMAS}
 
 
 def read_table(
@@ -111,9 +134,7 @@ def read_tables(
     missing = sorted(set(SCHEMAS) - set(locations))
     if missing:
         raise ValueError(f"no location for tables: {', '.join(missing)}")
-    return ShopTables(
-        **{name: read_table(spark, name, locations[name], source_format) for name in SCHEMAS}
-    )
+    return ShopTables(lambda name: read_table(spark, name, locations[name], source_format))
 
 
 def tables_under(root: str) -> dict[str, str]:

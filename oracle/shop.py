@@ -15,8 +15,7 @@ _targets = ", ".join(
 )
 
 _ITEM_ID = """CASE WHEN l_partkey % 601 = 6 THEN l_partkey
-    ELSE CAST('0x' || substr(md5(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|'
-         || l_suppkey), 1, 15) AS BIGINT) END"""
+    ELSE 1000000 * l_orderkey + (1009 * l_partkey + 13 * l_suppkey + l_linenumber) % 1000000 END"""
 
 
 def _moved(day: str, extra: str = "0") -> str:

@@ -388,5 +388,106 @@ STATEMENTS = {
 }
 
 
+_YEARS = "year(o_orderdate)"
+
+# The building blocks on the raw test tables.
+HELPERS = {
+    "helper_row_counts": _union(
+        *[
+            f"SELECT '{name}' AS table_name, count(*) AS row_count FROM {name}"
+            for name in (
+                "customer",
+                "orders",
+                "lineitem",
+                "part",
+                "supplier",
+                "events",
+                "documents",
+            )
+        ]
+    ),
+    "helper_duplicate_keys": _union(
+        _duplicates("orders.o_custkey", "orders", "o_custkey"),
+        _duplicates("lineitem.l_orderkey", "lineitem", "l_orderkey"),
+        _duplicates("part.p_partkey", "part", "p_partkey"),
+    ),
+    "helper_orphans": _union(
+        _orphans("orders -> lineitem", "orders", "o_orderkey", "lineitem", "l_orderkey"),
+        _orphans("customer -> orders", "customer", "c_custkey", "orders", "o_custkey"),
+    ),
+    "helper_flag_counts": """
+        SELECT count(*) AS total_lines, count(*) FILTER (l_discount = 0) AS undiscounted,
+               count(*) FILTER (l_quantity >= 40) AS bulk,
+               count(*) FILTER (l_returnflag = 'R') AS returned
+        FROM lineitem""",
+    "helper_sum_where": """
+        SELECT l_returnflag,
+               CAST(sum(CASE l_linestatus WHEN 'O' THEN l_quantity ELSE 0 END) AS BIGINT)
+                 AS open_pieces,
+               CAST(sum(CASE l_linestatus WHEN 'O' THEN 0 ELSE l_quantity END) AS BIGINT)
+                 AS other_pieces,
+               count(*) FILTER (l_linestatus = 'O') AS open_lines
+        FROM lineitem GROUP BY ALL""",
+    "helper_latest_by": """
+        SELECT o_custkey, o_orderstatus AS latest_status FROM orders
+        QUALIFY row_number() OVER (PARTITION BY o_custkey
+                                   ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""",
+    "helper_normalize_label": """
+        SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'Urgent' WHEN '2-HIGH' THEN 'High'
+                    WHEN '4-NOT SPECIFIED' THEN 'Unknown' ELSE o_orderpriority END AS priority,
+               count(*) AS order_count
+        FROM orders GROUP BY ALL""",
+    "helper_safe_ratio": """
+        SELECT c_nationkey, CAST(overdrawn AS DOUBLE) / nullif(rich, 0) AS overdrawn_per_rich,
+               round(100 * (CAST(overdrawn AS DOUBLE) / everyone), 2) AS overdrawn_percent
+        FROM (SELECT c_nationkey, count(*) AS everyone,
+                     count(*) FILTER (c_acctbal < 0) AS overdrawn,
+                     count(*) FILTER (c_acctbal > 9990) AS rich
+              FROM customer GROUP BY ALL)""",
+    "helper_yoy_lag": f"""
+        SELECT CAST(y AS INTEGER) AS order_year, n AS order_count,
+               round(100 * (CAST(n - before AS DOUBLE) / before), 2) AS orders_yoy_percent
+        FROM (SELECT *, (SELECT n FROM (SELECT {_YEARS} AS y, count(*) AS n FROM orders
+                                        GROUP BY ALL) p
+                         WHERE p.y = c.y - 1) AS before
+              FROM (SELECT {_YEARS} AS y, count(*) AS n FROM orders GROUP BY ALL) c)""",
+    "helper_yoy_months": f"""
+        SELECT make_date(1997, m, 1) AS order_month, now_count AS order_count,
+               nullif(before_count, 0) AS previous_order_count
+        FROM (SELECT month(o_orderdate) AS m, count(*) FILTER ({_YEARS} = 1997) AS now_count,
+                     count(*) FILTER ({_YEARS} = 1996) AS before_count
+              FROM orders GROUP BY ALL)
+        WHERE now_count > 0""",
+    "helper_share_of_total": f"""
+        SELECT CAST(y AS INTEGER) AS order_year, o_orderpriority, n AS order_count,
+               CAST(n AS DOUBLE) / total AS share
+        FROM (SELECT {_YEARS} AS y, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL)
+        JOIN (SELECT {_YEARS} AS y, count(*) AS total FROM orders GROUP BY ALL) USING (y)""",
+    "helper_pivot_max": f"""
+        SELECT o_orderpriority,
+               nullif(count(*) FILTER ({_YEARS} = 1995), 0) AS orders_1995,
+               nullif(count(*) FILTER ({_YEARS} = 1996), 0) AS orders_1996,
+               nullif(count(*) FILTER ({_YEARS} = 1997), 0) AS orders_1997
+        FROM orders GROUP BY ALL""",
+    "helper_first_event_cohort": f"""
+        SELECT DISTINCT o_custkey, first_day, CAST({_YEARS} AS INTEGER) AS order_year
+        FROM orders
+        JOIN (SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS first_day FROM orders
+              GROUP BY ALL) USING (o_custkey)
+        WHERE {_YEARS} IN (1996, 1997) AND month(o_orderdate) IN (10, 11)""",
+    "helper_target_status": """
+        SELECT c_nationkey, customers, orders, buyers,
+               CASE WHEN orders < 10 * customers
+                    THEN if(1000 * buyers < 997 * customers, 'Both missed',
+                            'Profit met, orders missed')
+                    ELSE if(1000 * buyers < 997 * customers, 'Orders met, profit missed',
+                            'Both met') END AS status
+        FROM (SELECT c_nationkey, count(DISTINCT c_custkey) AS customers,
+                     count(o_orderkey) AS orders, count(DISTINCT o_custkey) AS buyers
+              FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL)""",
+}
+
+
 def oracle_statements() -> dict[str, str]:
-    return {name: statement(select) for name, select in STATEMENTS.items()}
+    shop = {name: statement(select) for name, select in STATEMENTS.items()}
+    return {**shop, **HELPERS}

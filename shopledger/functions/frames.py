@@ -96,19 +96,18 @@ def left_join_optional(
 ) -> DataFrame:
     """Left join on a key that may be NULL for very many left rows.
 
-    Hashing on the key alone would send all NULL rows to one task. The second
-    join key fills NULLs from ``spread_by`` (same type family as the key), which
-    scatters those rows; the first still demands equality with the real key, so
-    they match nothing and every other row joins as usual. A small right side is
-    still broadcast by size, and a hot non-NULL key is split by AQE.
+    Hashing on the key alone would send all NULL rows to one task, so NULLs are
+    filled from ``spread_by`` (same type as the key), which scatters those rows;
+    the second condition keeps a filled key from ever matching. The right side
+    is still partitioned by its plain key, so a grouping by that key is reused.
+    A right side that is small by its statistics is broadcast, and a hot
+    non-NULL key is split by AQE.
     """
     right_key = f"__{key}"
     renamed = right.withColumnRenamed(key, right_key)
     spread = F.coalesce(left[key], left[spread_by])
     return left.join(
-        renamed,
-        (left[key] == renamed[right_key]) & (spread == renamed[right_key]),
-        "left",
+        renamed, (spread == renamed[right_key]) & left[key].isNotNull(), "left"
     ).drop(right_key)
 
 

@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shopledger.config import AnalysisConfig
 from shopledger.functions.columns import (
+    cents,
+    from_cents,
     growth_direction,
-    money,
     month_in,
     on_or_before,
     percent,
     safe_ratio,
+    total,
 )
 from shopledger.functions.frames import left_join_optional, pivot_max
 from shopledger.operators.kpis import successful
@@ -34,14 +36,14 @@ def discount_scenario(mart: DataFrame, order_items: DataFrame, cfg: AnalysisConf
     either year has no sales.
     """
     per_order = order_items.groupBy("order_id").agg(
-        F.sum(F.col("unit_price_uah") * F.col("quantity")).alias("sales"),
-        F.sum("item_discount_uah").alias("discount"),
+        F.sum(cents(F.col("unit_price_uah")) * F.col("quantity")).alias("sales"),
+        F.sum(cents(F.col("item_discount_uah"))).alias("discount"),
     )
     per_year = (
         successful_period_orders(mart, cfg)
         .join(per_order, "order_id")
         .groupBy("order_year")
-        .agg(money(F.sum("sales")).alias("sales"), money(F.sum("discount")).alias("discount"))
+        .agg(*[total(F.sum(from_cents(F.col(c)))).alias(c) for c in ("sales", "discount")])
         .withColumn("rate", safe_ratio(F.col("discount"), F.col("sales")))
     )
     current, previous = cfg.current_year, cfg.previous_year
@@ -60,10 +62,10 @@ def discount_scenario(mart: DataFrame, order_items: DataFrame, cfg: AnalysisConf
     ).filter(F.col("has_current").isNotNull() & F.col("has_previous").isNotNull())
     at_old_rate = F.col("sales").cast("double") * F.col("rate_before")
     return both.select(
-        money(F.round("sales", 2)).alias(f"sales_{current}_before_discount_uah"),
+        total(F.round("sales", 2)).alias(f"sales_{current}_before_discount_uah"),
         percent(F.col("rate_before")).alias(f"discount_rate_{previous}_percent"),
         percent(F.col("rate")).alias(f"discount_rate_{current}_percent"),
-        money(F.round("discount", 2)).alias(f"actual_discount_{current}_uah"),
+        total(F.round("discount", 2)).alias(f"actual_discount_{current}_uah"),
         F.round(at_old_rate, 2).alias(f"discount_at_{previous}_rate_uah"),
         F.round(F.col("discount").cast("double") - at_old_rate, 2).alias(
             "incremental_discount_scenario_uah"
@@ -80,7 +82,7 @@ def completed_returns_by_item(returns: DataFrame, cfg: AnalysisConfig) -> DataFr
         .groupBy("order_item_id")
         .agg(
             F.sum("returned_quantity").alias("returned_pieces"),
-            money(F.sum("refund_amount_uah")).alias("refunded"),
+            F.sum(cents(F.col("refund_amount_uah"))).alias("refunded"),
         )
     )
 
@@ -93,7 +95,9 @@ def category_year(
     cfg: AnalysisConfig,
     measures: dict[str, Column],
 ) -> DataFrame:
-    """Sums of per-item ``measures`` by category and year over successful orders.
+    """Sums of per-item ``measures`` (in cents) by category and year.
+
+    Covers the successful orders of the comparison months.
 
     The period's orders cut the items down before anything else is joined, and
     the measures are summed per product before products are joined, so a
@@ -104,26 +108,27 @@ def category_year(
         sold, completed_returns_by_item(returns, cfg), "order_item_id", "order_id"
     )
     per_product = lines.groupBy("product_id", "order_year").agg(
-        *[money(F.sum(c)).alias(name) for name, c in measures.items()]
+        *[F.sum(c).alias(name) for name, c in measures.items()]
     )
     return (
         per_product.join(products.select("product_id", "category"), "product_id")
         .groupBy("category", "order_year")
-        .agg(*[money(F.sum(name)).alias(name) for name in measures])
+        .agg(*[total(F.sum(from_cents(F.col(name)))).alias(name) for name in measures])
     )
 
 
 def _item_values() -> dict[str, Column]:
-    """Sales before discount, discount, net sales and net cost of one order line."""
-    quantity, cost = F.col("quantity"), F.col("unit_cost_uah")
-    value, discount = F.col("unit_price_uah") * quantity, F.col("item_discount_uah")
+    """Sales before discount, discount, net sales and net cost of one line, in cents."""
+    quantity, cost = F.col("quantity"), cents(F.col("unit_cost_uah"))
+    value = cents(F.col("unit_price_uah")) * quantity
+    discount = cents(F.col("item_discount_uah"))
     refunded = F.coalesce("refunded", F.lit(0))
     returned = F.coalesce("returned_pieces", F.lit(0))
     return {
-        "sales": money(value),
+        "sales": value,
         "discount": discount,
-        "net_sales": money(value - discount - refunded),
-        "net_cost": money(cost * quantity) - money(cost * returned),
+        "net_sales": value - discount - refunded,
+        "net_cost": cost * quantity - cost * returned,
     }
 
 
@@ -157,9 +162,9 @@ def category_profit_change(
     profit, before = F.col("profit"), F.col("profit_before")
     return both.select(
         "category",
-        money(F.round(before, 2)).alias(f"gross_profit_{previous}_uah"),
-        money(F.round(profit, 2)).alias(f"gross_profit_{current}_uah"),
-        money(F.round(profit - before, 2)).alias("gross_profit_change_uah"),
+        total(F.round(before, 2)).alias(f"gross_profit_{previous}_uah"),
+        total(F.round(profit, 2)).alias(f"gross_profit_{current}_uah"),
+        total(F.round(profit - before, 2)).alias("gross_profit_change_uah"),
         growth_direction(profit, before).alias("profit_change_direction"),
     ).orderBy(F.col("gross_profit_change_uah").desc_nulls_last())
 
@@ -178,7 +183,7 @@ def category_summary(
     """
     current, previous = cfg.current_year, cfg.previous_year
     by_year = category_year(mart, order_items, products, returns, cfg, _item_values())
-    profit = money(F.col("net_sales") - F.col("net_cost"))
+    profit = total(F.col("net_sales") - F.col("net_cost"))
     rated = by_year.withColumns(
         {
             "profit": profit,
@@ -203,7 +208,7 @@ def category_summary(
         "category",
         before,
         now,
-        money(now - before).alias("gross_profit_change_uah"),
+        total(now - before).alias("gross_profit_change_uah"),
         f"discount_rate_{previous}_percent",
         f"discount_rate_{current}_percent",
         f"gross_margin_{current}_percent",

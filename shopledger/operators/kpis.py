@@ -19,6 +19,7 @@ from shopledger.functions.columns import (
     share_of_total,
     step_from_previous_row,
     sum_where,
+    total,
 )
 from shopledger.functions.frames import first_event_cohort, pair_months
 
@@ -36,10 +37,10 @@ def sale_measures() -> dict[str, Column]:
     return {
         "created_orders": F.count("*"),
         "successful_orders": count_where(ok),
-        "net_revenue_uah": sum_where(ok, F.col("net_revenue_uah")),
-        "gross_profit_uah": sum_where(ok, F.col("gross_profit_uah")),
-        "discount_uah": sum_where(ok, discount),
-        "sales_before_discount_uah": sum_where(ok, before_discount),
+        "net_revenue_uah": total(sum_where(ok, F.col("net_revenue_uah"))),
+        "gross_profit_uah": total(sum_where(ok, F.col("gross_profit_uah"))),
+        "discount_uah": total(sum_where(ok, discount)),
+        "sales_before_discount_uah": total(sum_where(ok, before_discount)),
     }
 
 

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from shopledger.config import AnalysisConfig
 from shopledger.functions.columns import (
+    cents,
     count_where,
+    from_cents,
     latest_by,
-    money,
     on_or_before,
     sum_where,
 )
@@ -21,22 +22,25 @@ from shopledger.functions.frames import left_join_optional
 
 def items_by_order(order_items: DataFrame) -> DataFrame:
     """Lines, products, pieces, discount, sales, cost and gross profit per order."""
-    quantity, discount = F.col("quantity"), F.col("item_discount_uah")
-    value, cost = F.col("unit_price_uah") * quantity, F.col("unit_cost_uah") * quantity
+    quantity, discount = F.col("quantity"), cents(F.col("item_discount_uah"))
+    value = cents(F.col("unit_price_uah")) * quantity
+    cost = cents(F.col("unit_cost_uah")) * quantity
     return order_items.groupBy("order_id").agg(
         F.count("*").alias("order_lines_count"),
         F.count_distinct("product_id").alias("distinct_products_count"),
         F.sum(quantity).alias("sold_quantity"),
-        money(F.sum(discount)).alias("item_discount_uah"),
-        money(F.sum(value - discount)).alias("item_sales_before_returns_uah"),
-        money(F.sum(cost)).alias("item_cost_before_returns_uah"),
-        money(F.sum(value - discount - cost)).alias("item_gross_profit_before_returns_uah"),
+        from_cents(F.sum(discount)).alias("item_discount_uah"),
+        from_cents(F.sum(value - discount)).alias("item_sales_before_returns_uah"),
+        from_cents(F.sum(cost)).alias("item_cost_before_returns_uah"),
+        from_cents(F.sum(value - discount - cost)).alias(
+            "item_gross_profit_before_returns_uah"
+        ),
     )
 
 
 def payments_by_order(payments: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     """Payment events up to the cutoff: counts and amounts by status, latest status."""
-    status, amount = F.col("payment_status"), F.col("payment_amount_uah")
+    status, amount = F.col("payment_status"), cents(F.col("payment_amount_uah"))
     at = F.col("payment_ts")
 
     def has(name: str):
@@ -57,10 +61,10 @@ def payments_by_order(payments: DataFrame, cfg: AnalysisConfig) -> DataFrame:
             count_where(has("pending")).alias("pending_events"),
             count_where(has("refunded")).alias("refunded_events"),
             count_where(has("chargeback")).alias("chargeback_events"),
-            money(sum_where(has("captured"), amount)).alias("captured_amount_uah"),
-            money(sum_where(has("refunded"), amount)).alias("payment_refunded_uah"),
-            money(sum_where(has("chargeback"), amount)).alias("chargeback_uah"),
-            money(F.sum(signed)).alias("retained_payment_uah"),
+            from_cents(sum_where(has("captured"), amount)).alias("captured_amount_uah"),
+            from_cents(sum_where(has("refunded"), amount)).alias("payment_refunded_uah"),
+            from_cents(sum_where(has("chargeback"), amount)).alias("chargeback_uah"),
+            from_cents(F.sum(signed)).alias("retained_payment_uah"),
             latest_by(status, F.col("payment_sequence"), at).alias("latest_payment_status"),
             F.max(at).alias("last_payment_ts"),
         )
@@ -93,13 +97,13 @@ def returns_by_order(
             count_where(has("completed")).alias("completed"),
             count_where(has("rejected")).alias("rejected"),
             sum_where(has("completed"), quantity).alias("pieces"),
-            money(sum_where(has("completed"), F.col("refund_amount_uah"))).alias("refund"),
+            sum_where(has("completed"), cents(F.col("refund_amount_uah"))).alias("refund"),
             F.sum(F.when(has("completed"), quantity)).alias("costed_pieces"),
             F.max("return_request_ts").alias("last_request"),
         )
     )
     item_copies = order_items.groupBy("order_item_id").agg(
-        F.count("*").alias("copies"), money(F.sum("unit_cost_uah")).alias("unit_costs")
+        F.count("*").alias("copies"), F.sum(cents(F.col("unit_cost_uah"))).alias("unit_costs")
     )
     matched = left_join_optional(per_item, item_copies, "order_item_id", "order_id").withColumn(
         "copies", F.coalesce("copies", F.lit(1))
@@ -121,7 +125,7 @@ def returns_by_order(
         repeated("completed").alias("completed_returns"),
         repeated("rejected").alias("rejected_returns"),
         repeated("pieces").alias("returned_quantity"),
-        money(repeated("refund")).alias("completed_refund_uah"),
-        money(F.sum(cost)).alias("returned_item_cost_uah"),
+        from_cents(repeated("refund")).alias("completed_refund_uah"),
+        from_cents(F.sum(cost)).alias("returned_item_cost_uah"),
         F.max("last_request").alias("last_return_request_ts"),
     )

@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from shopledger.config import AnalysisConfig
 from shopledger.functions.columns import (
     count_where,
-    money,
     month_in,
     percent,
     safe_ratio,
     target_status,
+    total,
     zero_if_null,
 )
 from shopledger.operators.kpis import successful
@@ -26,7 +26,7 @@ def region_actuals(mart: DataFrame, cfg: AnalysisConfig) -> DataFrame:
         .agg(
             F.count("*").alias("orders_actual"),
             count_where(successful()).alias("successful_orders"),
-            money(F.sum("gross_profit_uah")).alias("gross_profit_actual_uah"),
+            total(F.sum("gross_profit_uah")).alias("gross_profit_actual_uah"),
         )
     )
 
@@ -40,7 +40,7 @@ def region_goals(monthly_targets: DataFrame, cfg: AnalysisConfig) -> DataFrame:
         .groupBy("region")
         .agg(
             F.sum("orders_target").alias("orders_target"),
-            money(F.sum("gross_profit_target_uah")).alias("gross_profit_target_uah"),
+            total(F.sum("gross_profit_target_uah")).alias("gross_profit_target_uah"),
         )
     )
 
@@ -64,8 +64,8 @@ def region_targets(
             orders,
             orders_goal,
             percent(safe_ratio(orders, orders_goal)).alias("orders_target_attainment_percent"),
-            money(F.round(profit, 2)).alias("gross_profit_actual_uah"),
-            money(F.round(profit_goal, 2)).alias("gross_profit_target_uah"),
+            total(F.round(profit, 2)).alias("gross_profit_actual_uah"),
+            total(F.round(profit_goal, 2)).alias("gross_profit_target_uah"),
             percent(safe_ratio(profit, profit_goal)).alias(
                 "gross_profit_target_attainment_percent"
             ),
@@ -79,7 +79,7 @@ def region_summary(
 ) -> DataFrame:
     """Dashboard form: zero-filled actuals, attainment as fractions, and the status."""
     orders, orders_goal = zero_if_null(F.col("orders_actual")), F.col("orders_target")
-    profit = money(zero_if_null(F.col("gross_profit_actual_uah")))
+    profit = total(zero_if_null(F.col("gross_profit_actual_uah")))
     profit_goal = F.col("gross_profit_target_uah")
     return (
         goals_with_actuals(mart, monthly_targets, cfg)

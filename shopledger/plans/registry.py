@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from shopledger.config import AnalysisConfig
+from shopledger.functions import columns, frames
 from shopledger.operators import drivers, kpis, order_facts, order_mart, quality, targets
 from shopledger.sources.sample_shop import sample_tables
 from shopledger.sources.tables import ShopTables
@@ -161,4 +162,174 @@ SHOP_QUERIES: dict[str, Query] = {
     "category_summary_export": _by_category(drivers.category_summary),
 }
 
-QUERIES: dict[str, Query] = {**SHOP_QUERIES}
+# --- the building blocks on the raw test tables ------------------------------
+
+# Cleaned order priorities -> shown names, for the label query.
+PRIORITY_NAMES = {"1 urgent": "Urgent", "2 high": "High", "4 not specified": "Unknown"}
+
+
+def _raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _helper_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("customer", "orders", "lineitem", "part", "supplier", "events", "documents")
+    return frames.row_counts({n: _raw(spark, sf_dir, n) for n in names})
+
+
+def _helper_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = {"orders": "o_custkey", "lineitem": "l_orderkey", "part": "p_partkey"}
+    return frames.duplicate_keys(
+        {f"{name}.{key}": (_raw(spark, sf_dir, name), key) for name, key in keys.items()}
+    )
+
+
+def _helper_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, lines = _raw(spark, sf_dir, "orders"), _raw(spark, sf_dir, "lineitem")
+    customers = _raw(spark, sf_dir, "customer")
+    return frames.orphans(
+        [
+            frames.Relationship("orders -> lineitem", orders, "o_orderkey", lines, "l_orderkey"),
+            frames.Relationship(
+                "customer -> orders", customers, "c_custkey", orders, "o_custkey", optional=True
+            ),
+        ]
+    )
+
+
+def _helper_flag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.flag_counts(
+        _raw(spark, sf_dir, "lineitem"),
+        "total_lines",
+        {
+            "undiscounted": F.col("l_discount") == 0,
+            "bulk": F.col("l_quantity") >= 40,
+            "returned": F.col("l_returnflag") == "R",
+        },
+    )
+
+
+def _helper_sum_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces, open_line = F.col("l_quantity").cast("bigint"), F.col("l_linestatus") == "O"
+    return (
+        _raw(spark, sf_dir, "lineitem")
+        .groupBy("l_returnflag")
+        .agg(
+            columns.sum_where(open_line, pieces).alias("open_pieces"),
+            columns.sum_where(~open_line, pieces).alias("other_pieces"),
+            columns.count_where(open_line).alias("open_lines"),
+        )
+    )
+
+
+def _helper_latest_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    latest = columns.latest_by(F.col("o_orderstatus"), F.col("o_orderdate"), F.col("o_orderkey"))
+    orders = _raw(spark, sf_dir, "orders")
+    return orders.groupBy("o_custkey").agg(latest.alias("latest_status"))
+
+
+def _helper_normalize_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = columns.normalize_label(F.col("o_orderpriority"), PRIORITY_NAMES)
+    orders = _raw(spark, sf_dir, "orders")
+    return orders.groupBy(name.alias("priority")).agg(F.count("*").alias("order_count"))
+
+
+def _helper_safe_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    overdrawn = columns.count_where(F.col("c_acctbal") < 0)
+    rich = columns.count_where(F.col("c_acctbal") > 9_990)
+    customers = _raw(spark, sf_dir, "customer")
+    return customers.groupBy("c_nationkey").agg(
+        columns.safe_ratio(overdrawn, rich).alias("overdrawn_per_rich"),
+        columns.percent(columns.safe_ratio(overdrawn, F.count("*"))).alias("overdrawn_percent"),
+    )
+
+
+def _orders_by(orders: DataFrame, *keys: str) -> DataFrame:
+    day = F.to_date("o_orderdate")
+    dated = orders.withColumns({"order_year": F.year(day), "order_month": F.trunc(day, "MM")})
+    return dated.groupBy(*keys).agg(F.count("*").alias("order_count"))
+
+
+def _helper_yoy_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # One row per calendar year reaches the unpartitioned window.
+    by_year = Window.orderBy("order_year")
+    change = columns.change_on_previous_row(F.col("order_count"), by_year)
+    return _orders_by(_raw(spark, sf_dir, "orders"), "order_year").withColumn(
+        "orders_yoy_percent", columns.percent(change)
+    )
+
+
+def _helper_yoy_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    monthly = _orders_by(_raw(spark, sf_dir, "orders"), "order_month", "order_year")
+    return frames.pair_months(monthly, ["order_count"], 1997, 1996).drop("month_number")
+
+
+def _helper_share_of_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    share = columns.share_of_total(F.col("order_count"), Window.partitionBy("order_year"))
+    counts = _orders_by(_raw(spark, sf_dir, "orders"), "order_year", "o_orderpriority")
+    return counts.withColumn("share", share)
+
+
+def _helper_pivot_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _orders_by(_raw(spark, sf_dir, "orders"), "o_orderpriority", "order_year")
+    return frames.pivot_max(
+        counts,
+        ["o_orderpriority"],
+        "order_year",
+        {f"orders_{y}": (y, "order_count") for y in (1995, 1996, 1997)},
+    )
+
+
+def _helper_first_event_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.to_date("o_orderdate")
+    orders = _raw(spark, sf_dir, "orders").select(
+        "o_custkey", day.alias("day"), F.trunc(day, "MM").alias("month")
+    )
+    autumn = {year: CFG.period_starts(year) for year in (1996, 1997)}
+    active = frames.first_event_cohort(orders, "o_custkey", "day", "month", autumn)
+    return active.withColumnRenamed("period", "order_year")
+
+
+def _helper_target_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, customers = _raw(spark, sf_dir, "orders"), _raw(spark, sf_dir, "customer")
+    buyers = customers.select("c_custkey", "c_nationkey")
+    # Orders are counted per customer first: a heavy buyer joins as one row.
+    per_customer = orders.groupBy("o_custkey").agg(F.count("*").alias("orders"))
+    per_nation = (
+        buyers.join(per_customer, buyers.c_custkey == per_customer.o_custkey, "left")
+        .groupBy("c_nationkey")
+        .agg(
+            F.count("*").alias("customers"),
+            columns.zero_if_null(F.sum("orders")).alias("orders"),
+            columns.count_where(F.col("orders").isNotNull()).alias("buyers"),
+        )
+    )
+    return per_nation.withColumn(
+        "status",
+        columns.target_status(
+            F.col("orders"),
+            F.col("customers") * 10,
+            F.col("buyers") * 1000,
+            F.col("customers") * 997,
+        ),
+    )
+
+
+HELPER_QUERIES: dict[str, Query] = {
+    "helper_row_counts": _helper_row_counts,
+    "helper_duplicate_keys": _helper_duplicate_keys,
+    "helper_orphans": _helper_orphans,
+    "helper_flag_counts": _helper_flag_counts,
+    "helper_sum_where": _helper_sum_where,
+    "helper_latest_by": _helper_latest_by,
+    "helper_normalize_label": _helper_normalize_label,
+    "helper_safe_ratio": _helper_safe_ratio,
+    "helper_yoy_lag": _helper_yoy_lag,
+    "helper_yoy_months": _helper_yoy_months,
+    "helper_share_of_total": _helper_share_of_total,
+    "helper_pivot_max": _helper_pivot_max,
+    "helper_first_event_cohort": _helper_first_event_cohort,
+    "helper_target_status": _helper_target_status,
+}
+
+QUERIES: dict[str, Query] = {**SHOP_QUERIES, **HELPER_QUERIES}

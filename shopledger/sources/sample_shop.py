@@ -86,12 +86,11 @@ def _amount(value: str) -> str:
     return f"CAST({value} AS DECIMAL(18,2))"
 
 
-# A row-local item id: 60 bits of a digest, shared by all rows of a few parts.
-# Numbering the lines within an order would need every line of that order in
-# one task; a digest of the line's own keys does not.
-_LINE_KEYS = "concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
-_DIGEST = f"CAST(conv(substr(md5({_LINE_KEYS}), 1, 15), 16, 10) AS BIGINT)"
-_ITEM_ID = f"if(l_partkey % 601 = 6, l_partkey, {_DIGEST})"
+# A row-local item id: the order and one of a million slots, given by the line's
+# other keys; a few parts share one id everywhere. Numbering the lines within an
+# order would need every line of that order in one task.
+_SLOT = "(l_partkey * 1009 + l_suppkey * 13 + l_linenumber) % 1000000"
+_ITEM_ID = f"if(l_partkey % 601 = 6, l_partkey, l_orderkey * 1000000 + {_SLOT})"
 
 
 def sample_orders(orders: DataFrame) -> DataFrame:

@@ -243,10 +243,13 @@ def with_gross_margin(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("gross_margin_percent", F.when(revenue > 0, margin))
 
 
+def mart_from_base(base: DataFrame) -> DataFrame:
+    return with_gross_margin(order_metrics(order_financials(base))).select(*MART_COLUMNS)
+
+
 def order_level_mart(tables: ShopTables, cfg: AnalysisConfig) -> DataFrame:
     """The mart, unsorted; see :func:`in_report_order` and the mart writer."""
-    mart = with_gross_margin(order_metrics(order_financials(order_base(tables, cfg))))
-    return mart.select(*MART_COLUMNS)
+    return mart_from_base(order_base(tables, cfg))
 
 
 def in_report_order(mart: DataFrame) -> DataFrame:

@@ -1,21 +1,25 @@
 """Every operator as a named query over one folder of test tables.
 
-Each query is lazy and reads whole tables. Amounts leave as DOUBLE here, after
-all exact arithmetic, so that results compare across engines; the operators
-themselves return decimals.
+Each query reads whole tables. The mart reports read the stored mart, written
+when the first of them is asked for; everything else is one lazy plan. Amounts
+leave as DOUBLE here, after all exact arithmetic, so that results compare across
+engines; the operators themselves return decimals.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import lru_cache
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from shopledger.config import AnalysisConfig
 from shopledger.functions import columns, frames
 from shopledger.operators import drivers, kpis, order_facts, order_mart, quality, targets
+from shopledger.session import shared_folder
 from shopledger.sources.sample_shop import sample_tables
+from shopledger.sources.sinks import read_mart, write_mart
 from shopledger.sources.tables import ShopTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,16 +43,45 @@ def _shop(spark: SparkSession, sf_dir: str) -> ShopTables:
     return sample_tables(spark, sf_dir)
 
 
+@lru_cache(maxsize=4)
+def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lazy order base, described once per session and computed by each query."""
+    return order_mart.order_base(_shop(spark, sf_dir), CFG)
+
+
+def _lazy_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_mart.mart_from_base(_base(spark, sf_dir))
+
+
 @lru_cache(maxsize=4)
 def _mart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lazy mart, planned once per session and computed anew by each query."""
-    return order_mart.order_level_mart(_shop(spark, sf_dir), CFG)
+    """The mart as a table in the shared folder, written once and read by every report.
+
+    Reports then prune its months and columns, share its cost, survive a lost
+    executor, and shuffle it like any table, so AQE can split a hot order in
+    their joins. Without a shared folder the reports fall back to the lazy mart.
+    """
+    folder = shared_folder(spark)
+    if folder is None:
+        return _lazy_mart(spark, sf_dir)
+    target = f"{folder}/shopledger-{uuid4().hex}/order_level_mart"
+    write_mart(_lazy_mart(spark, sf_dir), target)
+    return read_mart(spark, target)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Executive KPIs in one lazy plan from the raw tables, with no stored mart."""
+    return amounts_as_double(kpis.kpi_comparison(_lazy_mart(spark, sf_dir), CFG))
 
 
 def _on_tables(operator: Callable[[ShopTables], DataFrame]) -> Query:
     return lambda spark, sf_dir: amounts_as_double(operator(_shop(spark, sf_dir)))
 
 
+def _on_base(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: amounts_as_double(operator(_base(spark, sf_dir)))
+
+
 def _on_mart(operator: Callable[[DataFrame, ShopTables], DataFrame]) -> Query:
     return lambda spark, sf_dir: amounts_as_double(
         operator(_mart(spark, sf_dir), _shop(spark, sf_dir))
@@ -68,8 +101,8 @@ def _has_items(t: ShopTables) -> DataFrame:
     return order_mart.with_order_facts(_window(t), *facts).select("order_id", "has_order_items")
 
 
-def _zero_filled(t: ShopTables) -> DataFrame:
-    return order_mart.order_base(t, CFG).select(
+def _zero_filled(base: DataFrame) -> DataFrame:
+    return base.select(
         "order_id",
         *order_mart.ITEM_MEASURES,
         *order_mart.PAYMENT_MEASURES,
@@ -80,10 +113,6 @@ def _zero_filled(t: ShopTables) -> DataFrame:
     )
 
 
-def _financials(t: ShopTables) -> DataFrame:
-    return order_mart.order_financials(order_mart.order_base(t, CFG))
-
-
 def _by_category(operator) -> Query:
     return _on_mart(lambda m, t: operator(m, t.order_items, t.products, t.returns, CFG))
 
@@ -99,7 +128,7 @@ SHOP_QUERIES: dict[str, Query] = {
     "returns_by_order": _on_tables(
         lambda t: order_facts.returns_by_order(t.returns, t.order_items, CFG)
     ),
-    "order_base": _on_tables(lambda t: order_mart.order_base(t, CFG)),
+    "order_base": _on_base(lambda base: base),
     "normalize_region": _on_tables(
         lambda t: order_mart.with_normalized_region(_window(t), CFG).select(
             "order_id", "shipping_region", "normalized_shipping_region"
@@ -126,9 +155,9 @@ SHOP_QUERIES: dict[str, Query] = {
         )
     ),
     "has_items_flag": _on_tables(_has_items),
-    "zero_fill": _on_tables(_zero_filled),
-    "order_financials": _on_tables(
-        lambda t: _financials(t).select(
+    "zero_fill": _on_base(_zero_filled),
+    "order_financials": _on_base(
+        lambda base: order_mart.order_financials(base).select(
             "order_id",
             "is_delivered_by_cutoff",
             "net_revenue_uah",
@@ -136,8 +165,8 @@ SHOP_QUERIES: dict[str, Query] = {
             "net_sold_quantity",
         )
     ),
-    "order_metrics": _on_tables(
-        lambda t: order_mart.order_metrics(_financials(t)).select(
+    "order_metrics": _on_base(
+        lambda base: order_mart.order_metrics(order_mart.order_financials(base)).select(
             "order_id",
             "net_revenue_uah",
             "gross_profit_uah",
@@ -146,7 +175,9 @@ SHOP_QUERIES: dict[str, Query] = {
             "is_fully_reversed_sale",
         )
     ),
-    "order_level_mart": _on_mart(lambda m, t: order_mart.in_report_order(m)),
+    "order_level_mart": _on_base(
+        lambda base: order_mart.in_report_order(order_mart.mart_from_base(base))
+    ),
     "kpi_comparison": _on_mart(lambda m, t: kpis.kpi_comparison(m, CFG)),
     "monthly_yoy": _on_mart(lambda m, t: kpis.monthly_yoy(m, CFG)),
     "customer_mix": _on_mart(lambda m, t: kpis.customer_mix(m, CFG)),

@@ -45,15 +45,15 @@ def local_session(cores: int | str = 8, app: str = "shopledger", **extra: str) -
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str | None:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local session, where the one machine is the cluster, may fall back
-    to a temporary folder.
+    Where that is unset, a local session, whose one machine is the cluster, gets
+    a temporary folder and a cluster gets none.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="shopledger-")
+        return configured.rstrip("/")
+    if spark.sparkContext.master.startswith("local"):
+        return tempfile.mkdtemp(prefix="shopledger-")
+    return None

@@ -117,7 +117,8 @@ def sample_orders(orders: DataFrame) -> DataFrame:
 
 def sample_order_items(lineitem: DataFrame) -> DataFrame:
     price, pieces = _amount("900 + l_partkey % 100"), "CAST(l_quantity AS INT)"
-    discount = f"CAST(l_discount AS DECIMAL(4,2)) * {price} * {pieces}"
+    # Whole percent of whole prices gives whole cents, which cost less than decimals.
+    discount = f"CAST(rint(l_discount * 100) AS INT) * (900 + l_partkey % 100) * {pieces} * 0.01BD"
     return _select(
         lineitem,
         "order_items",

@@ -116,15 +116,23 @@ class ShopTables:
 def read_table(
     spark: SparkSession, name: str, location: str, source_format: str = "parquet"
 ) -> DataFrame:
-    """One input table with its fixed schema, from files or (``table``) the catalog."""
+    """One input table with its fixed schema, from files or (``table``) the catalog.
+
+    Text formats are read with the schema. Formats that carry their own types
+    are read as stored and cast, which costs nothing where the types agree and
+    otherwise accepts wider numbers and zoned timestamps.
+    """
     schema = SCHEMAS[name]
     if source_format == "table":
         found = spark.table(location)
-        return found.select([found[f.name].cast(f.dataType).alias(f.name) for f in schema])
-    reader = spark.read.schema(schema)
-    if source_format == "csv":
-        reader = reader.option("header", True).option("enforceSchema", False)
-    return reader.format(source_format).load(location)
+    elif source_format in ("csv", "json"):
+        reader = spark.read.schema(schema)
+        if source_format == "csv":
+            reader = reader.option("header", True).option("enforceSchema", False)
+        found = reader.format(source_format).load(location)
+    else:
+        found = spark.read.format(source_format).load(location)
+    return found.select([found[f.name].cast(f.dataType).alias(f.name) for f in schema])
 
 
 def read_tables(

@@ -91,23 +91,26 @@ def flag_counts(df: DataFrame, total: str, rules: Mapping[str, Column]) -> DataF
 # --- joins ------------------------------------------------------------------
 
 
-def left_join_optional(
+def left_join_spread(
     left: DataFrame, right: DataFrame, key: str, spread_by: str
 ) -> DataFrame:
-    """Left join on a key that may be NULL for very many left rows.
-
-    Hashing on the key alone would send all NULL rows to one task, so NULLs are
-    filled from ``spread_by`` (same type as the key), which scatters those rows;
-    the second condition keeps a filled key from ever matching. The right side
-    is still partitioned by its plain key, so a grouping by that key is reused.
-    A right side that is small by its statistics is broadcast, and a hot
-    non-NULL key is split by AQE.
+    """Left join on a key that may be NULL, or one value, for a third of the left rows.
+
+    Hashing on the key alone would send all NULL rows to one task. The second
+    join key fills NULLs from ``spread_by`` (same type as the key), which
+    scatters those rows; the first demands the real key, so they match nothing.
+
+    The key pair also makes Spark shuffle both sides for this very join, even a
+    right side already grouped by the key. That is wanted: AQE splits a hot key
+    only between two fresh shuffles. A small right side is broadcast as usual.
     """
     right_key = f"__{key}"
     renamed = right.withColumnRenamed(key, right_key)
     spread = F.coalesce(left[key], left[spread_by])
     return left.join(
-        renamed, (spread == renamed[right_key]) & left[key].isNotNull(), "left"
+        renamed,
+        (left[key] == renamed[right_key]) & (spread == renamed[right_key]),
+        "left",
     ).drop(right_key)
 
 

@@ -19,7 +19,7 @@ from shopledger.functions.columns import (
     safe_ratio,
     total,
 )
-from shopledger.functions.frames import left_join_optional, pivot_max
+from shopledger.functions.frames import left_join_spread, pivot_max
 from shopledger.operators.kpis import successful
 
 
@@ -104,7 +104,7 @@ def category_year(
     best-seller reaches that join as one row per year.
     """
     sold = order_items.join(successful_period_orders(mart, cfg), "order_id")
-    lines = left_join_optional(
+    lines = left_join_spread(
         sold, completed_returns_by_item(returns, cfg), "order_item_id", "order_id"
     )
     per_product = lines.groupBy("product_id", "order_year").agg(

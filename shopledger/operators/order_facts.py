@@ -6,7 +6,7 @@ payments and returns of one order never multiply each other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shopledger.config import AnalysisConfig
 from shopledger.functions.columns import (
@@ -17,7 +17,7 @@ from shopledger.functions.columns import (
     on_or_before,
     sum_where,
 )
-from shopledger.functions.frames import left_join_optional
+from shopledger.functions.frames import left_join_spread
 
 
 def items_by_order(order_items: DataFrame) -> DataFrame:
@@ -77,55 +77,34 @@ def returns_by_order(
     """Return requests up to the cutoff and the cost of the goods that came back.
 
     A return row counts once per item row carrying its item id (once if there is
-    none). Both sides are collapsed to the item id before they meet: the items
-    to how many they are and what they cost together, the returns to their sums
-    per order. Copies of an item id are then multiplied out by arithmetic, not
-    by joining every pair.
+    none). The items are collapsed to how many share an id and what they cost
+    together, so copies of an id are multiplied out by arithmetic, not by
+    joining every pair.
     """
     status, quantity = F.col("return_status"), F.col("returned_quantity")
-
-    def has(name: str):
-        return status == name
-
-    per_item = (
-        returns.filter(on_or_before(F.col("return_request_ts"), cfg.cutoff))
-        .groupBy("order_id", "order_item_id")
-        .agg(
-            F.count("*").alias("requests"),
-            count_where(has("requested")).alias("requested"),
-            count_where(has("approved")).alias("approved"),
-            count_where(has("completed")).alias("completed"),
-            count_where(has("rejected")).alias("rejected"),
-            sum_where(has("completed"), quantity).alias("pieces"),
-            sum_where(has("completed"), cents(F.col("refund_amount_uah"))).alias("refund"),
-            F.sum(F.when(has("completed"), quantity)).alias("costed_pieces"),
-            F.max("return_request_ts").alias("last_request"),
-        )
-    )
+    refund = cents(F.col("refund_amount_uah"))
+    completed = status == "completed"
     item_copies = order_items.groupBy("order_item_id").agg(
         F.count("*").alias("copies"), F.sum(cents(F.col("unit_cost_uah"))).alias("unit_costs")
     )
-    matched = left_join_optional(per_item, item_copies, "order_item_id", "order_id").withColumn(
-        "copies", F.coalesce("copies", F.lit(1))
-    )
+    requests = returns.filter(on_or_before(F.col("return_request_ts"), cfg.cutoff))
+    matched = left_join_spread(requests, item_copies, "order_item_id", "order_id")
+    copies = F.coalesce("copies", F.lit(1))
 
-    def repeated(name: str):
-        return F.sum(F.col(name) * F.col("copies"))
+    def requests_where(condition: Column) -> Column:
+        return sum_where(condition, copies)
 
-    # Requests that are not completed cost 0; completed ones of an unknown item
-    # cost NULL, which a sum skips.
-    cost = F.col("unit_costs") * F.col("costed_pieces")
-    cost = F.when(F.col("completed") < F.col("requests"), F.coalesce(cost, F.lit(0))).otherwise(
-        cost
-    )
     return matched.groupBy("order_id").agg(
-        repeated("requests").alias("return_requests_count"),
-        repeated("requested").alias("requested_returns"),
-        repeated("approved").alias("approved_returns"),
-        repeated("completed").alias("completed_returns"),
-        repeated("rejected").alias("rejected_returns"),
-        repeated("pieces").alias("returned_quantity"),
-        from_cents(repeated("refund")).alias("completed_refund_uah"),
-        from_cents(F.sum(cost)).alias("returned_item_cost_uah"),
-        F.max("last_request").alias("last_return_request_ts"),
+        F.sum(copies).alias("return_requests_count"),
+        requests_where(status == "requested").alias("requested_returns"),
+        requests_where(status == "approved").alias("approved_returns"),
+        requests_where(completed).alias("completed_returns"),
+        requests_where(status == "rejected").alias("rejected_returns"),
+        sum_where(completed, quantity * copies).alias("returned_quantity"),
+        from_cents(sum_where(completed, refund * copies)).alias("completed_refund_uah"),
+        # The cost of an unknown item is unknown and left out; its refund is not.
+        from_cents(sum_where(completed, quantity * F.col("unit_costs"))).alias(
+            "returned_item_cost_uah"
+        ),
+        F.max("return_request_ts").alias("last_return_request_ts"),
     )

@@ -16,7 +16,7 @@ from shopledger.functions.columns import (
     within_days,
     zero_if_null,
 )
-from shopledger.functions.frames import left_join_optional
+from shopledger.functions.frames import left_join_spread
 from shopledger.operators.order_facts import (
     items_by_order,
     payments_by_order,
@@ -147,7 +147,7 @@ def with_customers(orders: DataFrame, customers: DataFrame, cfg: AnalysisConfig)
         F.coalesce("customer_channel", F.lit(cfg.unknown_channel_label))
     )
     return (
-        left_join_optional(orders, attributes, "customer_id", "order_id")
+        left_join_spread(orders, attributes, "customer_id", "order_id")
         .withColumn("acquisition_channel", label)
         .drop("customer_channel")
     )

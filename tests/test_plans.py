@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from shopledger.config import AnalysisConfig
-from shopledger.functions.frames import left_join_optional
+from shopledger.functions.frames import left_join_spread
 from shopledger.operators import drivers, kpis
 from shopledger.operators.order_facts import returns_by_order
 from shopledger.operators.order_mart import order_level_mart
@@ -64,17 +64,15 @@ def test_orphans_are_counted_before_the_anti_join(large, stored):
 
 
 def test_mart_moves_orders_twice_and_facts_once(large, stored):
-    """One exchange to meet customers, one to meet the facts, which share a partitioning."""
+    """One exchange to meet customers, one to meet the facts, which share a partitioning.
+
+    The others: customers, items by order and product, items by id, and both
+    sides of the join of returns with items.
+    """
     tables = read_tables(large, tables_under(stored))
     plan = plan_of(order_level_mart(tables, CFG))
     assert len(re.findall(r"Exchange hashpartitioning\(order_id#\d+L, 4\)", plan)) == 4
-    assert plan.count("Exchange") == 4 + 2 + 1 + 3
-
-
-def test_returns_reuse_the_grouping_of_items(large, stored):
-    tables = read_tables(large, tables_under(stored))
-    plan = plan_of(returns_by_order(tables.returns, tables.order_items, CFG))
-    assert len(re.findall(r"Exchange hashpartitioning\(order_item_id#\d+L, 4\)", plan)) == 1
+    assert plan.count("Exchange") == 4 + 2 + 1 + 1 + 2
 
 
 def test_window_and_columns_reach_the_scan(large, stored):
@@ -154,7 +152,7 @@ def _dimension(session):
 def test_null_keys_spread_over_tasks(skewed):
     key = F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 1000)
     left = skewed.range(0, 60_000, 1, 4).select(F.col("id").alias("row_id"), key.alias("k"))
-    joined = left_join_optional(left, _dimension(skewed), "k", "row_id")
+    joined = left_join_spread(left, _dimension(skewed), "k", "row_id")
     sizes = joined.filter("k IS NULL").groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) == 16
     assert max(row["count"] for row in sizes) < 2 * 20_000 / 16
@@ -167,7 +165,7 @@ def test_hot_key_is_split(skewed):
     left = skewed.range(0, 300_000, 1, 8).select(
         F.col("id").alias("row_id"), key.cast("bigint").alias("k")
     )
-    joined = left_join_optional(left, _dimension(skewed), "k", "row_id")
+    joined = left_join_spread(left, _dimension(skewed), "k", "row_id")
     assert joined.agg(F.count("v")).first()[0] == 300_000
     counted = joined.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"))
     counted.collect()
@@ -176,23 +174,42 @@ def test_hot_key_is_split(skewed):
 
 
 def test_copies_of_an_item_are_not_paired(skewed):
-    """A third of items and returns share one id: 10,000 x 1,000 pairs must not appear."""
+    """A third of items and returns share one id: 10,000 x 100,000 pairs must not appear."""
     items = skewed.range(30_000).select(
         F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id")).alias("order_item_id"),
         F.lit(5).cast("decimal(18,2)").alias("unit_cost_uah"),
     )
-    returns = skewed.range(3_000).selectExpr(
+    returns = skewed.range(0, 300_000, 1, 8).selectExpr(
         "if(id % 3 = 0, 1, id) AS order_item_id",
-        "id % 10 AS order_id",
+        "xxhash64(id) AS order_id",
         "'completed' AS return_status",
         "1 AS returned_quantity",
         "CAST(2 AS DECIMAL(18,2)) AS refund_amount_uah",
         "TIMESTAMP_NTZ '2025-01-01' AS return_request_ts",
     )
     facts = returns_by_order(returns, items, CFG)
-    total = facts.agg(F.sum("return_requests_count").alias("n")).first().n
-    brute = returns.join(items, "order_item_id", "left").count()
-    assert total == brute > 10_000_000
-    plan = plan_of(facts)
-    join = plan.index("SortMergeJoin")
-    assert "HashAggregate(keys=[order_item_id" in plan[join:]
+    counted = facts.agg(
+        F.sum("return_requests_count").alias("requests"),
+        F.sum("completed_refund_uah").alias("refunds"),
+        F.sum("returned_item_cost_uah").alias("costs"),
+    )
+    # Id 1 is the shared id and one of the plain ones; 19,999 other ids have an
+    # item, and 180,000 returns have none.
+    pairs = 10_001 * 100_001 + 19_999
+    requests = pairs + 180_000
+    assert [tuple(row) for row in counted.collect()] == [(requests, 2 * requests, 5 * pairs)]
+    assert "skew=true" in plan_of(counted)
+
+
+def test_hot_order_of_a_stored_mart_is_split(skewed, stored_mart, stored):
+    tables = read_tables(skewed, tables_under(stored))
+    hot = F.when(F.col("order_item_id") % 3 == 0, F.lit(5)).otherwise(F.col("order_id"))
+    items = tables.order_items.repartition(8).withColumn("order_id", hot)
+    for _ in range(3):
+        items = items.union(items)
+    report = drivers.category_summary(
+        read_mart(skewed, stored_mart), items, tables.products, tables.returns, CFG
+    )
+    assert report.collect()
+    final = plan_of(report).split("== Initial Plan ==")[0]
+    assert "SortMergeJoin(skew=true) [order_id" in final

@@ -94,22 +94,25 @@ def flag_counts(df: DataFrame, total: str, rules: Mapping[str, Column]) -> DataF
 def left_join_spread(
     left: DataFrame, right: DataFrame, key: str, spread_by: str
 ) -> DataFrame:
-    """Left join on a key that may be NULL, or one value, for a third of the left rows.
+    """Left join on an id that may be NULL, or one value, for a third of the left rows.
 
-    Hashing on the key alone would send all NULL rows to one task. The second
-    join key fills NULLs from ``spread_by`` (same type as the key), which
-    scatters those rows; the first demands the real key, so they match nothing.
+    Hashing on the id alone would send all NULL rows to one task. The second
+    join key fills NULLs from the id in ``spread_by``, which scatters those
+    rows; the first demands the real id, so they match nothing.
 
     The key pair also makes Spark shuffle both sides for this very join, even a
-    right side already grouped by the key. That is wanted: AQE splits a hot key
-    only between two fresh shuffles. A small right side is broadcast as usual.
+    right side already grouped by the id. That is wanted: AQE splits a hot key
+    only between two fresh shuffles. (Comparing complements keeps the optimizer
+    from folding the pair into one key where the id is known not to be NULL.) A
+    small right side is broadcast as usual.
     """
     right_key = f"__{key}"
     renamed = right.withColumnRenamed(key, right_key)
     spread = F.coalesce(left[key], left[spread_by])
     return left.join(
         renamed,
-        (left[key] == renamed[right_key]) & (spread == renamed[right_key]),
+        (left[key] == renamed[right_key])
+        & (F.bitwise_not(spread) == F.bitwise_not(renamed[right_key])),
         "left",
     ).drop(right_key)
 

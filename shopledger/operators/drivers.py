@@ -87,36 +87,6 @@ def completed_returns_by_item(returns: DataFrame, cfg: AnalysisConfig) -> DataFr
     )
 
 
-def category_year(
-    mart: DataFrame,
-    order_items: DataFrame,
-    products: DataFrame,
-    returns: DataFrame,
-    cfg: AnalysisConfig,
-    measures: dict[str, Column],
-) -> DataFrame:
-    """Sums of per-item ``measures`` (in cents) by category and year.
-
-    Covers the successful orders of the comparison months.
-
-    The period's orders cut the items down before anything else is joined, and
-    the measures are summed per product before products are joined, so a
-    best-seller reaches that join as one row per year.
-    """
-    sold = order_items.join(successful_period_orders(mart, cfg), "order_id")
-    lines = left_join_spread(
-        sold, completed_returns_by_item(returns, cfg), "order_item_id", "order_id"
-    )
-    per_product = lines.groupBy("product_id", "order_year").agg(
-        *[F.sum(c).alias(name) for name, c in measures.items()]
-    )
-    return (
-        per_product.join(products.select("product_id", "category"), "product_id")
-        .groupBy("category", "order_year")
-        .agg(*[total(F.sum(from_cents(F.col(name)))).alias(name) for name in measures])
-    )
-
-
 def _item_values() -> dict[str, Column]:
     """Sales before discount, discount, net sales and net cost of one line, in cents."""
     quantity, cost = F.col("quantity"), cents(F.col("unit_cost_uah"))
@@ -132,29 +102,44 @@ def _item_values() -> dict[str, Column]:
     }
 
 
-def category_profit_change(
+def category_totals(
     mart: DataFrame,
     order_items: DataFrame,
     products: DataFrame,
     returns: DataFrame,
     cfg: AnalysisConfig,
 ) -> DataFrame:
-    """Item-based gross profit per category, both years and the change.
+    """Item-based money per category and year over the period's successful orders.
 
-    A line with an unknown cost, price or discount adds nothing at all.
+    The period's orders cut the items down before anything else is joined, and
+    the lines are summed per product before products are joined, so a
+    best-seller reaches that join as one row per year.
+
+    ``profit`` leaves out a line with an unknown price, discount or cost as a
+    whole; ``net_sales`` and ``net_cost`` are summed apart, so there an unknown
+    cost only leaves out that cost.
     """
     values = _item_values()
-    current, previous = cfg.current_year, cfg.previous_year
-    by_year = category_year(
-        mart,
-        order_items,
-        products,
-        returns,
-        cfg,
-        {"profit": values["net_sales"] - values["net_cost"]},
+    values["profit"] = values["net_sales"] - values["net_cost"]
+    sold = order_items.join(successful_period_orders(mart, cfg), "order_id")
+    lines = left_join_spread(
+        sold, completed_returns_by_item(returns, cfg), "order_item_id", "order_id"
+    )
+    per_product = lines.groupBy("product_id", "order_year").agg(
+        *[F.sum(value).alias(name) for name, value in values.items()]
+    )
+    return (
+        per_product.join(products.select("product_id", "category"), "product_id")
+        .groupBy("category", "order_year")
+        .agg(*[total(F.sum(from_cents(F.col(name)))).alias(name) for name in values])
     )
+
+
+def category_profit_change(totals: DataFrame, cfg: AnalysisConfig) -> DataFrame:
+    """Gross profit per category in both years, the change and its direction."""
+    current, previous = cfg.current_year, cfg.previous_year
     both = pivot_max(
-        by_year,
+        totals,
         ["category"],
         "order_year",
         {"profit": (current, "profit"), "profit_before": (previous, "profit")},
@@ -169,22 +154,11 @@ def category_profit_change(
     ).orderBy(F.col("gross_profit_change_uah").desc_nulls_last())
 
 
-def category_summary(
-    mart: DataFrame,
-    order_items: DataFrame,
-    products: DataFrame,
-    returns: DataFrame,
-    cfg: AnalysisConfig,
-) -> DataFrame:
-    """Dashboard form: profit, discount rates and margin per category as fractions.
-
-    Net sales and net cost are summed apart, so an unknown cost only leaves out
-    that cost.
-    """
+def category_summary(totals: DataFrame, cfg: AnalysisConfig) -> DataFrame:
+    """Dashboard form: profit, discount rates and margin per category as fractions."""
     current, previous = cfg.current_year, cfg.previous_year
-    by_year = category_year(mart, order_items, products, returns, cfg, _item_values())
     profit = total(F.col("net_sales") - F.col("net_cost"))
-    rated = by_year.withColumns(
+    rated = totals.withColumns(
         {
             "profit": profit,
             "discount_rate": safe_ratio(F.col("discount"), F.col("sales")),

@@ -1,6 +1,6 @@
 """The whole analysis as one job: checks, mart, reports, CSV extracts.
 
-    spark-submit -m shopledger.plans.pipeline --tables s3://shop/raw --output s3://shop/out
+    spark-submit run_analysis.py --tables /data/shop --output /data/out
 
 The mart is stored once and every report reads it back, so a lost executor
 costs at most one stage of one report.
@@ -32,32 +32,28 @@ def quality_reports(tables: ShopTables) -> dict[str, DataFrame]:
 
 
 def analysis_reports(
-    mart: DataFrame, tables: ShopTables, cfg: AnalysisConfig
+    mart: DataFrame, categories: DataFrame, tables: ShopTables, cfg: AnalysisConfig
 ) -> dict[str, DataFrame]:
-    items, products, returns = tables.order_items, tables.products, tables.returns
     return {
         "kpi_comparison": kpis.kpi_comparison(mart, cfg),
         "monthly_yoy": kpis.monthly_yoy(mart, cfg),
         "customer_mix": kpis.customer_mix(mart, cfg),
-        "discount_scenario": drivers.discount_scenario(mart, items, cfg),
-        "category_profit_change": drivers.category_profit_change(
-            mart, items, products, returns, cfg
-        ),
+        "discount_scenario": drivers.discount_scenario(mart, tables.order_items, cfg),
+        "category_profit_change": drivers.category_profit_change(categories, cfg),
         "region_targets": targets.region_targets(mart, tables.monthly_targets, cfg),
     }
 
 
 def export_reports(
-    mart: DataFrame, tables: ShopTables, cfg: AnalysisConfig
+    mart: DataFrame, categories: DataFrame, tables: ShopTables, cfg: AnalysisConfig
 ) -> dict[str, DataFrame]:
     """The dashboard extracts by the name of their CSV."""
-    items, products, returns = tables.order_items, tables.products, tables.returns
     return {
         "kpi_summary": kpis.kpi_summary(mart, cfg),
         "monthly_kpis": kpis.monthly_kpis(mart, cfg),
         "customer_mix": kpis.customer_mix_summary(mart, cfg),
         "region_summary": targets.region_summary(mart, tables.monthly_targets, cfg),
-        "category_summary": drivers.category_summary(mart, items, products, returns, cfg),
+        "category_summary": drivers.category_summary(categories, cfg),
     }
 
 
@@ -69,6 +65,17 @@ def store_mart(
     return read_mart(spark, f"{output}/order_level_mart")
 
 
+def store_category_totals(
+    spark: SparkSession, mart: DataFrame, tables: ShopTables, cfg: AnalysisConfig, output: str
+) -> DataFrame:
+    """Join items, returns and products once for both category reports."""
+    totals = drivers.category_totals(
+        mart, tables.order_items, tables.products, tables.returns, cfg
+    )
+    totals.write.mode("overwrite").parquet(f"{output}/category_totals")
+    return spark.read.parquet(f"{output}/category_totals")
+
+
 def write_exports(reports: Mapping[str, DataFrame], output: str) -> None:
     for name, report in reports.items():
         write_csv(report, f"{output}/{name}.csv")
@@ -81,8 +88,9 @@ def run(
     cfg = cfg or AnalysisConfig()
     apply_runtime_settings(spark)
     mart = store_mart(spark, tables, cfg, output)
-    write_exports(export_reports(mart, tables, cfg), f"{output}/exports")
-    return {**quality_reports(tables), **analysis_reports(mart, tables, cfg)}
+    categories = store_category_totals(spark, mart, tables, cfg, output)
+    write_exports(export_reports(mart, categories, tables, cfg), f"{output}/exports")
+    return {**quality_reports(tables), **analysis_reports(mart, categories, tables, cfg)}
 
 
 def main(arguments: Sequence[str] | None = None) -> None:

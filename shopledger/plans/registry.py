@@ -113,8 +113,12 @@ def _zero_filled(base: DataFrame) -> DataFrame:
     )
 
 
-def _by_category(operator) -> Query:
-    return _on_mart(lambda m, t: operator(m, t.order_items, t.products, t.returns, CFG))
+def _by_category(report: Callable[[DataFrame, AnalysisConfig], DataFrame]) -> Query:
+    return _on_mart(
+        lambda m, t: report(
+            drivers.category_totals(m, t.order_items, t.products, t.returns, CFG), CFG
+        )
+    )
 
 
 SHOP_QUERIES: dict[str, Query] = {

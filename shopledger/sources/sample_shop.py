@@ -116,7 +116,8 @@ def sample_orders(orders: DataFrame) -> DataFrame:
 
 
 def sample_order_items(lineitem: DataFrame) -> DataFrame:
-    price, pieces = _amount("900 + l_partkey % 100"), "CAST(l_quantity AS INT)"
+    price, cost = _amount("900 + l_partkey % 100"), _amount("500 + l_partkey % 90")
+    pieces = "CAST(l_quantity AS INT)"
     # Whole percent of whole prices gives whole cents, which cost less than decimals.
     discount = f"CAST(rint(l_discount * 100) AS INT) * (900 + l_partkey % 100) * {pieces} * 0.01BD"
     return _select(
@@ -127,7 +128,7 @@ def sample_order_items(lineitem: DataFrame) -> DataFrame:
         product_id=f"if(l_partkey % 211 = 3, {_unknown('l_partkey')}, l_partkey)",
         quantity=f"if(l_partkey % 307 = 1, 0, {pieces})",
         unit_price_uah=f"if(l_partkey % 401 = 2, {_amount('-1')}, {price})",
-        unit_cost_uah=f"if(l_partkey % 607 = 7, {_amount('-1')}, {_amount('500 + l_partkey % 90')})",
+        unit_cost_uah=f"if(l_partkey % 607 = 7, {_amount('-1')}, {cost})",
         item_discount_uah=f"""CASE WHEN l_partkey % 503 = 4 THEN {_amount("100000")}
             WHEN l_partkey % 509 = 5 THEN {_amount("-5")} ELSE {_amount(discount)} END""",
     )

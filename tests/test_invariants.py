@@ -78,9 +78,9 @@ def test_region_reports_agree(shop_tables, mart):
 
 def test_category_reports_agree(shop_tables, mart):
     t = shop_tables
-    inputs = (mart, t.order_items, t.products, t.returns, CFG)
-    report = by_key(drivers.category_profit_change(*inputs), "category")
-    extract = by_key(drivers.category_summary(*inputs), "category")
+    totals = drivers.category_totals(mart, t.order_items, t.products, t.returns, CFG)
+    report = by_key(drivers.category_profit_change(totals, CFG), "category")
+    extract = by_key(drivers.category_summary(totals, CFG), "category")
     for category, row in report.items():
         for year in CFG.years:
             name = f"gross_profit_{year}_uah"

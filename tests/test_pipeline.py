@@ -100,7 +100,8 @@ def test_extract_is_one_csv_with_a_header(spark, raw_tables, finished_job, name)
     assert len(files) == 1
     tables = read_tables(spark, tables_under(raw_tables))
     mart = read_mart(spark, f"{output}/order_level_mart")
-    report = pipeline.export_reports(mart, tables, CFG)[name]
+    categories = spark.read.parquet(f"{output}/category_totals")
+    report = pipeline.export_reports(mart, categories, tables, CFG)[name]
     with open(files[0], newline="") as file:
         header, *lines = list(csv.reader(file))
     assert header == report.columns

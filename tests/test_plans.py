@@ -117,7 +117,7 @@ def test_counting_rows_reads_no_columns(spark, stored):
 def test_products_meet_sums_not_lines(large, stored, stored_mart):
     tables = read_tables(large, tables_under(stored))
     plan = plan_of(
-        drivers.category_summary(
+        drivers.category_totals(
             read_mart(large, stored_mart), tables.order_items, tables.products, tables.returns, CFG
         )
     )
@@ -207,9 +207,9 @@ def test_hot_order_of_a_stored_mart_is_split(skewed, stored_mart, stored):
     items = tables.order_items.repartition(8).withColumn("order_id", hot)
     for _ in range(3):
         items = items.union(items)
-    report = drivers.category_summary(
+    totals = drivers.category_totals(
         read_mart(skewed, stored_mart), items, tables.products, tables.returns, CFG
     )
-    assert report.collect()
-    final = plan_of(report).split("== Initial Plan ==")[0]
+    assert totals.collect()
+    final = plan_of(totals).split("== Initial Plan ==")[0]
     assert "SortMergeJoin(skew=true) [order_id" in final

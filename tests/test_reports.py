@@ -121,7 +121,7 @@ def test_discount_scenario(spark):
 
 
 @pytest.fixture(scope="module")
-def category_inputs(spark):
+def category_totals(spark):
     mart = tiny_mart(
         spark, sale(1, "2024-10-01"), sale(2, "2025-10-01"), sale(3, "2025-10-01", ok=0)
     )
@@ -156,11 +156,11 @@ def category_inputs(spark):
             returned(3, 2, at="2026-01-01 00:00:00"),
         ],
     )
-    return mart, items, products, returns, CFG
+    return drivers.category_totals(mart, items, products, returns, CFG)
 
 
-def test_category_profit_change(category_inputs):
-    rows = by_key(drivers.category_profit_change(*category_inputs), "category")
+def test_category_profit_change(category_totals):
+    rows = by_key(drivers.category_profit_change(category_totals, CFG), "category")
     assert tuple(rows["Toys"].values()) == ("Toys", 40, 40, 0, "Growth")
     # The line without a cost adds nothing here.
     assert tuple(rows["Books"].values()) == ("Books", None, 30, None, "Decline")
@@ -168,8 +168,8 @@ def test_category_profit_change(category_inputs):
     assert list(rows)[0] == "Toys"
 
 
-def test_category_summary(category_inputs):
-    rows = by_key(drivers.category_summary(*category_inputs), "category")
+def test_category_summary(category_totals):
+    rows = by_key(drivers.category_summary(category_totals, CFG), "category")
     # Here it keeps its sales and only lacks the cost.
     assert rows["Books"]["gross_profit_2025_uah"] == 130
     assert rows["Books"]["discount_rate_2025_percent"] == 0.05

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shopledger.llm import decontaminate, hilbert, pieces, quality, simhash
+from shopledger.llm import decontaminate, hilbert, merkle, pieces, quality, simhash
 from shopledger.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded_digests(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op5_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edit_likeness(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -66,6 +70,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_hilbert_shards": op3_hilbert_shards,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_merkle_fingerprints": op5_merkle_fingerprints,
     "op6_quality": op6_quality,
     "op8_decontamination": op8_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,

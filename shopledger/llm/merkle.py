@@ -1,7 +1,7 @@
 """Document fingerprints: Merkle trees of leaves, paragraphs and sections.
 
 A paragraph is a line. It is cut into leaves after words whose last bytes hash to a
-multiple of eight, so cuts depend only on nearby text and an edit moves none beyond it.
+multiple of four, so cuts depend only on nearby text and an edit moves none beyond it.
 A section ends at a blank line, or after a paragraph whose digest is a multiple of eight,
 again so that edits stay local. A node's digest covers those of its children; the root's
 covers the whole text, so equal roots mean equal texts.
@@ -31,7 +31,7 @@ from shopledger.llm.common import map_batches, row_bytes
 
 ROOT, SECTION, LEAF = 32, 12, 6  # hex digits of each kind of node in a fingerprint
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-LEAF_BITS, SECTION_BITS = 3, 3
+LEAF_BITS, SECTION_BITS = 2, 3
 LOWEST_ID = -(1 << 63)
 
 

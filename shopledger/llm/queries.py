@@ -7,7 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shopledger.llm import decontaminate, hilbert, merkle, pieces, quality, simhash
+from shopledger.llm import (
+    decontaminate,
+    hilbert,
+    licenses,
+    merkle,
+    pieces,
+    preferences,
+    quality,
+    simhash,
+)
 from shopledger.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +25,21 @@ Query = Callable[[SparkSession, str], DataFrame]
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen, rejected = preferences.swapped_replies(table(spark, sf_dir, "conversations"))
+    pairs = preferences.preference_pairs(chosen, rejected)
+    return pairs.withColumns(
+        {name: preferences.spans_as_text(F.col(name)) for name in ("chosen_spans", "rejected_spans")}
+    )
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_scan(table(spark, sf_dir, "documents"), licenses.known_texts(spark))
+    return found.withColumns(
+        {name: F.array_join(name, ",") for name in ("text_licenses", "line_licenses")}
+    )
+
+
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     shards = hilbert.hilbert_shards(documents, ["lang", "source", "n_chars"], n_shards=40)
@@ -68,6 +92,8 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_preference_formatting": op1_preference_formatting,
+    "op2_license_scan": op2_license_scan,
     "op3_hilbert_shards": op3_hilbert_shards,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_merkle_fingerprints": op5_merkle_fingerprints,
@@ -76,8 +102,101 @@ QUERIES: dict[str, Query] = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
+
+
+def _known_rows() -> str:
+    """The known licences as SQL rows."""
+    rows = [
+        (name, text.replace("'", "''")) for name, texts in licenses.KNOWN.items() for text in texts
+    ]
+    return ",\n".join(f"('{name}', '{text}')" for name, text in rows)
+
+
+def _spelled_sql(column: str) -> str:
+    for variant, one in licenses.SPELLINGS:
+        column = f"replace({column}, '{variant}', '{one}')"
+    return column
+
+
+_LINES_SQL = rf"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(
+    regexp_replace(lower(coalesce(text, '')), '{licenses.COPYRIGHT_LINE}', '', 'g'),
+    '{licenses.RESERVED_LINE}', '', 'g'), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), chr(10)),
+    lambda x: trim(x)), lambda x: x <> '')"""
+
 # DuckDB twins, where SQL can express the operator.
 ORACLE_SQL: dict[str, str] = {
+    "op1_preference_formatting": """
+WITH replies AS (
+  SELECT conv_id, max(turn) AS last_turn, arg_max(coalesce(text, ''), turn) AS reply
+  FROM conversations WHERE role = 'assistant' GROUP BY conv_id
+), paired AS (
+  SELECT r.conv_id, r.last_turn, o.reply AS swapped
+  FROM replies r JOIN replies o ON o.conv_id = xor(r.conv_id, 1)
+), rows AS (
+  SELECT c.conv_id AS pair_id, 0 AS side, c.turn, c.role, c.text
+  FROM conversations c JOIN paired p USING (conv_id) WHERE c.turn <= p.last_turn
+  UNION ALL
+  SELECT c.conv_id, 1, c.turn, c.role, c.text
+  FROM conversations c JOIN paired p USING (conv_id) WHERE c.turn < p.last_turn
+  UNION ALL
+  SELECT conv_id, 1, last_turn, 'assistant', swapped FROM paired
+), clean AS (
+  SELECT DISTINCT pair_id, side, turn, coalesce(role, 'unknown') AS role,
+    replace(coalesce(text, ''), '<|', '< |') AS text FROM rows
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn, role, text) AS k
+  FROM clean
+), compared AS (
+  SELECT a.pair_id, a.k, b.k IS NOT NULL AND a.role = b.role AND a.text = b.text AS same
+  FROM (SELECT * FROM numbered WHERE side = 0) a
+  LEFT JOIN (SELECT * FROM numbered WHERE side = 1) b ON a.pair_id = b.pair_id AND a.k = b.k
+), prefix AS (
+  SELECT pair_id, coalesce(min(k) FILTER (WHERE NOT same) - 1, max(k)) AS n
+  FROM compared GROUP BY pair_id
+), rendered AS (
+  SELECT n.pair_id, side, k, p.n, role, '<|' || role || '|>' || chr(10) AS head,
+    n.text || '<|end|>' || chr(10) AS body
+  FROM numbered n JOIN prefix p USING (pair_id)
+), placed AS (
+  SELECT *, CASE WHEN k > n THEN coalesce(sum(CASE WHEN k > n THEN length(head) + length(body)
+    ELSE 0 END) OVER (PARTITION BY pair_id, side ORDER BY k
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) END AS start
+  FROM rendered
+)
+SELECT pair_id, CAST(any_value(n) AS INTEGER) AS prompt_turns,
+  coalesce(string_agg(head || body, '' ORDER BY k) FILTER (WHERE side = 0 AND k <= n), '') AS prompt,
+  coalesce(string_agg(head || body, '' ORDER BY k) FILTER (WHERE side = 0 AND k > n), '') AS chosen,
+  coalesce(string_agg(head || body, '' ORDER BY k) FILTER (WHERE side = 1 AND k > n), '') AS rejected,
+  coalesce(string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || '-' ||
+    CAST(CAST(start AS BIGINT) + length(body) AS VARCHAR), ',' ORDER BY k)
+    FILTER (WHERE side = 0 AND k > n AND role = 'assistant'), '') AS chosen_spans,
+  coalesce(string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || '-' ||
+    CAST(CAST(start AS BIGINT) + length(body) AS VARCHAR), ',' ORDER BY k)
+    FILTER (WHERE side = 1 AND k > n AND role = 'assistant'), '') AS rejected_spans
+FROM placed GROUP BY pair_id""",
+    "op2_license_scan": f"""
+WITH known(license_id, text) AS (VALUES {_known_rows()}),
+forms AS (
+  SELECT DISTINCT license_id, sha256({_spelled_sql("array_to_string(lines, ' ')")}) AS digest
+  FROM (SELECT license_id, {_LINES_SQL} AS lines FROM known) WHERE len(lines) > 0
+), d AS (
+  SELECT doc_id, {_LINES_SQL} AS lines FROM documents
+), units AS (
+  SELECT doc_id, true AS whole, sha256({_spelled_sql("array_to_string(lines, ' ')")}) AS digest
+  FROM d WHERE len(lines) > 0
+  UNION ALL
+  SELECT doc_id, false, sha256({_spelled_sql("line")})
+  FROM (SELECT doc_id, unnest(lines) AS line FROM d)
+), found AS (
+  SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id)
+      FILTER (WHERE whole) AS t,
+    string_agg(DISTINCT license_id, ',' ORDER BY license_id) FILTER (WHERE NOT whole) AS l,
+    count(*) FILTER (WHERE NOT whole) AS n
+  FROM units JOIN forms USING (digest) GROUP BY doc_id
+)
+SELECT DISTINCT d.doc_id, coalesce(t, '') AS text_licenses, coalesce(l, '') AS line_licenses,
+  CAST(coalesce(n, 0) AS BIGINT) AS n_lines
+FROM d LEFT JOIN found USING (doc_id)""",
     "op8_decontamination": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(

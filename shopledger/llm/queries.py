@@ -11,6 +11,7 @@ from shopledger.llm import (
     decontaminate,
     hilbert,
     licenses,
+    line_dedup,
     merkle,
     pieces,
     preferences,
@@ -91,6 +92,18 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicated(table(spark, sf_dir, "documents"), threshold=2, min_chars=24)
+    return found.select(
+        "doc_id",
+        "n_lines",
+        "n_removed",
+        "n_links",
+        F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"),
+        F.sha2("text", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_preference_formatting": op1_preference_formatting,
     "op2_license_scan": op2_license_scan,
@@ -100,6 +113,7 @@ QUERIES: dict[str, Query] = {
     "op6_quality": op6_quality,
     "op8_decontamination": op8_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 

@@ -181,6 +181,29 @@ def _scanner(sent, key: str, window: int, first: bool, last: bool):
     return run
 
 
-def keep_clean(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Ids of the rows in which no benchmark window occurs."""
-    return contamination(df, benchmark, **options).where(F.col("n_hit") == 0).select("doc_id")
+def clean(
+    df: DataFrame,
+    benchmark: DataFrame,
+    window: int = 10,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    block_windows: int = BLOCK_WINDOWS,
+) -> DataFrame:
+    """The rows, with all their columns, in which no benchmark window occurs."""
+    spark = df.sparkSession
+
+    def keeping(sent, key: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            symbols, automaton = _automaton(key, sent.value, window)
+            for batch in batches:
+                texts = row_bytes(batch.column(text_col))
+                kept = [not _scan(words_of(text), symbols, automaton)[1] for text in texts]
+                yield batch.filter(pa.array(kept, pa.bool_()))
+
+        return run
+
+    for items, _ in _blocks(benchmark, item_col, item_text_col, window, block_windows):
+        sent = spark.sparkContext.broadcast(items)
+        df = map_batches(df, keeping(sent, uuid4().hex), df.schema)
+    return df

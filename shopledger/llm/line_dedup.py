@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from shopledger.llm.common import map_batches, row_bytes, stored
 
@@ -552,21 +552,26 @@ def line_decisions(
     return by_document.select("doc_id", "tie", "dropped", "sources", n_links.alias("n_links"))
 
 
-def _tied(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _tied(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return df.select(
         F.col(id_col).cast("long").alias("doc_id"), text.alias("text"),
-        F.xxhash64(text).alias("tie"),
+        F.xxhash64(text).alias("tie"), *more,
     )
 
 
 def deduplicated(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    columns: tuple[str, ...] = (),
+    **options,
 ) -> DataFrame:
     """Every document with its kept text.
 
     ``doc_id``, ``text`` (kept lines joined by line breaks), ``n_lines``, ``n_removed``,
-    ``n_links`` and ``sources``. Texts are compressed where they move whole.
+    ``n_links`` and ``sources``, then the ``columns`` asked for, unchanged. Texts are
+    compressed where they move whole.
     """
     decisions = line_decisions(df, id_col=id_col, text_col=text_col, **options)
 
@@ -575,8 +580,8 @@ def deduplicated(
         for batch in batches:
             texts = [work(text) for text in row_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(texts, pa.binary())],
-                ["doc_id", "tie", "packed"],
+                [batch.column(0), batch.column(2), pa.array(texts, pa.binary()), *batch.columns[3:]],
+                ["doc_id", "tie", "packed", *columns],
             )
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -594,24 +599,37 @@ def deduplicated(
                     batch.column(0),
                     pa.array(kept, pa.binary()).cast(pa.string()),
                     pa.array(counts, pa.int64()),
-                    batch.column(3),
-                    batch.column(4),
-                    batch.column(5),
+                    *batch.columns[3:],
                 ],
-                ["doc_id", "text", "n_lines", "n_removed", "n_links", "sources"],
+                ["doc_id", "text", "n_lines", *batch.schema.names[3:]],
             )
 
-    packed = map_batches(
-        _tied(df, id_col, text_col), pack, "doc_id long, tie long, packed binary"
+    more = [df.schema[name] for name in columns]
+    packed_schema = T.StructType(
+        [
+            T.StructField("doc_id", T.LongType()),
+            T.StructField("tie", T.LongType()),
+            T.StructField("packed", T.BinaryType()),
+            *more,
+        ]
     )
+    packed = map_batches(_tied(df, id_col, text_col, *columns), pack, packed_schema).alias("p")
     same = F.col("p.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("p.tie") == F.col("d.tie"))
-    joined = packed.alias("p").join(decisions.alias("d"), same, "left").select(
+    joined = packed.join(decisions.alias("d"), same, "left").select(
         "p.doc_id",
         "packed",
-        "dropped",
-        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("sources", F.array().cast("array<long>")).alias("sources"),
+        "d.dropped",
+        F.coalesce(F.size("d.dropped"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("d.n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("d.sources", F.array().cast("array<long>")).alias("sources"),
+        *[f"p.{name}" for name in columns],
+    )
+    schema = T.StructType(
+        [
+            T.StructField("doc_id", T.LongType()),
+            T.StructField("text", T.StringType()),
+            T.StructField("n_lines", T.LongType()),
+            *joined.schema.fields[3:],
+        ]
     )
-    schema = "doc_id long, text string, n_lines long, n_removed long, n_links long, sources array<long>"
     return map_batches(joined, unpack, schema)

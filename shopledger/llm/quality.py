@@ -236,6 +236,21 @@ def fitted(
     return _calibrated(calibration, model)
 
 
+def _learned(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, **options) -> Model:
+    """The model out of stored statistics (``doc_id``, ``x``) and a table of labels."""
+    marked = (
+        labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+        .groupBy(F.col(id_col).cast("long").alias("doc_id"))
+        .agg(F.avg(F.col(label_col).cast("double")).alias("y"))
+        .where(~held_out())
+    )
+    labelled = stored(
+        rows.join(marked, "doc_id").withColumn("fold", F.floor(_crc("doc_id") / 3) % 4),
+        "labelled",
+    )
+    return fitted(labelled.where("fold != 0"), labelled.where("fold = 0"), **options)
+
+
 def quality_scores(
     df: DataFrame,
     labels: DataFrame,
@@ -250,17 +265,7 @@ def quality_scores(
     the id's checksum, fit the ridge, the rest the calibration.
     """
     rows = stored(with_statistics(df, id_col, text_col), "statistics")
-    marked = (
-        labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-        .groupBy(F.col(id_col).cast("long").alias("doc_id"))
-        .agg(F.avg(F.col(label_col).cast("double")).alias("y"))
-        .where(~held_out())
-    )
-    labelled = stored(
-        rows.join(marked, "doc_id").withColumn("fold", F.floor(_crc("doc_id") / 3) % 4),
-        "labelled",
-    )
-    model = fitted(labelled.where("fold != 0"), labelled.where("fold = 0"), **options)
+    model = _learned(rows, labels, id_col, label_col, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,3 +281,27 @@ def quality_scores(
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def accepted(
+    df: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    least: float = 0.5,
+    **options,
+) -> DataFrame:
+    """The rows, with all their columns, whose score is at least ``least``.
+
+    Texts stay where they are: they are scored again in place instead of being joined.
+    """
+    rows = stored(with_statistics(df, id_col, text_col), "statistics")
+    model = _learned(rows, labels, id_col, label_col, **options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = model.score(statistics(batch.column(text_col)))
+            yield batch.filter(pa.array(score >= least))
+
+    return map_batches(df, run, df.schema)

@@ -58,7 +58,7 @@ def fingerprint(text: bytes, shingle: int) -> int:
 def fingerprints(
     df: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long, for every row."""
+    """``doc_id``, ``tie`` (a hash of the text) and ``fp``, the fingerprint, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,11 +68,16 @@ def fingerprints(
                 batch.num_rows,
             )
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"]
+                [batch.column(0), batch.column(2), pa.array(found.view(np.int64))],
+                ["doc_id", "tie", "fp"],
             )
 
-    slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_batches(slim, run, "doc_id long, fp long")
+    slim = df.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).alias("text"),
+        F.xxhash64(text_col).alias("tie"),
+    )
+    return map_batches(slim, run, "doc_id long, tie long, fp long")
 
 
 def segments(max_distance: int) -> list[tuple[int, int]]:
@@ -230,6 +235,19 @@ def links(fps: DataFrame, max_distance: int = 3, run_limit: int = RUN) -> DataFr
     return walked.where("not heavy").select("a", "b").unionByName(rest.select("a", "b"))
 
 
+def _rooted(
+    df: DataFrame, shingle: int, max_distance: int, id_col: str, text_col: str, run_limit: int
+) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows, and the root of each distinct fingerprint with its first id."""
+    prints = stored(fingerprints(df, shingle, id_col, text_col), "fingerprints")
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    roots = connected_components(links(nodes.select("fp"), max_distance, run_limit))
+    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select(
+        "fp", "first_id", F.coalesce("root", "fp").alias("root")
+    )
+    return prints, rooted
+
+
 def near_duplicates(
     df: DataFrame,
     shingle: int = 3,
@@ -239,24 +257,29 @@ def near_duplicates(
     run_limit: int = RUN,
 ) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id``, the smallest id reachable, for every row."""
-    prints = stored(fingerprints(df, shingle, id_col, text_col), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = connected_components(links(nodes.select("fp"), max_distance, run_limit))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
+    prints, rooted = _rooted(df, shingle, max_distance, id_col, text_col, run_limit)
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_fp = rooted.join(named, "root").select("fp", "component_id")
     return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(
+def deduplicated(
     df: DataFrame,
     shingle: int = 3,
     max_distance: int = 3,
     id_col: str = "doc_id",
     text_col: str = "text",
+    run_limit: int = RUN,
 ) -> DataFrame:
-    """Ids to keep: of each group of near-duplicates the row with the smallest id."""
-    found = near_duplicates(df, shingle, max_distance, id_col, text_col)
-    return found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    """The rows, with all their columns, that stay: of each component the one of smallest id.
+
+    A row without id stays only if its component has none with one; of rows equal in id
+    and text one stays.
+    """
+    prints, rooted = _rooted(df, shingle, max_distance, id_col, text_col, run_limit)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    first = prints.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min(place).alias("k"))
+    kept = first.select(F.col("k.doc_id").alias("_id"), F.col("k.tie").alias("_tie"))
+    number = F.col(id_col).cast("long")
+    same = number.eqNullSafe(F.col("_id")) & F.xxhash64(text_col).eqNullSafe(F.col("_tie"))
+    return df.join(kept, same).dropDuplicates(["_id", "_tie"]).drop("_id", "_tie")

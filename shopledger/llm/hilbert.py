@@ -74,12 +74,15 @@ def quantised(df: DataFrame, dimensions: Sequence[str], bits: int) -> dict[str,
     row = df.agg(
         *[F.percentile_approx(x, shares, 10_000).alias(name) for name, x in numbers.items()]
     ).first()
-    steps = {}
-    for name, number in numbers.items():
-        bounds = F.array(*[F.lit(float(b)) for b in sorted(set(row[name] or []))])
-        reached = F.filter(bounds, lambda bound, number=number: bound <= number)
-        steps[name] = F.coalesce(F.size(reached), F.lit(0))
-    return steps
+    return {name: _step(number, sorted(set(row[name] or []))) for name, number in numbers.items()}
+
+
+def _step(number: Column, bounds: list[float]) -> Column:
+    """How many of the bounds the number reaches; none for a null."""
+    if not bounds:
+        return F.lit(0)
+    reached = F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda bound: bound <= number)
+    return F.coalesce(F.size(reached), F.lit(0))
 
 
 def _with_index(df: DataFrame, n_steps: int, bits: int) -> DataFrame:

@@ -141,7 +141,7 @@ def canonical_lines(text: Column) -> Column:
     lowered = F.lower(F.coalesce(text, F.lit("")))
     dropped = F.regexp_replace(F.regexp_replace(lowered, COPYRIGHT_LINE, ""), RESERVED_LINE, "")
     lines = F.split(F.regexp_replace(dropped, NO_WORD, " "), "\n")
-    return F.filter(F.transform(lines, F.trim), lambda line: line != "")
+    return F.filter(F.transform(lines, lambda line: F.trim(line)), lambda line: line != "")
 
 
 def license_scan(

@@ -64,6 +64,7 @@ def expected(docs, threshold, min_chars):
             for other in lines
             if other != line
             and min(len(line), len(other)) >= min_chars
+            and abs(len(line) - len(other)) <= threshold
             and distance(line, other) <= threshold
         }
         for line in lines

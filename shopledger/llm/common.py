@@ -61,11 +61,25 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+Batches = Iterator[pa.RecordBatch]
+# Bytes of a batch that a function gets at once. What it makes of them, as Python objects, is a
+# multiple of that; a text of its own may be longer.
+SLICE_BYTES = 4 << 20
+
+
+def _slices(batches: Batches, limit: int) -> Batches:
+    for batch in batches:
+        rows = max(1, batch.num_rows * limit // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_batches(
-    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema
+    df: DataFrame, function: Callable[[Batches], Batches], schema, slice_bytes: int = SLICE_BYTES
 ) -> DataFrame:
+    """``mapInArrow`` over slices of bounded size."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(lambda batches: function(_slices(batches, slice_bytes)), schema)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -83,6 +97,6 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def row_bytes(column: pa.Array) -> Iterator[bytes]:
     """The rows of a string or binary column as bytes; a null row is empty."""
     data, offsets = text_bytes(column)
-    whole, at = data.tobytes(), offsets.tolist()
+    view, at = memoryview(data), offsets.tolist()
     for start, end in zip(at, at[1:]):
-        yield whole[start:end]
+        yield bytes(view[start:end])

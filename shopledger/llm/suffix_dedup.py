@@ -43,6 +43,8 @@ GRAM = 32
 BLOCK = 50_000
 # Suffixes that are sorted at once if their keys are small.
 HELD = 50_000
+# Bytes of texts within which equal keys and contexts are put together.
+COMBINED_BYTES = 16 << 20
 MASK = (1 << 64) - 1
 # A row's second number: text tie, position, which half is the key, and a mark.
 TIE_BITS, TIE_AT, PLACE_AT = 28, 34, 2
@@ -180,7 +182,8 @@ def _key_rows(texts: DataFrame, width: int) -> DataFrame:
             ["key", "doc_id", "at", "span"],
         )
 
-    return map_batches(texts, run, "key long, doc_id long, at long, span long")
+    schema = "key long, doc_id long, at long, span long"
+    return map_batches(texts, run, schema, COMBINED_BYTES)
 
 
 def _repeating(rows: DataFrame) -> DataFrame:
@@ -273,7 +276,7 @@ def _contexts(documents: DataFrame, width: int) -> DataFrame:
                 [pa.array(c, kind) for c, kind in zip(columns, KINDS)], NAMES
             )
 
-    return map_batches(documents, run, CONTEXT_SCHEMA)
+    return map_batches(documents, run, CONTEXT_SCHEMA, COMBINED_BYTES // 2)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -361,6 +364,8 @@ def repeated_strings(
 
 
 def _with_partner(kind: np.ndarray) -> np.ndarray:
+    if not len(kind):
+        return np.zeros(0, bool)
     same = kind[1:] == kind[:-1]
     return np.concatenate([[False], same]) | np.concatenate([same, [False]])
 

@@ -10,7 +10,9 @@ Equal keys give candidates, which are verified by a banded bit-parallel edit dis
 Keys are sorted by Spark and walked run by run, so a task holds one short run. A run with
 more than ``run_pairs`` candidates is not multiplied out: both lines contain its segment,
 so the rests of the lines are within the distance too, and the rests are joined the same way
-under keys of their own. What is still long after that is joined in blocks by Spark.
+under keys of their own. What is still long after that is cut into blocks; each pair of
+blocks is compared in a task of its own, first by counts of characters, and only links
+leave it.
 
 A line occurrence is dropped if an equal or linked line occurs before it (by document id,
 then line number). Blank lines always stay; lines shorter than ``min_chars`` are only compared
@@ -36,8 +38,12 @@ from shopledger.llm.common import map_batches, row_bytes, stored
 
 THRESHOLD = 2
 MIN_CHARS = 24
-RUN_PAIRS = 4096
-SEEN = 500_000
+RUN_PAIRS = 32
+# Lines of a long run that are compared with as many others at once.
+BLOCK = 1024
+# Bins of characters whose counts are compared before the edit distance is worked out.
+BINS = 16
+SEEN = 200_000
 # Bits of the filter that picks the lines whose text is looked up: for each line, and at most.
 BITS_PER_LINE, MAX_BITS = 16, 1 << 26
 MASK = (1 << 64) - 1
@@ -52,7 +58,7 @@ def segments(length: int, threshold: int) -> list[tuple[int, int]]:
     return [(end - size, end) for size, end in zip(sizes, ends)]
 
 
-@lru_cache(maxsize=20_000)
+@lru_cache(maxsize=4_000)
 def probes(length: int, threshold: int, other: int | None = None) -> list[tuple[int, int, int]]:
     """Seed, start and end of the substrings that can equal a segment of a shorter line.
 
@@ -72,7 +78,7 @@ def probes(length: int, threshold: int, other: int | None = None) -> list[tuple[
     return found
 
 
-@lru_cache(maxsize=20_000)
+@lru_cache(maxsize=4_000)
 def indexed(length: int, threshold: int) -> list[tuple[int, int, int]]:
     return [
         (length * (threshold + 1) + number, start, end)
@@ -133,7 +139,7 @@ def line_keys(texts: DataFrame, threshold: int, min_chars: int) -> DataFrame:
                     keys += found
                     lines += (number, number | 1)
                     counts += (n_own, len(found) - n_own)
-                if len(keys) > 500_000:
+                if len(keys) > 100_000:
                     yield _rows(keys, lines, counts)
                     keys, lines, counts = [], [], []
             if len(seen) > SEEN:
@@ -267,7 +273,7 @@ def _texts_of(texts: DataFrame, lines: DataFrame) -> DataFrame:
                 inside &= (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
             at = [i for i in np.flatnonzero(inside).tolist() if found[i] not in seen]
             at = list({found[i]: i for i in at}.values())
-            if len(seen) < SEEN // 10:
+            if len(seen) < SEEN // 20:
                 seen.update(found[i] for i in at)
             yield pa.RecordBatch.from_arrays(
                 [_signed(number[at]), pa.array([found[i] for i in at], pa.binary())],
@@ -414,6 +420,72 @@ def _rest_keys(heavy: DataFrame, contents: DataFrame, threshold: int) -> DataFra
     return map_batches(rows.select("key", "line", "content"), run, "key long, line long")
 
 
+def _character_counts(texts: list[str]) -> np.ndarray:
+    found = np.zeros((len(texts), BINS), np.int32)
+    for row, text in enumerate(texts):
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        found[row] = np.bincount(codes % BINS, minlength=BINS)
+    return found
+
+
+def _links_within(own: list[str], asking: list[str], threshold: int) -> set[tuple[str, str]]:
+    """Links between two lists of lines. An edit changes counts of characters by two at most."""
+    ours, theirs = _character_counts(own), _character_counts(asking)
+    near: list[tuple[str, str]] = []
+    links: set[tuple[str, str]] = set()
+
+    def verify() -> None:
+        kept = _within_many(near, threshold)
+        links.update((min(p), max(p)) for p, k in zip(near, kept) if k)
+        near.clear()
+
+    for text, counts in zip(own, ours):
+        for at in np.flatnonzero(np.abs(theirs - counts).sum(1) <= 2 * threshold).tolist():
+            if asking[at] != text:
+                near.append((text, asking[at]))
+        if len(near) > 20_000:
+            verify()
+    verify()
+    return links
+
+
+def _blocked(long: DataFrame, contents: DataFrame, threshold: int, block: int) -> DataFrame:
+    """Links between lines of one key, for keys of many lines (``key``, ``line``)."""
+    blocks = long.groupBy("key").agg(
+        F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")
+    )
+    rows = (
+        long.withColumn("number", F.col("line").bitwiseAND(F.lit(-2)))
+        .join(contents.withColumnRenamed("line", "number"), "number")
+        .join(blocks, "key")
+        .withColumn("own", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+                "line", "content")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, asking = None, [], []
+        for batch in batches:
+            for *key, line, content in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != now:
+                    yield found(own, asking)
+                    now, own, asking = key, [], []
+                (asking if line & 1 else own).append(content.decode())
+        yield found(own, asking)
+
+    def found(own: list[str], asking: list[str]) -> pa.RecordBatch:
+        links = sorted(_links_within(own, asking, threshold))
+        columns = zip(*links) if links else ((), ())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x.encode() for x in c], pa.binary()) for c in columns], ["x", "y"]
+        )
+
+    keys = ["key", "low", "high"]
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys)
+    return map_batches(ordered, run, "x binary, y binary")
+
+
 def line_links(
     df: DataFrame,
     threshold: int = THRESHOLD,
@@ -421,6 +493,7 @@ def line_links(
     id_col: str = "doc_id",
     text_col: str = "text",
     run_pairs: int = RUN_PAIRS,
+    block: int = BLOCK,
 ) -> DataFrame:
     """``x`` and ``y``: every pair of different lines within the distance, once."""
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -431,19 +504,13 @@ def line_links(
     heavy_lines = heavy.select(F.col("line").bitwiseAND(F.lit(-2)).alias("line"))
     wanted = light.select(F.explode(F.array("a", "b")).alias("line")).unionByName(heavy_lines)
     contents = stored(_texts_of(texts, stored(wanted.distinct(), "wanted")), "line-texts")
-    candidates = light
-    if not heavy.isEmpty():
-        rests = _walked(_rest_keys(heavy, contents, threshold), run_pairs, "rest-candidates")
-        long = (
-            rests.where("heavy").select(F.col("a").alias("key"), F.col("b").alias("line")).distinct()
-        )
-        own = long.where("line % 2 = 0").select("key", F.col("line").alias("a"))
-        asking = long.where("line % 2 != 0").select(
-            "key", F.col("line").bitwiseAND(F.lit(-2)).alias("b")
-        )
-        blocks = own.join(asking, "key").where("a != b").select(F.least("a", "b"), F.greatest("a", "b"))
-        candidates = candidates.union(rests.where("not heavy").select("a", "b")).union(blocks)
-    return _verified(candidates.distinct(), contents, threshold)
+    rests = _walked(_rest_keys(heavy, contents, threshold), run_pairs, "rest-candidates")
+    long = rests.where("heavy").select(F.col("a").alias("key"), F.col("b").alias("line")).distinct()
+    candidates = light.union(rests.where("not heavy").select("a", "b")).distinct()
+    links = _verified(candidates, contents, threshold).select(
+        F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")
+    )
+    return links.unionByName(_blocked(long, contents, threshold, block)).distinct()
 
 
 def _occurrences(texts: DataFrame) -> DataFrame:
@@ -501,6 +568,7 @@ def line_decisions(
     id_col: str = "doc_id",
     text_col: str = "text",
     run_pairs: int = RUN_PAIRS,
+    block: int = BLOCK,
 ) -> DataFrame:
     """One row per document that has a line to drop, or a linked line.
 
@@ -509,7 +577,7 @@ def line_decisions(
     """
     texts = _tied(df, id_col, text_col)
     links = stored(
-        _class_links(line_links(df, threshold, min_chars, id_col, text_col, run_pairs)),
+        _class_links(line_links(df, threshold, min_chars, id_col, text_col, run_pairs, block)),
         "class-links",
     )
     rows = stored(_occurrences(texts), "occurrences")

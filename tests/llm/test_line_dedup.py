@@ -96,12 +96,13 @@ def found(spark, docs, **options):
     return {r.doc_id: (r.text, r.n_removed, r.n_links, r.sources) for r in rows}
 
 
-@pytest.mark.parametrize("run_pairs", [4096, 1])
+@pytest.mark.parametrize("run_pairs, block", [(4096, 1024), (1, 1024), (0, 2)])
 @pytest.mark.parametrize("threshold", [1, 2, 3])
-def test_same_as_all_pairs(spark, threshold, run_pairs):
+def test_same_as_all_pairs(spark, threshold, run_pairs, block):
     docs = corpus(threshold)
     options = {"threshold": threshold, "min_chars": 2 * threshold + 2}
-    assert found(spark, docs, run_pairs=run_pairs, **options) == expected(docs, **options)
+    sizes = {"run_pairs": run_pairs, "block": block}
+    assert found(spark, docs, **sizes, **options) == expected(docs, **options)
 
 
 def test_verification_is_the_edit_distance():

@@ -9,7 +9,6 @@ and is then timed to its end (all rows and columns computed, none kept).
 import json
 import os
 import sys
-import tempfile
 import time
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
@@ -20,7 +19,7 @@ import pyspark  # noqa: E402
 from shopledger.config import AnalysisConfig  # noqa: E402
 from shopledger.operators.order_mart import order_level_mart  # noqa: E402
 from shopledger.plans.registry import QUERIES, flagship  # noqa: E402
-from shopledger.session import local_session, shared_folder  # noqa: E402
+from shopledger.session import local_session, scratch_folder  # noqa: E402
 from shopledger.sources.sample_shop import sample_tables  # noqa: E402
 from shopledger.sources.sinks import write_mart  # noqa: E402
 
@@ -59,7 +58,7 @@ def main() -> None:
 
     measure("flagship", lambda: consume(flagship(spark, SF_DIR)))
     mart = order_level_mart(sample_tables(spark, SF_DIR), AnalysisConfig())
-    target = tempfile.mkdtemp(prefix="bench-", dir=shared_folder(spark)) + "/mart"
+    target = scratch_folder(spark) + "/mart"
     measure("store_mart", lambda: write_mart(mart, target))
 
     print(

@@ -1,7 +1,23 @@
 """DuckDB CTEs of the order mart."""
 
 from oracle.shop import SHOP, _quoted
-from shopledger.config import REGION_NAMES
+
+# Cleaned spelling of a region -> its name.
+REGION_NAMES = {
+    "dnipropetrovsk": "Dnipropetrovsk",
+    "dnipropetrovska": "Dnipropetrovsk",
+    "ivano frankivsk": "Ivano-Frankivsk",
+    "kharkiv": "Kharkiv",
+    "kyiv": "Kyiv",
+    "kyiv city": "Kyiv City",
+    "lviv": "Lviv",
+    "odesa": "Odesa",
+    "odessa": "Odesa",
+    "poltava": "Poltava",
+    "vinnytsia": "Vinnytsia",
+    "zaporizhia": "Zaporizhzhia",
+    "zaporizhzhia": "Zaporizhzhia",
+}
 
 _names = ", ".join(f"({_quoted(raw)}, {_quoted(name)})" for raw, name in REGION_NAMES.items())
 

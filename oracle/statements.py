@@ -11,7 +11,73 @@ from oracle.mart import (
     RETURN_AMOUNTS,
     RETURN_COUNTS,
 )
-from shopledger.operators.order_mart import BASE_COLUMNS, MART_COLUMNS
+
+# The mart's columns in order.
+BASE_COLUMNS = (
+    "order_id",
+    "customer_id",
+    "order_ts",
+    "order_date",
+    "order_month",
+    "order_year",
+    "order_status",
+    "order_channel",
+    "device_type",
+    "shipping_region",
+    "normalized_shipping_region",
+    "shipping_city",
+    "shipping_fee_uah",
+    "promised_delivery_ts",
+    "delivered_ts",
+    "is_guest_checkout",
+    "acquisition_channel",
+    "loyalty_tier",
+    "customer_home_region",
+    "customer_home_city",
+    "birth_year",
+    "signup_ts",
+    "is_delivered_by_cutoff",
+    "has_order_items",
+    "order_lines_count",
+    "distinct_products_count",
+    "sold_quantity",
+    "item_discount_uah",
+    "item_sales_before_returns_uah",
+    "item_cost_before_returns_uah",
+    "item_gross_profit_before_returns_uah",
+    "payment_events_count",
+    "captured_events",
+    "failed_events",
+    "pending_events",
+    "refunded_events",
+    "chargeback_events",
+    "captured_amount_uah",
+    "payment_refunded_uah",
+    "chargeback_uah",
+    "retained_payment_uah",
+    "latest_payment_status",
+    "last_payment_ts",
+    "return_requests_count",
+    "requested_returns",
+    "approved_returns",
+    "completed_returns",
+    "rejected_returns",
+    "returned_quantity",
+    "completed_refund_uah",
+    "returned_item_cost_uah",
+    "last_return_request_ts",
+)
+MART_COLUMNS = (
+    *BASE_COLUMNS,
+    "net_revenue_uah",
+    "net_item_cost_uah",
+    "net_sold_quantity",
+    "gross_profit_uah",
+    "is_fulfilled_and_captured",
+    "is_retained_sale",
+    "is_fully_reversed_sale",
+    "gross_margin_percent",
+)
 
 PERIOD = "month(order_date) IN (10, 11)"
 SOLD = "is_fulfilled_and_captured = 1"
@@ -488,6 +554,25 @@ HELPERS = {
 }
 
 
+def _scan(table: str, *amounts: str) -> str:
+    shown = ", ".join(amount(name, name) for name in amounts)
+    return f"SELECT * REPLACE ({shown}) FROM f_{table}" if amounts else f"SELECT * FROM f_{table}"
+
+
+# The tables as the readers open them, and an extract that went through CSV.
+SCANS = {
+    "scan_orders": _scan("orders", "shipping_fee_uah"),
+    "scan_order_items": _scan(
+        "order_items", "unit_price_uah", "unit_cost_uah", "item_discount_uah"
+    ),
+    "scan_customers": _scan("customers"),
+    "scan_products": _scan("products"),
+    "scan_payments": _scan("payments", "payment_amount_uah"),
+    "scan_returns": _scan("returns", "refund_amount_uah"),
+    "csv_extract": STATEMENTS["monthly_kpis_export"],
+}
+
+
 def oracle_statements() -> dict[str, str]:
-    shop = {name: statement(select) for name, select in STATEMENTS.items()}
+    shop = {name: statement(select) for name, select in {**STATEMENTS, **SCANS}.items()}
     return {**shop, **HELPERS}

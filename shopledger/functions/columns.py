@@ -13,8 +13,9 @@ from shopledger.config import day_after
 
 # Amounts are exact everywhere, so results do not depend on the order of tasks.
 # Rows are summed as whole cents in BIGINT, which aggregates several times faster
-# than wide decimals and shuffles in 8 bytes; MONEY holds any such sum of one
-# order or product, TOTAL the sums over all of them.
+# than wide decimals and shuffles in 8 bytes. A product or sum beyond BIGINT (over 92
+# quadrillion) raises, as ANSI arithmetic is required; MONEY holds every sum that
+# does not, TOTAL the sums over all orders or products.
 MONEY = T.DecimalType(20, 2)
 TOTAL = T.DecimalType(38, 2)
 

@@ -92,13 +92,13 @@ def flag_counts(df: DataFrame, total: str, rules: Mapping[str, Column]) -> DataF
 
 
 def left_join_spread(
-    left: DataFrame, right: DataFrame, key: str, spread_by: str
+    left: DataFrame, right: DataFrame, key: str, *spread_by: str
 ) -> DataFrame:
     """Left join on an id that may be NULL, or one value, for a third of the left rows.
 
     Hashing on the id alone would send all NULL rows to one task. The second
-    join key fills NULLs from the id in ``spread_by``, which scatters those
-    rows; the first demands the real id, so they match nothing.
+    join key fills NULLs from a hash of the ``spread_by`` columns, which scatters
+    those rows; the first demands the real id, so they match nothing.
 
     The key pair also makes Spark shuffle both sides for this very join, even a
     right side already grouped by the id. That is wanted: AQE splits a hot key
@@ -108,7 +108,7 @@ def left_join_spread(
     """
     right_key = f"__{key}"
     renamed = right.withColumnRenamed(key, right_key)
-    spread = F.coalesce(left[key], left[spread_by])
+    spread = F.coalesce(left[key], F.xxhash64(*[left[name] for name in spread_by]))
     return left.join(
         renamed,
         (left[key] == renamed[right_key])

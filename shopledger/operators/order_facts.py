@@ -79,7 +79,7 @@ def returns_by_order(
     A return row counts once per item row carrying its item id (once if there is
     none). The items are collapsed to how many share an id and what they cost
     together, so copies of an id are multiplied out by arithmetic, not by
-    joining every pair.
+    joining every pair. Only items that were returned go on from there.
     """
     status, quantity = F.col("return_status"), F.col("returned_quantity")
     refund = cents(F.col("refund_amount_uah"))
@@ -88,7 +88,11 @@ def returns_by_order(
         F.count("*").alias("copies"), F.sum(cents(F.col("unit_cost_uah"))).alias("unit_costs")
     )
     requests = returns.filter(on_or_before(F.col("return_request_ts"), cfg.cutoff))
-    matched = left_join_spread(requests, item_copies, "order_item_id", "order_id")
+    returned = requests.select("order_item_id").distinct()
+    item_copies = item_copies.join(returned, "order_item_id", "left_semi")
+    matched = left_join_spread(
+        requests, item_copies, "order_item_id", "order_id", "return_request_ts"
+    )
     copies = F.coalesce("copies", F.lit(1))
 
     def requests_where(condition: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from shopledger.config import AnalysisConfig
 from shopledger.functions.columns import (
+    MONEY,
     calendar_columns,
     flag,
     money,
@@ -102,6 +103,34 @@ MART_COLUMNS = (
 )
 
 
+_KINDS: dict[str, T.DataType] = {
+    **dict.fromkeys(("order_id", "customer_id", "net_sold_quantity"), T.LongType()),
+    **dict.fromkeys(("order_date", "order_month"), T.DateType()),
+    **dict.fromkeys(("order_year", "birth_year"), T.IntegerType()),
+    "shipping_fee_uah": T.DecimalType(18, 2),
+    "gross_margin_percent": T.DoubleType(),
+}
+
+
+def _kind(name: str) -> T.DataType:
+    if name in _KINDS:
+        return _KINDS[name]
+    if name.endswith("_uah"):
+        return MONEY
+    if name.endswith("_ts"):
+        return T.TimestampNTZType()
+    if name.startswith(("is_", "has_")):
+        return T.IntegerType()
+    measures = (*ITEM_MEASURES, *PAYMENT_MEASURES, *RETURN_MEASURES)
+    return T.LongType() if name in measures else T.StringType()
+
+
+# The types of a stored mart, which an empty one cannot tell by itself.
+MART_SCHEMA = T.StructType(
+    [T.StructField(name, _kind(name)) for name in MART_COLUMNS]
+)
+
+
 def orders_in_window(orders: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     """Orders placed inside the window; the range reaches the scan."""
     return orders.filter(within_days(F.col("order_ts"), cfg.window_start, cfg.window_end))
@@ -158,13 +187,14 @@ def with_order_facts(
 ) -> DataFrame:
     """Attach the three order-grain aggregates; absent measures stay NULL.
 
-    All three arrive partitioned by order, so the orders move once.
+    All three arrive partitioned by order and meet there, without moving, as one row for
+    each order that has any. Orders and facts then meet between two fresh shuffles, which AQE
+    splits where one order id, or none, is held by many rows. The facts move once more for it:
+    one row per order.
     """
-    return (
-        orders.join(items, "order_id", "left")
-        .join(payments, "order_id", "left")
-        .join(returns, "order_id", "left")
-        .withColumn("has_order_items", flag(F.col("order_lines_count").isNotNull()))
+    facts = items.join(payments, "order_id", "full").join(returns, "order_id", "full")
+    return left_join_spread(orders, facts, "order_id", "order_ts", "customer_id").withColumn(
+        "has_order_items", flag(F.col("order_lines_count").isNotNull())
     )
 
 

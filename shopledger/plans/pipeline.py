@@ -1,15 +1,17 @@
 """The whole analysis as one job: checks, mart, reports, CSV extracts.
 
     spark-submit run_analysis.py --tables /data/shop --output /data/out
+    spark-submit run_analysis.py --tables sales --format table --output /data/out --years 2025 2026
 
 The mart is stored once and every report reads it back, so a lost executor
-costs at most one stage of one report.
+costs at most one stage of one report. Every report is stored with all its rows.
 """
 
 from __future__ import annotations
 
 import argparse
 from collections.abc import Mapping, Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,7 +19,7 @@ from shopledger.config import AnalysisConfig
 from shopledger.operators import drivers, kpis, quality, targets
 from shopledger.operators.order_mart import order_level_mart
 from shopledger.session import apply_runtime_settings
-from shopledger.sources.sinks import read_mart, write_csv, write_mart
+from shopledger.sources.sinks import read_mart, write_csv, write_mart, write_report
 from shopledger.sources.tables import ShopTables, read_tables, tables_under
 
 
@@ -84,26 +86,55 @@ def write_exports(reports: Mapping[str, DataFrame], output: str) -> None:
 def run(
     spark: SparkSession, tables: ShopTables, output: str, cfg: AnalysisConfig | None = None
 ) -> dict[str, DataFrame]:
-    """Store mart and extracts under ``output``; returns the reports, not yet run."""
+    """Store mart, extracts and reports under ``output``; returns the stored reports."""
     cfg = cfg or AnalysisConfig()
     apply_runtime_settings(spark)
     mart = store_mart(spark, tables, cfg, output)
     categories = store_category_totals(spark, mart, tables, cfg, output)
     write_exports(export_reports(mart, categories, tables, cfg), f"{output}/exports")
-    return {**quality_reports(tables), **analysis_reports(mart, categories, tables, cfg)}
+    reports = {**quality_reports(tables), **analysis_reports(mart, categories, tables, cfg)}
+    stored = {}
+    for name, report in reports.items():
+        path = f"{output}/reports/{name}"
+        write_report(report, path)
+        stored[name] = spark.read.schema(report.schema).parquet(path)
+    return stored
+
+
+def _config(options: argparse.Namespace) -> AnalysisConfig:
+    """The analysis the options ask for; years alone move the window and cutoff to them."""
+    given = {}
+    if options.years:
+        previous, current = options.years
+        given |= {"previous_year": previous, "current_year": current}
+        given |= {"window_start": date(previous, 1, 1), "window_end": date(current, 12, 31)}
+        given |= {"cutoff": date(current, 12, 31)}
+    if options.window:
+        given |= dict(zip(("window_start", "window_end"), options.window))
+    if options.cutoff:
+        given["cutoff"] = options.cutoff
+    if options.months:
+        given["period_months"] = tuple(options.months)
+    return AnalysisConfig(**given)
 
 
 def main(arguments: Sequence[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("--tables", required=True, help="folder holding the seven input tables")
-    parser.add_argument("--format", default="parquet", help="format of the input tables")
-    parser.add_argument("--output", required=True, help="folder for the mart and the extracts")
+    parser.add_argument(
+        "--tables", required=True, help="folder, or with --format table the schema, of the input"
+    )
+    parser.add_argument("--format", default="parquet", help="format of the input tables, or table")
+    parser.add_argument("--output", required=True, help="folder for mart, reports and extracts")
+    day = date.fromisoformat
+    parser.add_argument("--years", type=int, nargs=2, metavar=("PREVIOUS", "CURRENT"))
+    parser.add_argument("--months", type=int, nargs="+", help="calendar months to compare")
+    parser.add_argument("--window", type=day, nargs=2, metavar=("FIRST", "LAST"), help="order days")
+    parser.add_argument("--cutoff", type=day, help="last day that counts")
     options = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("shopledger").getOrCreate()
-    tables = read_tables(spark, tables_under(options.tables), options.format)
-    for name, report in run(spark, tables, options.output).items():
-        print(name)
-        report.show(100, truncate=False)
+    tables = read_tables(spark, tables_under(options.tables, options.format), options.format)
+    for name in run(spark, tables, options.output, _config(options)):
+        print(f"{options.output}/reports/{name}")
 
 
 if __name__ == "__main__":

@@ -1,7 +1,7 @@
 """Every operator as a named query over one folder of test tables.
 
-Each query reads whole tables. The mart reports read the stored mart, written
-when the first of them is asked for; everything else is one lazy plan. Amounts
+Each query reads whole tables. The mart reports read the stored mart, which
+``store_mart`` writes once for each state of the tables; everything else is one lazy plan. Amounts
 leave as DOUBLE here, after all exact arithmetic, so that results compare across
 engines; the operators themselves return decimals.
 """
@@ -10,17 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import lru_cache
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from shopledger.config import AnalysisConfig
 from shopledger.functions import columns, frames
 from shopledger.operators import drivers, kpis, order_facts, order_mart, quality, targets
-from shopledger.session import shared_folder
+from shopledger.session import scratch_folder, table_state
 from shopledger.sources.sample_shop import sample_tables
-from shopledger.sources.sinks import read_mart, write_mart
-from shopledger.sources.tables import ShopTables
+from shopledger.sources.sinks import read_mart, write_csv, write_mart
+from shopledger.sources.tables import SCHEMAS, ShopTables, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 CFG = AnalysisConfig()
@@ -37,15 +36,27 @@ def amounts_as_double(df: DataFrame) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=4)
+SHOP_SOURCES = ("customer", "lineitem", "nation", "orders", "part", "region")
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Application, folder and the state of the files in it: what a plan may be kept for."""
+    tables = (table_state(spark, f"{sf_dir}/{name}.parquet") for name in SHOP_SOURCES)
+    return (spark.sparkContext.applicationId, sf_dir, *tables)
+
+
 def _shop(spark: SparkSession, sf_dir: str) -> ShopTables:
-    """The shop's lazy tables; queries of one session share them. No rows are kept."""
-    return sample_tables(spark, sf_dir)
+    """The shop's lazy tables; queries on the same files share them. No rows are kept."""
+    return _shop_of(spark, sf_dir, _state(spark, sf_dir))
 
 
 @lru_cache(maxsize=4)
+def _shop_of(spark: SparkSession, sf_dir: str, state: tuple) -> ShopTables:
+    return sample_tables(spark, sf_dir)
+
+
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lazy order base, described once per session and computed by each query."""
+    """The lazy order base, computed by each query."""
     return order_mart.order_base(_shop(spark, sf_dir), CFG)
 
 
@@ -53,20 +64,32 @@ def _lazy_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_mart.mart_from_base(_base(spark, sf_dir))
 
 
-@lru_cache(maxsize=4)
-def _mart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mart as a table in the shared folder, written once and read by every report.
+def store_mart(spark: SparkSession, sf_dir: str, location: str) -> DataFrame:
+    """Write the mart of one folder of test tables to a location, and open what was written.
 
-    Reports then prune its months and columns, share its cost, survive a lost
+    Reports on it prune its months and columns, share its cost, survive a lost
     executor, and shuffle it like any table, so AQE can split a hot order in
-    their joins. Without a shared folder the reports fall back to the lazy mart.
+    their joins.
     """
-    folder = shared_folder(spark)
-    if folder is None:
-        return _lazy_mart(spark, sf_dir)
-    target = f"{folder}/shopledger-{uuid4().hex}/order_level_mart"
-    write_mart(_lazy_mart(spark, sf_dir), target)
-    return read_mart(spark, target)
+    write_mart(_lazy_mart(spark, sf_dir), location)
+    return read_mart(spark, location)
+
+
+_STORED: dict[tuple, str] = {}
+
+
+def _mart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored mart of these tables as they are now; written if there is none yet.
+
+    Kept by the application and the state of the files, so changed input is never
+    answered from an old mart.
+    """
+    key = _state(spark, sf_dir)
+    if key not in _STORED:
+        location = f"{scratch_folder(spark)}/order_level_mart"
+        store_mart(spark, sf_dir, location)
+        _STORED[key] = location
+    return read_mart(spark, _STORED[key])
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,6 +220,44 @@ SHOP_QUERIES: dict[str, Query] = {
     "category_summary_export": _by_category(drivers.category_summary),
 }
 
+# --- readers and the CSV sink -------------------------------------------------
+
+
+def _scan(name: str) -> Query:
+    """A shop table through the reader: from a catalog view, timestamps stored with a zone."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        shop = getattr(_shop(spark, sf_dir), name)
+        since = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {})"
+        zoned = [
+            F.expr(f"timestamp_micros({since.format(f.name)})").alias(f.name)
+            if isinstance(f.dataType, T.TimestampNTZType)
+            else F.col(f.name)
+            for f in shop.schema
+        ]
+        view = f"shopledger_{name}"
+        shop.select(*zoned).createOrReplaceTempView(view)
+        return amounts_as_double(read_table(spark, name, view, "table"))
+
+    return query
+
+
+def _csv_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The monthly extract, written as CSV and read back."""
+    report = kpis.monthly_kpis(_mart(spark, sf_dir), CFG)
+    path = f"{scratch_folder(spark)}/monthly_kpis.csv"
+    write_csv(report, path)
+    return amounts_as_double(
+        spark.read.schema(report.schema).option("header", True).option("enforceSchema", False).csv(path)
+    )
+
+
+SOURCE_QUERIES: dict[str, Query] = {
+    # Monthly targets are a constant here; the region reports read them.
+    **{f"scan_{name}": _scan(name) for name in SCHEMAS if name != "monthly_targets"},
+    "csv_extract": _csv_extract,
+}
+
 # --- the building blocks on the raw test tables ------------------------------
 
 # Cleaned order priorities -> shown names, for the label query.
@@ -367,4 +428,4 @@ HELPER_QUERIES: dict[str, Query] = {
     "helper_target_status": _helper_target_status,
 }
 
-QUERIES: dict[str, Query] = {**SHOP_QUERIES, **HELPER_QUERIES}
+QUERIES: dict[str, Query] = {**SHOP_QUERIES, **SOURCE_QUERIES, **HELPER_QUERIES}

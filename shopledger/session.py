@@ -2,31 +2,52 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+from uuid import uuid4
 
 from pyspark.sql import SparkSession
 
-# Runtime settings applied where the session leaves them unset.
+# Runtime settings the pipelines need.
 # - UTC: calendar columns are taken from UTC timestamps.
+# - ANSI: a sum or product that does not fit raises instead of wrapping around.
 # - forceOptimizeSkewedJoin: split a hot join key even when the split costs an
 #   extra shuffle further up; one slow task is worse than one more exchange.
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
+# Results depend on these; the others only decide how fast they come.
+REQUIRED = ("spark.sql.ansi.enabled",)
 
 
 def apply_runtime_settings(spark: SparkSession) -> SparkSession:
-    """Fill in the runtime settings that were not set when the session was made."""
+    """Fill in the runtime settings that nobody chose, and insist on the required ones.
+
+    A setting counts as chosen if it was given when the session was made, or changed
+    since to a value other than Spark's own.
+    """
     explicit = {key for key, _ in spark.sparkContext.getConf().getAll()}
     for key, value in RUNTIME_SETTINGS.items():
-        if key not in explicit:
+        now = spark.conf.get(key)
+        chosen = key in explicit or now != _SPARK_DEFAULTS.setdefault(key, _default(spark, key))
+        if key in REQUIRED and now != value or not chosen:
             spark.conf.set(key, value)
     return spark
 
 
+_SPARK_DEFAULTS: dict[str, str] = {}
+
+
+def _default(spark: SparkSession, key: str) -> str:
+    """What Spark itself takes for a setting, whatever this session says."""
+    fresh = spark.newSession()
+    fresh.conf.unset(key)
+    return fresh.conf.get(key)
+
+
 def local_session(cores: int | str = 8, app: str = "shopledger", **extra: str) -> SparkSession:
     """Session for tests and the local benchmark; a cluster brings its own."""
     builder = (
@@ -45,15 +66,31 @@ def local_session(cores: int | str = 8, app: str = "shopledger", **extra: str) -
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """Folder every executor can reach, named by ``spark.checkpoint.dir``.
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder for intermediate tables that every executor can reach.
 
-    Where that is unset, a local session, whose one machine is the cluster, gets
-    a temporary folder and a cluster gets none.
+    Under ``spark.checkpoint.dir``, or else in the session's warehouse. It is removed
+    when the driver's Python ends.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="shopledger-")
-    return None
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{root.rstrip('/')}/shopledger-{uuid4().hex}"
+    atexit.register(_remove, spark, folder)
+    return folder
+
+
+def _file_system(spark: SparkSession, path: str):
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return location, location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        location, files = _file_system(spark, folder)
+        files.delete(location, True)
+
+
+def table_state(spark: SparkSession, path: str) -> tuple[int, int]:
+    """When a table's files were last changed, and how many bytes they have."""
+    location, files = _file_system(spark, path)
+    status = files.getFileStatus(location)
+    return status.getModificationTime(), files.getContentSummary(location).getLength()

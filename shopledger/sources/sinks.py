@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from shopledger.operators.order_mart import MART_COLUMNS
+from shopledger.operators.order_mart import MART_SCHEMA
 
 
 def write_mart(mart: DataFrame, target: str, target_format: str = "parquet") -> None:
@@ -18,7 +18,12 @@ def write_mart(mart: DataFrame, target: str, target_format: str = "parquet") ->
     laid_out = mart.hint("rebalance", "order_month").sortWithinPartitions(
         "order_month", "order_ts", "order_id"
     )
-    writer = laid_out.write.mode("overwrite").partitionBy("order_month")
+    # Static: the whole table is replaced, whatever the session says about partitions.
+    writer = (
+        laid_out.write.mode("overwrite")
+        .option("partitionOverwriteMode", "static")
+        .partitionBy("order_month")
+    )
     if target_format == "table":
         writer.format("parquet").saveAsTable(target)
     else:
@@ -26,14 +31,17 @@ def write_mart(mart: DataFrame, target: str, target_format: str = "parquet") ->
 
 
 def read_mart(spark: SparkSession, source: str, source_format: str = "parquet") -> DataFrame:
-    """The stored mart with its columns in order."""
+    """The stored mart with its columns in order; an empty one has no file and still a schema."""
     if source_format == "table":
         stored = spark.table(source)
     else:
-        stored = spark.read.format(source_format).load(source)
-    return stored.withColumn("order_month", F.col("order_month").cast("date")).select(
-        *MART_COLUMNS
-    )
+        stored = spark.read.schema(MART_SCHEMA).format(source_format).load(source)
+    return stored.select([stored[f.name].cast(f.dataType).alias(f.name) for f in MART_SCHEMA])
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """Replace a stored report, all of its rows, in its order."""
+    report.write.mode("overwrite").parquet(path)
 
 
 def write_csv(report: DataFrame, path: str) -> None:

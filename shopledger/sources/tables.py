@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 _AMOUNT = T.DecimalType(18, 2)
 
@@ -113,14 +113,40 @@ class ShopTables:
         return {name: getattr(self, name) for name in SCHEMAS}
 
 
+def _as_stored(found: DataFrame, field: T.StructField, zone: str) -> Column:
+    """A stored column in the type of the schema, with no value changed on the way.
+
+    Equal types are left alone, so their filters reach the scan. A zoned timestamp becomes
+    its UTC wall clock in whatever zone the session is. Any other value that the type cannot
+    hold as it is (a third digit of an amount, a half piece) raises.
+    """
+    column, kind = found[field.name], found.schema[field.name].dataType
+    if kind == field.dataType or isinstance(kind, T.NullType):
+        return column.cast(field.dataType).alias(field.name)
+    if isinstance(field.dataType, T.TimestampNTZType) and isinstance(kind, T.TimestampType):
+        if zone == "UTC":
+            return column.cast(field.dataType).alias(field.name)
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return F.timestamp_add("MICROSECOND", F.unix_micros(column), epoch).alias(field.name)
+    cast = column.try_cast(field.dataType)
+    if isinstance(kind, T.NumericType):
+        kept = column.isNull() | (cast.isNotNull() & (cast.try_cast(kind) == column))
+    else:
+        kept = column.isNull() | cast.isNotNull()
+    problem = F.concat(
+        F.lit(f"{field.name} does not fit {field.dataType.simpleString()}: "), column.cast("string")
+    )
+    return F.when(kept, cast).otherwise(F.raise_error(problem)).alias(field.name)
+
+
 def read_table(
     spark: SparkSession, name: str, location: str, source_format: str = "parquet"
 ) -> DataFrame:
     """One input table with its fixed schema, from files or (``table``) the catalog.
 
     Text formats are read with the schema. Formats that carry their own types
-    are read as stored and cast, which costs nothing where the types agree and
-    otherwise accepts wider numbers and zoned timestamps.
+    are read as stored; where the types differ, wider numbers and zoned timestamps
+    are accepted and a value that would change raises.
     """
     schema = SCHEMAS[name]
     if source_format == "table":
@@ -132,7 +158,8 @@ def read_table(
         found = reader.format(source_format).load(location)
     else:
         found = spark.read.format(source_format).load(location)
-    return found.select([found[f.name].cast(f.dataType).alias(f.name) for f in schema])
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    return found.select([_as_stored(found, f, zone) for f in schema])
 
 
 def read_tables(
@@ -145,6 +172,7 @@ def read_tables(
     return ShopTables(lambda name: read_table(spark, name, locations[name], source_format))
 
 
-def tables_under(root: str) -> dict[str, str]:
-    """Locations of the tables when they lie side by side in one folder."""
-    return {name: f"{root.rstrip('/')}/{name}" for name in SCHEMAS}
+def tables_under(root: str, source_format: str = "parquet") -> dict[str, str]:
+    """Locations of the tables side by side in one folder, or (``table``) in one schema."""
+    between = "." if source_format == "table" else "/"
+    return {name: f"{root.rstrip('/')}{between}{name}" for name in SCHEMAS}

@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from oracle.statements import oracle_statements
+from shopledger.plans.registry import QUERIES as SHOP_QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TYPES = {
@@ -16,7 +18,8 @@ TYPES = {
     "date": "DATE",
     "timestamp_ntz": "TIMESTAMP",
 }
-QUERIES, ORACLE = entry_points.queries(), entry_points.oracle_sql()
+QUERIES = {name: entry_points.queries()[name] for name in SHOP_QUERIES}
+ORACLE = oracle_statements()
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +54,11 @@ def test_entry_runs_the_flagship_query(spark):
     result = entry_points.entry(spark)
     assert result.columns[0] == "order_year"
     assert result.count() == 2
+
+
+def test_the_oracle_stands_alone():
+    folder = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "oracle")
+    for file in os.listdir(folder):
+        if file.endswith(".py"):
+            with open(os.path.join(folder, file)) as source:
+                assert "shopledger" not in source.read()

@@ -2,7 +2,7 @@
 
 import csv
 import glob
-from types import SimpleNamespace
+import os
 
 import pytest
 
@@ -10,7 +10,7 @@ from shopledger.config import AnalysisConfig
 from shopledger.operators import kpis
 from shopledger.operators.order_mart import MART_COLUMNS, order_level_mart
 from shopledger.plans import pipeline
-from shopledger.session import apply_runtime_settings, shared_folder
+from shopledger.session import apply_runtime_settings, scratch_folder, table_state
 from shopledger.sources.sample_shop import sample_tables
 from shopledger.sources.sinks import read_mart, write_csv, write_mart
 from shopledger.sources.tables import SCHEMAS, read_table, read_tables, tables_under
@@ -155,27 +155,116 @@ def test_missing_locations_are_named(spark):
 
 def test_job_from_the_command_line(raw_tables, tmp_path, capfd, spark):
     pipeline.main(["--tables", raw_tables, "--output", str(tmp_path)])
-    shown = capfd.readouterr().out
-    assert "kpi_comparison" in shown and "orphan_rows" in shown
+    assert f"{tmp_path}/reports/kpi_comparison" in capfd.readouterr().out
+    assert spark.read.parquet(f"{tmp_path}/reports/orphans").count() == 5
     stored = read_mart(spark, f"{tmp_path}/order_level_mart")
     assert kpis.kpi_comparison(stored, CFG).count() == 2
 
 
-def _session_like(master, **settings):
-    return SimpleNamespace(
-        conf=SimpleNamespace(get=lambda key, default: settings.get(key, default)),
-        sparkContext=SimpleNamespace(master=master),
+def test_job_on_catalog_tables_for_other_years(spark, raw_tables, tmp_path):
+    spark.sql(f"CREATE DATABASE shop_source LOCATION '{tmp_path}/db'")
+    try:
+        for name in SCHEMAS:
+            spark.read.parquet(f"{raw_tables}/{name}").write.saveAsTable(f"shop_source.{name}")
+        options = ["--format", "table", "--years", "2023", "2024", "--months", "3", "4"]
+        pipeline.main(["--tables", "shop_source", "--output", str(tmp_path / "out"), *options])
+    finally:
+        spark.sql("DROP DATABASE shop_source CASCADE")
+    mart = read_mart(spark, f"{tmp_path}/out/order_level_mart")
+    assert [r[0] for r in mart.select("order_year").distinct().sort("order_year").collect()] == [
+        2023,
+        2024,
+    ]
+    report = spark.read.parquet(f"{tmp_path}/out/reports/kpi_comparison")
+    assert sorted(r.order_year for r in report.collect()) == [2023, 2024]
+
+
+def test_reports_keep_every_row(spark, raw_tables, tmp_path):
+    tables = tables_under(raw_tables)
+    products = spark.read.parquet(tables["products"])
+    products.selectExpr("product_id", "concat('category ', product_id) AS category").write.parquet(
+        str(tmp_path / "products")
     )
+    tables["products"] = str(tmp_path / "products")
+    output = str(tmp_path / "out")
+    pipeline.run(spark, read_tables(spark, tables), output)
+    mart = read_mart(spark, f"{output}/order_level_mart")
+    categories = spark.read.parquet(f"{output}/category_totals")
+    report = spark.read.parquet(f"{output}/reports/category_profit_change")
+    built = pipeline.analysis_reports(mart, categories, read_tables(spark, tables), CFG)
+    assert report.count() == built["category_profit_change"].count() > 100
+
+
+def test_a_mart_is_replaced_whole_in_a_dynamic_session(spark, finished_job, tmp_path):
+    output, _ = finished_job
+    session = spark.newSession()
+    session.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    mart, target = read_mart(session, f"{output}/order_level_mart"), str(tmp_path / "mart")
+    write_mart(mart, target)
+    write_mart(mart.filter("order_year = 2025"), target)
+    assert {r[0] for r in read_mart(session, target).select("order_year").collect()} == {2025}
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_zoned_timestamps_are_utc_in_every_session(spark, raw_tables, tmp_path, zone):
+    orders = read_table(spark, "orders", f"{raw_tables}/orders")
+    orders.withColumn("order_ts", orders.order_ts.cast("timestamp")).write.parquet(
+        str(tmp_path / "orders")
+    )
+    session = spark.newSession()
+    session.conf.set("spark.sql.session.timeZone", zone)
+    again = read_table(session, "orders", str(tmp_path / "orders"))
+    want = session.read.parquet(f"{raw_tables}/orders").select(*again.columns)
+    assert again.exceptAll(want).count() == 0 and again.count() == want.count()
+
+
+@pytest.mark.parametrize(
+    "column, value", [("unit_cost_uah", "0.0049BD"), ("quantity", "1.5D"), ("order_id", "'x'")]
+)
+def test_values_that_would_change_raise(spark, raw_tables, tmp_path, column, value):
+    items = spark.read.parquet(f"{raw_tables}/order_items").limit(3)
+    items.selectExpr(
+        *[f"{value} AS {c}" if c == column else c for c in items.columns]
+    ).write.parquet(str(tmp_path / "items"))
+    with pytest.raises(Exception, match=f"{column} does not fit"):
+        read_table(spark, "order_items", str(tmp_path / "items")).collect()
+
+
+def test_an_empty_shop_has_empty_reports(spark, raw_tables, tmp_path):
+    for name in SCHEMAS:
+        empty = spark.read.parquet(f"{raw_tables}/{name}").limit(0)
+        empty.write.parquet(str(tmp_path / "raw" / name))
+    output = str(tmp_path / "out")
+    reports = pipeline.run(spark, read_tables(spark, tables_under(str(tmp_path / "raw"))), output)
+    mart = read_mart(spark, f"{output}/order_level_mart")
+    assert mart.count() == 0 and tuple(mart.columns) == MART_COLUMNS
+    assert reports["row_counts"].count() == 7
+    assert reports["monthly_yoy"].count() == reports["region_targets"].count() == 0
+
+
+def test_scratch_is_under_a_folder_of_the_session(spark):
+    session = spark.newSession()
+    warehouse = session.conf.get("spark.sql.warehouse.dir")
+    root = session.conf.get("spark.checkpoint.dir", None) or warehouse
+    assert scratch_folder(session).startswith(f"{root}/shopledger-")
+    assert scratch_folder(session) != scratch_folder(session)
 
 
-def test_shared_folder_comes_from_the_session():
-    configured = _session_like("yarn", **{"spark.checkpoint.dir": "/shared/here"})
-    assert shared_folder(configured) == "/shared/here"
-    assert shared_folder(_session_like("yarn")) is None
-    assert shared_folder(_session_like("local[2]"))
+def test_a_changed_table_has_another_state(spark, tmp_path):
+    path = str(tmp_path / "table")
+    spark.range(3).write.parquet(path)
+    before = table_state(spark, path)
+    assert table_state(spark, path) == before
+    os.utime(path, (1, 1))
+    spark.range(30).write.mode("append").parquet(path)
+    assert table_state(spark, path) != before
 
 
 def test_settings_of_the_session_win(spark):
     session = spark.newSession()
+    session.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    session.conf.set("spark.sql.ansi.enabled", "false")
     apply_runtime_settings(session)
-    assert session.conf.get("spark.sql.session.timeZone") == "UTC"
+    assert session.conf.get("spark.sql.adaptive.skewJoin.enabled") == "false"
+    # Without it, sums that do not fit would wrap around in silence.
+    assert session.conf.get("spark.sql.ansi.enabled") == "true"

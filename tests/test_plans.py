@@ -10,7 +10,7 @@ from shopledger.config import AnalysisConfig
 from shopledger.functions.frames import left_join_spread
 from shopledger.operators import drivers, kpis
 from shopledger.operators.order_facts import returns_by_order
-from shopledger.operators.order_mart import order_level_mart
+from shopledger.operators.order_mart import order_level_mart, with_order_facts
 from shopledger.sources.sample_shop import sample_tables
 from shopledger.sources.sinks import read_mart, write_mart
 from shopledger.sources.tables import read_tables, tables_under
@@ -64,15 +64,17 @@ def test_orphans_are_counted_before_the_anti_join(large, stored):
 
 
 def test_mart_moves_orders_twice_and_facts_once(large, stored):
-    """One exchange to meet customers, one to meet the facts, which share a partitioning.
+    """One exchange to meet customers, one to meet the facts, which meet each other first.
 
-    The others: customers, items by order and product, items by id, and both
-    sides of the join of returns with items.
+    Facts: payments, returns, and items by order and product, then by order; items and payments
+    meet returns, and all meet the orders, in fresh shuffles, so that AQE can split a hot order.
+    The others: customers, items by id, returned ids, and both sides of the join of returns with
+    items.
     """
     tables = read_tables(large, tables_under(stored))
     plan = plan_of(order_level_mart(tables, CFG))
     assert len(re.findall(r"Exchange hashpartitioning\(order_id#\d+L, 4\)", plan)) == 4
-    assert plan.count("Exchange") == 4 + 2 + 1 + 1 + 2
+    assert plan.count("Exchange") == 4 + 2 + 2 + 1 + 2 + 2
 
 
 def test_window_and_columns_reach_the_scan(large, stored):
@@ -88,13 +90,6 @@ def test_window_and_columns_reach_the_scan(large, stored):
     assert "latest_payment_status" not in plan
 
 
-def test_unused_facts_are_not_joined(large, stored):
-    tables = read_tables(large, tables_under(stored))
-    mart = order_level_mart(tables, CFG).select("order_id", "sold_quantity")
-    assert "payment_status" not in plan_of(mart)
-    assert "return_status" not in plan_of(mart)
-
-
 def test_reports_read_only_their_months(spark, stored_mart):
     plan = plan_of(kpis.kpi_comparison(read_mart(spark, stored_mart), CFG))
     pruned = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", plan).group(1)
@@ -173,6 +168,29 @@ def test_hot_key_is_split(skewed):
     assert max(row.n for row in counted.collect()) < 60_000
 
 
+@pytest.mark.parametrize("hot", ["7L", "CAST(NULL AS BIGINT)"])
+def test_hot_order_of_the_mart_is_split(skewed, hot):
+    """A third of the orders under one id, or none: no task has far more than the mean."""
+    skewed.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "2")
+    orders = skewed.range(0, 300_000, 1, 8).selectExpr(
+        f"if(id % 3 = 0, {hot}, id) AS order_id",
+        "TIMESTAMP_NTZ '2025-01-01' + make_dt_interval(0, 0, 0, id) AS order_ts",
+        "if(id % 2 = 0, NULL, id) AS customer_id",
+    )
+    facts = [
+        skewed.range(0, 300_000, 1, 8).selectExpr("id AS order_id", f"1L AS {name}")
+        for name in ("order_lines_count", "payment_events_count", "return_requests_count")
+    ]
+    facts = [f.groupBy("order_id").agg(F.sum(f.columns[1]).alias(f.columns[1])) for f in facts]
+    joined = with_order_facts(orders, *facts)
+    counted = joined.groupBy(F.spark_partition_id().alias("p")).agg(
+        F.count("*").alias("n"), F.max("order_ts"), F.max("customer_id")
+    )
+    sizes = [row.n for row in counted.collect()]
+    assert sum(sizes) == 300_000
+    assert max(sizes) < 2.5 * sum(sizes) / len(sizes)
+
+
 def test_copies_of_an_item_are_not_paired(skewed):
     """A third of items and returns share one id: 10,000 x 100,000 pairs must not appear."""
     items = skewed.range(30_000).select(

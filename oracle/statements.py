@@ -570,9 +570,29 @@ SCANS = {
     "scan_payments": _scan("payments", "payment_amount_uah"),
     "scan_returns": _scan("returns", "refund_amount_uah"),
     "csv_extract": STATEMENTS["monthly_kpis_export"],
+    "order_level_mart_sorted": STATEMENTS["order_level_mart"],
+}
+
+# The order of rows in sorted results.
+ROW_ORDER = {
+    "order_level_mart_sorted": "order_ts NULLS FIRST, order_id NULLS FIRST",
+    "kpi_comparison": "order_year",
+    "kpi_summary_export": "order_year",
+    "monthly_yoy": "order_month",
+    "monthly_kpis_export": "order_month",
+    "customer_mix": "order_year, customer_type",
+    "customer_mix_export": "order_year, customer_type",
+    "category_profit_change": "gross_profit_change_uah DESC NULLS LAST",
+    "category_summary_export": "gross_profit_change_uah DESC NULLS LAST",
+    "region_targets": "orders_target_attainment_percent DESC NULLS LAST",
+    "region_summary_export": "orders_target_attainment_percent DESC NULLS LAST",
 }
 
 
 def oracle_statements() -> dict[str, str]:
-    shop = {name: statement(select) for name, select in {**STATEMENTS, **SCANS}.items()}
+    shop = {
+        name: statement(select)
+        + (f"\nORDER BY {ROW_ORDER[name]}" if name in ROW_ORDER else "")
+        for name, select in {**STATEMENTS, **SCANS}.items()
+    }
     return {**shop, **HELPERS}

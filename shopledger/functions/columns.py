@@ -160,6 +160,11 @@ def normalize_label(text: Column, names: Mapping[str, str]) -> Column:
     return F.coalesce(F.try_element_at(lookup, clean_label(text)), text)
 
 
+def target_attainment(actual: Column, target: Column) -> Column:
+    """The fraction of a target that was reached; NULL without a target or with one of 0."""
+    return safe_ratio(actual, target)
+
+
 def target_status(
     orders: Column, orders_target: Column, profit: Column, profit_target: Column
 ) -> Column:

@@ -9,7 +9,7 @@ from shopledger.functions.columns import (
     count_where,
     month_in,
     percent,
-    safe_ratio,
+    target_attainment,
     target_status,
     total,
     zero_if_null,
@@ -63,10 +63,12 @@ def region_targets(
             "region",
             orders,
             orders_goal,
-            percent(safe_ratio(orders, orders_goal)).alias("orders_target_attainment_percent"),
+            percent(target_attainment(orders, orders_goal)).alias(
+                "orders_target_attainment_percent"
+            ),
             total(F.round(profit, 2)).alias("gross_profit_actual_uah"),
             total(F.round(profit_goal, 2)).alias("gross_profit_target_uah"),
-            percent(safe_ratio(profit, profit_goal)).alias(
+            percent(target_attainment(profit, profit_goal)).alias(
                 "gross_profit_target_attainment_percent"
             ),
         )
@@ -88,10 +90,12 @@ def region_summary(
             orders.alias("orders_actual"),
             zero_if_null(F.col("successful_orders")).alias("successful_orders"),
             orders_goal,
-            safe_ratio(orders, orders_goal).alias("orders_target_attainment_percent"),
+            target_attainment(orders, orders_goal).alias("orders_target_attainment_percent"),
             profit.alias("gross_profit_actual_uah"),
             profit_goal,
-            safe_ratio(profit, profit_goal).alias("gross_profit_target_attainment_percent"),
+            target_attainment(profit, profit_goal).alias(
+                "gross_profit_target_attainment_percent"
+            ),
             target_status(orders, orders_goal, profit, profit_goal).alias("target_status"),
         )
         .orderBy(F.col("orders_target_attainment_percent").desc_nulls_last())

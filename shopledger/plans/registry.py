@@ -205,6 +205,7 @@ SHOP_QUERIES: dict[str, Query] = {
     # Unsorted: a table keeps no order, and a global sort would compute the mart
     # twice, once to sample the ranges. The writer sorts within its files.
     "order_level_mart": _on_base(order_mart.mart_from_base),
+    "order_level_mart_sorted": _on_mart(lambda m, t: order_mart.in_report_order(m)),
     "kpi_comparison": _on_mart(lambda m, t: kpis.kpi_comparison(m, CFG)),
     "monthly_yoy": _on_mart(lambda m, t: kpis.monthly_yoy(m, CFG)),
     "customer_mix": _on_mart(lambda m, t: kpis.customer_mix(m, CFG)),

@@ -7,9 +7,9 @@ put on the agenda, until it is empty. Symbols that are no piece become byte piec
 
 No piece of the vocabularies handled has a space mark after another character, or a line
 break (both checked when a vocabulary is loaded), so merges never cross into a new word or
-line. Texts are cut there, and each worker remembers the words it has worked out. The memory
-is emptied when it holds ``MEMORY`` words and leaves out long ones, so it stays bounded however
-many words a corpus has.
+line, nor from a letter to a mark of punctuation that follows none in any piece. Texts are
+cut there, and each worker remembers the words it has worked out. It forgets words that were
+not met again among the last ones, so its memory stays bounded.
 
 Every word that is worked out is also given to the sentencepiece library, many at a time;
 a difference raises. The library decodes the ids.
@@ -19,11 +19,13 @@ A null is an empty text, and an empty text has no ids. Repeated rows are kept.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
-from collections import ChainMap
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
+from operator import add
 
 import pyarrow as pa
 import sentencepiece
@@ -33,17 +35,41 @@ from sentencepiece import sentencepiece_model_pb2 as model_pb2
 from shopledger.llm.common import map_batches, row_bytes
 
 SPACE = "▁"
-MEMORY = 200_000
+WORD_MEMORY, PART_MEMORY = 40_000, 250_000
 REMEMBERED_LENGTH = 40
 # Characters of the texts that are worked on at once.
 SLICE_CHARS = 1_000_000
-WORD = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 # Kinds of pieces in the model format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
 
 
+# Up to this many characters a list is the faster agenda.
+SHORT = 40
+NO_PAIR = 1 << 40
+PLACE_BITS = 40
+PLACES = (1 << PLACE_BITS) - 1
+
+
+def _word_pattern(pieces: Iterable[str]) -> re.Pattern:
+    """Parts of an escaped text that merges never leave.
+
+    Cuts are before space marks, around line breaks, and between a word character and a mark
+    of punctuation, if no piece has any such two characters together: marks that follow
+    a letter of the alphabet in some piece are left out, then the few word characters
+    that the other marks follow.
+    """
+    pairs = {piece[k : k + 2] for piece in pieces for k in range(len(piece) - 1)}
+    follows = {p[1] for p in pairs if p[0].isascii() and p[0].isalpha()}
+    marks = [c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in follows]
+    joined = {p[0] for p in pairs if p[1] in marks and re.match(r"\w", p[0])}
+    some = re.escape("".join(marks)) or "\n"
+    free = rf"[^\W{re.escape(''.join(sorted(joined)))}]"
+    body = f"[^{SPACE}\n](?:[^{SPACE}\n{some}]|(?<!{free})[{some}])*"
+    return re.compile(f"\n|{SPACE}+(?:{body})?|{body}")
+
+
 class Vocabulary:
     """A merge-type vocabulary: scores and ids of pieces, ids of bytes."""
 
@@ -62,101 +88,198 @@ class Vocabulary:
         if kinds & {USER_DEFINED, UNUSED} or not model.trainer_spec.byte_fallback:
             raise ValueError("only vocabularies of plain and byte pieces")
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
-        self.scores = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
+        # Pieces by score, best first; pieces of one score share a rank.
+        scores = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
+        order = {score: at for at, score in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.ranks = {piece: order[score] for piece, score in scores.items()}
         if any(SPACE in piece.lstrip(SPACE) or "\n" in piece for piece in self.ids):
             raise ValueError("a piece goes on after a space mark or holds a line break")
+        self.word = _word_pattern(self.ids)
+        self.decimals = [str(i) for i in range(len(model.pieces))]
         bytes_at = {p.piece: i for i, p in enumerate(model.pieces) if p.type == BYTE}
         self.byte_ids = [bytes_at[f"<0x{b:02X}>"] for b in range(256)]
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
 
     def merged(self, text: str) -> list[str]:
         """Symbols of an escaped text when no pair is left on the agenda."""
-        scores = self.scores
-        symbols: list[str | None] = list(text)
+        return self._merged_short(text) if len(text) <= SHORT else self._merged_long(text)
+
+    def _merged_short(self, text: str) -> list[str]:
+        """The agenda as a list of ranks by place: of a few pairs the first smallest is found fast."""
+        rank_of = self.ranks.get
+        symbols: list[str] = list(text)
+        agenda = [rank_of(pair, NO_PAIR) for pair in map(add, symbols, symbols[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == NO_PAIR:
+                break
+            left = agenda.index(best)
+            symbols[left] += symbols.pop(left + 1)
+            del agenda[left]
+            if left:
+                agenda[left - 1] = rank_of(symbols[left - 1] + symbols[left], NO_PAIR)
+            if left < len(agenda):
+                agenda[left] = rank_of(symbols[left] + symbols[left + 1], NO_PAIR)
+        return symbols
+
+    def _merged_long(self, text: str) -> list[str]:
+        """The agenda as a heap.
+
+        An entry is the rank of a pair and the place of its left symbol, as one number, so
+        the smallest is the best score, leftmost first. An entry is stale if the pair that now
+        begins there has another rank.
+        """
+        rank_of = self.ranks.get
+        symbols: list[str] = list(text)
         n = len(symbols)
         following = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        agenda = []
-        for left in range(n - 1):
-            pair = symbols[left] + symbols[left + 1]
-            if pair in scores:
-                agenda.append((-scores[pair], left, left + 1, pair))
+        agenda = [
+            rank << PLACE_BITS | left
+            for left, rank in enumerate(map(rank_of, map(add, symbols, symbols[1:])))
+            if rank is not None
+        ]
         heapify(agenda)
         while agenda:
-            _, left, right, pair = heappop(agenda)
-            # Stale entries: one of the two was merged meanwhile.
-            if (
-                symbols[left] is None
-                or symbols[right] is None
-                or following[left] != right
-                or symbols[left] + symbols[right] != pair
-            ):
+            entry = heappop(agenda)
+            left = entry & PLACES
+            right = following[left]
+            if right >= n or not symbols[left]:
+                continue
+            pair = symbols[left] + symbols[right]
+            if rank_of(pair) != entry >> PLACE_BITS:
                 continue
-            symbols[left], symbols[right] = pair, None
+            symbols[left], symbols[right] = pair, ""
             after = following[left] = following[right]
             if after < n:
                 before[after] = left
-                wider = pair + symbols[after]
-                if wider in scores:
-                    heappush(agenda, (-scores[wider], left, after, wider))
+                rank = rank_of(pair + symbols[after])
+                if rank is not None:
+                    heappush(agenda, rank << PLACE_BITS | left)
             ahead = before[left]
             if ahead >= 0:
-                wider = symbols[ahead] + pair
-                if wider in scores:
-                    heappush(agenda, (-scores[wider], ahead, left, wider))
-        return [s for s in symbols if s is not None]
+                rank = rank_of(symbols[ahead] + pair)
+                if rank is not None:
+                    heappush(agenda, rank << PLACE_BITS | ahead)
+        return [s for s in symbols if s]
 
     def encode_escaped(self, text: str) -> list[int]:
-        ids, found = self.ids, []
-        for symbol in self.merged(text):
-            if symbol in ids:
-                found.append(ids[symbol])
-            else:
-                found.extend(self.byte_ids[b] for b in symbol.encode())
-        return found
+        symbols = self.merged(text)
+        found = list(map(self.ids.get, symbols))
+        if None not in found:
+            return found
+        return [
+            i
+            for symbol, known in zip(symbols, found)
+            for i in ([self.byte_ids[b] for b in symbol.encode()] if known is None else [known])
+        ]
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text, worked out as one agenda."""
         return self.encode_escaped(SPACE + text.replace(" ", SPACE)) if text else []
 
 
+Coded = tuple[tuple[int, ...], str]  # ids, and the same as decimals joined by commas
+
+
+class Recent:
+    """Two generations of at most ``limit`` strings with their ids.
+
+    Strings of the older one that are met again move to the younger; when that is full, it
+    becomes the older one. Long strings are left out.
+    """
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.young: dict[str, Coded] = {}
+        self.old: dict[str, Coded] = {}
+        self.long: list[str] = []
+
+    def missing(self, strings: set[str]) -> list[str]:
+        young, old = self.young, self.old
+        young.update({s: old[s] for s in strings if s in old and s not in young})
+        return [s for s in strings if s not in young]
+
+    def add(self, new: dict[str, Coded]) -> None:
+        self.young.update(new)
+        self.long += [s for s in new if len(s) > REMEMBERED_LENGTH]
+
+    def settle(self) -> None:
+        for s in self.long:
+            del self.young[s]
+        self.long = []
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+
+
+def _together(parts: list[Coded]) -> Coded:
+    if len(parts) == 1:
+        return parts[0]
+    if len(parts) == 2:
+        (ids, joined), (more, rest) = parts
+        return ids + more, f"{joined},{rest}"
+    return tuple(chain.from_iterable([ids for ids, _ in parts])), ",".join([x for _, x in parts])
+
+
 class WordMemory:
-    """Words as they were worked out: their ids, and these as text. Checked against the library."""
+    """Encodes texts by the words and parts of words met lately; new parts are worked out.
+
+    A text with single spaces only is cut at them, others into parts at once.
+    """
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = MEMORY):
-        self.vocabulary, self.limit = vocabulary, limit
-        self.known: dict[str, tuple[list[int], str]] = {}
+    def __init__(
+        self, vocabulary: Vocabulary, words: int = WORD_MEMORY, parts: int = PART_MEMORY
+    ):
+        self.vocabulary = vocabulary
+        self.words, self.parts = Recent(words), Recent(parts)
 
-    def worked_out(self, words: list[str]) -> dict[str, tuple[list[int], str]]:
+    def worked_out(self, parts: list[str]) -> dict[str, Coded]:
         vocabulary = self.vocabulary
-        found = {word: vocabulary.encode_escaped(word) for word in words}
-        # The library puts a space mark in front: a word that has one goes without it, another
+        found = {part: vocabulary.encode_escaped(part) for part in parts}
+        # The library puts a space mark in front: a part that has one goes without it, another
         # goes after a line break, and the ids of mark and break are left out again.
-        plain = [w[1:] if w[0] == SPACE else "\n" + w for w in words]
-        expected = vocabulary.library.encode([w.replace(SPACE, " ") for w in plain], num_threads=1)
-        for word, ids in zip(words, expected):
-            if found[word] != (ids if word[0] == SPACE else ids[2:]) and word != SPACE:
-                raise ValueError(f"agenda and library differ on {word!r}")
-        return {word: (ids, ",".join(map(str, ids))) for word, ids in found.items()}
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
-        """Ids of each text, and the same as decimals joined by commas."""
-        cut = [WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        known = self.known
-        missing = {w for words in cut for w in words if w not in known}
-        if len(known) + len(missing) > self.limit:
-            known.clear()
-            missing = {w for words in cut for w in words}
-        fresh = self.worked_out(list(missing))
-        at = {**known, **fresh} if len(known) < len(fresh) else ChainMap(fresh, known)
-        out = []
-        for words in cut:
-            pairs = [at[w] for w in words]
-            out.append(([i for ids, _ in pairs for i in ids], ",".join([x for _, x in pairs])))
-        known.update((w, x) for w, x in fresh.items() if len(w) <= REMEMBERED_LENGTH)
+        plain = [(w[1:] if w[0] == SPACE else "\n" + w).replace(SPACE, " ") for w in parts]
+        expected = vocabulary.library.encode(plain, num_threads=1)
+        for part, ids in zip(parts, expected):
+            if found[part] != (ids if part[0] == SPACE else ids[2:]) and part != SPACE:
+                raise ValueError(f"agenda and library differ on {part!r}")
+        decimals = vocabulary.decimals
+        return {
+            part: (tuple(ids), ",".join([decimals[i] for i in ids])) for part, ids in found.items()
+        }
+
+    def encode(self, texts: list[str]) -> list[Coded]:
+        parts_of = self.vocabulary.word.findall
+        words, parts = self.words, self.parts
+        simple = [_simple(t) for t in texts]
+        cut = [
+            t.split(" ") if s else parts_of(SPACE + t.replace(" ", SPACE)) if t else []
+            for t, s in zip(texts, simple)
+        ]
+        new = words.missing(set(chain.from_iterable(c for c, s in zip(cut, simple) if s)))
+        parts_of_new = [parts_of(SPACE + word) for word in new]
+        wanted = set(chain.from_iterable(parts_of_new))
+        wanted.update(chain.from_iterable(c for c, s in zip(cut, simple) if not s))
+        parts.add(self.worked_out(parts.missing(wanted)))
+        at = parts.young
+        words.add({w: _together([at[p] for p in ps]) for w, ps in zip(new, parts_of_new)})
+        known = words.young
+        out = [
+            _together([known[w] for w in c] if s else [at[p] for p in c])
+            for c, s in zip(cut, simple)
+        ]
+        words.settle()
+        parts.settle()
         return out
 
 
+def _simple(text: str) -> bool:
+    """Whether the text is words between single spaces."""
+    return bool(text) and not (
+        "  " in text or text[0] == " " or text[-1] == " " or SPACE in text
+    )
+
+
 _MEMORIES: dict[str, WordMemory] = {}
 
 
@@ -190,12 +313,20 @@ def _coded(df: DataFrame, path: str, id_col: str, text_col: str, digests: bool)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = memory_of(path)
         decode = memory.vocabulary.library.decode
+        # Many small objects and no cycles: the collector would only look through the memory.
+        gc.disable()
+        try:
+            yield from rows_of(batches, memory, decode)
+        finally:
+            gc.enable()
+
+    def rows_of(batches, memory, decode) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list] = [[], [], []]
             texts = (text.decode() for text in row_bytes(batch.column(1)))
             for part in _slices(texts, SLICE_CHARS):
                 coded = memory.encode(part)
-                decoded = decode([ids for ids, _ in coded], num_threads=1)
+                decoded = decode([list(ids) for ids, _ in coded], num_threads=1)
                 if digests:
                     columns[0] += [len(ids) for ids, _ in coded]
                     columns[1] += [_sha256(joined) for _, joined in coded]

@@ -96,8 +96,10 @@ def found(spark, docs, **options):
     return {r.doc_id: (r.text, r.n_removed, r.n_links, r.sources) for r in rows}
 
 
-@pytest.mark.parametrize("run_pairs, block", [(4096, 1024), (1, 1024), (0, 2)])
-@pytest.mark.parametrize("threshold", [1, 2, 3])
+@pytest.mark.parametrize(
+    "threshold, run_pairs, block",
+    [(1, 4096, 1024), (2, 4096, 1024), (2, 1, 1024), (2, 0, 2), (3, 0, 2)],
+)
 def test_same_as_all_pairs(spark, threshold, run_pairs, block):
     docs = corpus(threshold)
     options = {"threshold": threshold, "min_chars": 2 * threshold + 2}

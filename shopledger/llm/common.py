@@ -6,6 +6,7 @@ they are called, are left out of its result.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import tempfile
@@ -74,12 +75,44 @@ def _slices(batches: Batches, limit: int) -> Batches:
             yield batch.slice(at, rows)
 
 
+# What modules keep in a worker from task to task, and how to drop it.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def kept_by(module: str, drop: Callable[[], None]) -> None:
+    """Have a module's memory dropped once a worker does another module's work."""
+    _KEPT[module] = drop
+
+
+def _drop_others(module: str) -> None:
+    for owner, drop in _KEPT.items():
+        if owner != module:
+            drop()
+
+
+def _give_back() -> None:
+    """Return memory that is free to the system: workers stay, and wait, after a task."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def map_batches(
     df: DataFrame, function: Callable[[Batches], Batches], schema, slice_bytes: int = SLICE_BYTES
 ) -> DataFrame:
     """``mapInArrow`` over slices of bounded size."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(lambda batches: function(_slices(batches, slice_bytes)), schema)
+    module = function.__module__
+
+    def task(batches: Batches) -> Batches:
+        _drop_others(module)
+        try:
+            yield from function(_slices(batches, slice_bytes))
+        finally:
+            _give_back()
+
+    return df.mapInArrow(task, schema)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shopledger.llm.common import map_batches, row_bytes
+from shopledger.llm.common import kept_by, map_batches, row_bytes
 
 # ASCII bytes that are no letter or digit become spaces; A-Z become a-z; the rest stays.
 WORDS = bytes(
@@ -37,6 +37,7 @@ BLOCK_WINDOWS = 100_000
 OTHER = "\0"
 
 _AUTOMATA: dict[str, tuple] = {}
+kept_by(__name__, _AUTOMATA.clear)
 
 
 def words_of(text: bytes) -> list[bytes]:

@@ -34,7 +34,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from shopledger.llm.common import map_batches, row_bytes, stored
+from shopledger.llm.common import kept_by, map_batches, row_bytes, stored
 
 THRESHOLD = 2
 MIN_CHARS = 24
@@ -86,6 +86,9 @@ def indexed(length: int, threshold: int) -> list[tuple[int, int, int]]:
     ]
 
 
+kept_by(__name__, lambda: (probes.cache_clear(), indexed.cache_clear()))
+
+
 def lines_of(text: bytes) -> list[bytes]:
     return [line.rstrip(b"\r") for line in text.split(b"\n")]
 

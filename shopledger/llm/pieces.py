@@ -32,7 +32,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
-from shopledger.llm.common import map_batches, row_bytes
+from shopledger.llm.common import kept_by, map_batches, row_bytes
 
 SPACE = "▁"
 WORD_MEMORY, PART_MEMORY = 40_000, 250_000
@@ -281,6 +281,7 @@ def _simple(text: str) -> bool:
 
 
 _MEMORIES: dict[str, WordMemory] = {}
+kept_by(__name__, _MEMORIES.clear)
 
 
 def memory_of(path: str) -> WordMemory:

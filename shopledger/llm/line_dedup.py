@@ -605,8 +605,13 @@ def line_decisions(
         .agg(F.min("other_first").alias("near"))
     )
     source = F.when(F.col("near") < F.col("first"), F.col("near")).otherwise(F.col("first"))
-    decided = firsts.join(earliest, kind, "left").select(
-        *kind, source.alias("source"), F.coalesce("links", F.lit(0)).alias("links")
+    # A table of its own, so that its join with the rows is between two fresh shuffles, which
+    # AQE splits at a line that very many rows have.
+    decided = stored(
+        firsts.join(earliest, kind, "left").select(
+            *kind, source.alias("source"), F.coalesce("links", F.lit(0)).alias("links")
+        ),
+        "decisions",
     )
     drops = F.col("source") < place
     # Sets, as rows that are equal in id and text count as one document.

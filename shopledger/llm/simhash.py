@@ -245,7 +245,9 @@ def _rooted(
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
-    return prints, rooted
+    # A table of its own, so that a fingerprint that very many rows have is a hot key between
+    # two fresh shuffles, which AQE splits.
+    return prints, stored(rooted, "roots")
 
 
 def near_duplicates(

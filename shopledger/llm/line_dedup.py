@@ -15,7 +15,11 @@ blocks is compared in a task of its own, first by counts of characters, and only
 leave it.
 
 A line occurrence is dropped if an equal or linked line occurs before it (by document id,
-then line number). Blank lines always stay; lines shorter than ``min_chars`` are only compared
+then line number): with ``chains`` one that itself stays, so that every dropped line has a
+kept one within the distance, else any one, even if that goes too. What stays along chains
+is decided in rounds over the links: a class without an undecided earlier neighbour stays,
+its later neighbours go. Rounds are as many as the longest chain needs; the last
+``AT_ONCE`` links are decided on the driver. Blank lines always stay; lines shorter than ``min_chars`` are only compared
 as equals, as so few characters make a different line with two edits. Lines are what
 line breaks separate, and are compared as they are, without the carriage return.
 
@@ -46,6 +50,8 @@ BINS = 16
 SEEN = 200_000
 # Bits of the filter that picks the lines whose text is looked up: for each line, and at most.
 BITS_PER_LINE, MAX_BITS = 16, 1 << 26
+# Undecided links of chains that the driver decides in one go.
+AT_ONCE = 200_000
 MASK = (1 << 64) - 1
 
 
@@ -564,6 +570,56 @@ def _class_links(links: DataFrame) -> DataFrame:
     return map_batches(links, run, "high long, low long, other_high long, other_low long")
 
 
+def _gone_at_once(edges: np.ndarray) -> np.ndarray:
+    """Classes that go, out of rows of four numbers: a class and an earlier one linked to it."""
+    n = len(edges)
+    classes, at = np.unique(edges.reshape(-1, 2), axis=0, return_inverse=True)
+    late, early = at.reshape(n, 2).T
+    order = np.argsort(early, kind="stable")
+    later = late[order]
+    bounds = np.searchsorted(early[order], np.arange(len(classes) + 1)).tolist()
+    open_links = np.bincount(late, minlength=len(classes)).tolist()
+    gone = [False] * len(classes)
+    ready = [k for k, left in enumerate(open_links) if not left]
+    while ready:
+        now = ready.pop()
+        for k in later[bounds[now] : bounds[now + 1]].tolist():
+            gone[k] = gone[k] or not gone[now]
+            open_links[k] -= 1
+            if not open_links[k]:
+                ready.append(k)
+    return classes[np.array(gone, bool)]
+
+
+def _gone(edges: DataFrame, at_once: int) -> DataFrame:
+    """``high`` and ``low`` of the classes that go, each linked to an earlier one that stays.
+
+    ``edges``: ``high``, ``low``, ``other_high``, ``other_low``, the other class being earlier.
+    """
+    spark = edges.sparkSession
+    late, early = ["high", "low"], ["other_high", "other_low"]
+    named = [F.col(x).alias(y) for x, y in zip(late, early)]
+    undecided = edges.select(*late, *early)
+    found = undecided.select(*late).limit(0)
+    while (left := undecided.count()) > at_once:
+        waiting = undecided.select(*named).distinct()
+        staying = undecided.select(*early).distinct().join(waiting, early, "left_anti")
+        going = stored(
+            undecided.join(staying, early, "left_semi").select(*late).distinct(), "chain-going"
+        )
+        undecided = stored(
+            undecided.join(going, late, "left_anti").join(going.select(*named), early, "left_anti"),
+            "chain-undecided",
+        )
+        found = found.unionByName(going)
+    if left:
+        rows = undecided.toArrow()
+        classes = _gone_at_once(np.column_stack([c.to_numpy() for c in rows.columns]))
+        columns = pa.table({name: classes[:, k] for k, name in enumerate(late)})
+        found = found.unionByName(stored(spark.createDataFrame(columns), "chain-rest"))
+    return found
+
+
 def line_decisions(
     df: DataFrame,
     threshold: int = THRESHOLD,
@@ -572,11 +628,14 @@ def line_decisions(
     text_col: str = "text",
     run_pairs: int = RUN_PAIRS,
     block: int = BLOCK,
+    chains: bool = False,
+    at_once: int = AT_ONCE,
 ) -> DataFrame:
     """One row per document that has a line to drop, or a linked line.
 
     ``dropped`` are line numbers, ``sources`` the ids of the documents that have the
-    earliest equal or linked line of each, ``n_links`` counts the linked classes of all lines.
+    earliest equal or linked line of each (with ``chains`` the earliest that stays),
+    ``n_links`` counts the linked classes of all lines.
     """
     texts = _tied(df, id_col, text_col)
     links = stored(
@@ -599,11 +658,20 @@ def line_decisions(
         F.col("high").alias("other_high"), F.col("low").alias("other_low"),
         F.col("first").alias("other_first"),
     )
-    earliest = (
-        links.join(other, ["other_high", "other_low"])
-        .groupBy(*kind)
-        .agg(F.min("other_first").alias("near"))
-    )
+    near = links.join(other, ["other_high", "other_low"])
+    if chains:
+        # Only earlier classes count, and of these only those that stay.
+        edges = stored(
+            near.join(linked.select(*kind, "first"), kind)
+            .where("other_first < first")
+            .select(*kind, "other_high", "other_low", "other_first"),
+            "chain-links",
+        )
+        gone = _gone(edges, at_once).select(
+            F.col("high").alias("other_high"), F.col("low").alias("other_low")
+        )
+        near = edges.join(gone, ["other_high", "other_low"], "left_anti")
+    earliest = near.groupBy(*kind).agg(F.min("other_first").alias("near"))
     source = F.when(F.col("near") < F.col("first"), F.col("near")).otherwise(F.col("first"))
     # A table of its own, so that its join with the rows is between two fresh shuffles, which
     # AQE splits at a line that very many rows have.

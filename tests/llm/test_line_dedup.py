@@ -2,9 +2,10 @@
 
 import random
 
+import corpus_pipeline
 import pytest
 
-from shopledger.llm import line_dedup
+from shopledger.llm import line_dedup, queries
 
 
 def distance(a, b):
@@ -159,3 +160,47 @@ def test_edge_rows(spark):
         (8, "rest", 1),
     ]
     assert line_dedup.deduplicated(df.limit(0)).collect() == []
+
+
+def expected_kept(docs, linked):
+    """Kept texts and sources if a line goes only behind an equal or linked one that stays."""
+    kept, texts = [], {}
+    for doc_id, text in sorted(docs):
+        lines, sources = [], set()
+        for line in text.split("\n"):
+            near = [i for i, other in kept if other == line or linked(line, other)]
+            if near and line.strip():
+                sources.add(near[0])
+                continue
+            lines.append(line)
+            if line.strip():
+                kept.append((doc_id, line))
+        texts[doc_id] = ("\n".join(lines), sorted(sources))
+    return texts
+
+
+@pytest.mark.parametrize("at_once", [line_dedup.AT_ONCE, 0])
+def test_chains_keep_what_no_kept_line_stands_for(spark, at_once):
+    chain = ["the first line of the chain" + "x" * 2 * k for k in range(7)]
+    counters = [f"Record number 00{k // 10}{k % 10}0 of the list." for k in range(40)]
+    docs = [(1, "\n".join(chain[:3])), (2, "\n".join(chain[3:])), (3, "\n".join(counters))]
+    docs += [(i + 4, text) for i, text in corpus(2)]
+    rows = found(spark, docs, threshold=2, min_chars=6, chains=True, at_once=at_once)
+
+    def linked(a, b):
+        return min(len(a), len(b)) >= 6 and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2
+
+    want = expected_kept(docs, linked)
+    assert {i: (text, sources) for i, (text, _, _, sources) in rows.items()} == want
+    assert (rows[1][0], rows[2][0]) == (f"{chain[0]}\n{chain[2]}", f"{chain[4]}\n{chain[6]}")
+
+
+def test_query_and_pipeline_keep_chains(spark, tmp_path):
+    chain = ["the first line of the chain" + "x" * 2 * k for k in range(3)]
+    rows = [(k, line, "en", "src", 1) for k, line in enumerate(chain)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    removed = {r.doc_id: r.n_removed for r in queries.op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert removed == {0: 0, 1: 1, 2: 0}
+    left = corpus_pipeline.without_repeated_lines(spark, df, str(tmp_path)).collect()
+    assert {r.doc_id: r.text for r in left} == {0: chain[0], 1: "", 2: chain[2]}

@@ -4,7 +4,8 @@ Each stage is a function of the session, the documents left so far and the folde
 other tables. Its result is written as Parquet and read again as the next one's documents.
 
 1. quality: documents scored under 0.5 go.
-2. line dedup: lines equal to, or within two edits of, an earlier line that stays go; a document all
+2. line dedup: lines equal to, or within two edits (one if shorter than 24 characters, none if
+   shorter than 12) of, an earlier line that stays go; a document all
    of whose lines go stays as an empty text, which the next stage sees as copies.
 3. SimHash near-dedup: of each group of near-duplicates the one of smallest id stays.
 4. decontamination: documents with a benchmark window go.
@@ -31,7 +32,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = line_dedup.deduplicated(
-        docs, columns=("lang", "source"), threshold=2, min_chars=24, chains=True
+        docs, columns=("lang", "source"), threshold=2, min_chars=24, chains=True, scaled=True
     )
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 

@@ -19,9 +19,12 @@ then line number): with ``chains`` one that itself stays, so that every dropped
 kept one within the distance, else any one, even if that goes too. What stays along chains
 is decided in rounds over the links: a class without an undecided earlier neighbour stays,
 its later neighbours go. Rounds are as many as the longest chain needs; the last
-``AT_ONCE`` links are decided on the driver. Blank lines always stay; lines shorter than ``min_chars`` are only compared
-as equals, as so few characters make a different line with two edits. Lines are what
-line breaks separate, and are compared as they are, without the carriage return.
+``AT_ONCE`` links are decided on the driver. Blank lines always stay. Lines shorter than
+``min_chars`` are only compared as equals, or, with ``scaled``, within as many edits as their
+length allows in proportion (2 from 24 characters on are 1 from 12 on, and none below): two
+edits make a different line of so few characters. Of two lines, the shorter one's length
+counts. Lines are what line breaks separate, and are compared as they are, without the
+carriage return.
 
 A null text is one blank line, as an empty one is. Rows without id come first; repeated
 ids are told apart by their text; rows equal in id and text count as one document.
@@ -64,12 +67,31 @@ def segments(length: int, threshold: int) -> list[tuple[int, int]]:
     return [(end - size, end) for size, end in zip(sizes, ends)]
 
 
+def allowed(length: int, threshold: int, scale: int) -> int:
+    """Edits between a line of this length and one that is no shorter.
+
+    ``scale``: the length from which all edits of the threshold are allowed; 0 for any length.
+    """
+    return threshold if length >= scale else threshold * length // scale
+
+
 @lru_cache(maxsize=4_000)
-def probes(length: int, threshold: int, other: int | None = None) -> list[tuple[int, int, int]]:
+def probes(
+    length: int, threshold: int, other: int | None = None, scale: int = 0
+) -> list[tuple[int, int, int]]:
     """Seed, start and end of the substrings that can equal a segment of a shorter line.
 
     ``other``: only for this length of the shorter line.
     """
+    if scale:
+        shorter = range(max(0, length - threshold), length + 1)
+        edits = {size: allowed(size, threshold, scale) for size in shorter}
+        plans = [(size, probes(length, n, size)) for size, n in edits.items() if length - size <= n > 0]
+        return [
+            (size * (threshold + 1) + seed % (edits[size] + 1), start, end)
+            for size, plan in plans
+            for seed, start, end in plan
+        ]
     found = []
     shorter = range(max(0, length - threshold), length + 1) if other is None else [other]
     for size in shorter:
@@ -85,10 +107,11 @@ def probes(length: int, threshold: int, other: int | None = None) -> list[tuple[
 
 
 @lru_cache(maxsize=4_000)
-def indexed(length: int, threshold: int) -> list[tuple[int, int, int]]:
+def indexed(length: int, threshold: int, scale: int = 0) -> list[tuple[int, int, int]]:
+    edits = allowed(length, threshold, scale)
     return [
         (length * (threshold + 1) + number, start, end)
-        for number, (start, end) in enumerate(segments(length, threshold))
+        for number, (start, end) in enumerate(segments(length, edits) if edits or not scale else ())
     ]
 
 
@@ -107,12 +130,12 @@ def _cutter(line: bytes):
     return lambda start, end: text[start:end].encode(), len(text)
 
 
-def _keys(line: bytes, threshold: int) -> tuple[list[int], int]:
+def _keys(line: bytes, threshold: int, scale: int) -> tuple[list[int], int]:
     """Keys of the line: first of its segments, then its probes; and how many are segments."""
     cut, length = _cutter(line)
     key = xxhash.xxh3_64_intdigest
-    own = indexed(length, threshold)
-    plan = [*own, *probes(length, threshold)]
+    own = indexed(length, threshold, scale)
+    plan = [*own, *probes(length, threshold, None, scale)]
     return [key(cut(start, end), seed) for seed, start, end in plan], len(own)
 
 
@@ -129,7 +152,7 @@ def _compared(line: bytes, min_chars: int) -> bool:
     return len(line) >= min_chars and (line.isascii() or len(line.decode()) >= min_chars)
 
 
-def line_keys(texts: DataFrame, threshold: int, min_chars: int) -> DataFrame:
+def line_keys(texts: DataFrame, threshold: int, min_chars: int, scale: int = 0) -> DataFrame:
     """``key`` and ``line`` (odd: a probe) of all lines; copies within a task count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +167,7 @@ def line_keys(texts: DataFrame, threshold: int, min_chars: int) -> DataFrame:
                     if number in seen or not _compared(line, min_chars):
                         continue
                     seen.add(number)
-                    found, n_own = _keys(line, threshold)
+                    found, n_own = _keys(line, threshold, scale)
                     keys += found
                     lines += (number, number | 1)
                     counts += (n_own, len(found) - n_own)
@@ -338,6 +361,16 @@ def _within_many(pairs: list[tuple[str, str]], threshold: int) -> np.ndarray:
     return result
 
 
+def _linked(pairs: list[tuple[str, str]], threshold: int, scale: int) -> np.ndarray:
+    """Whether each pair is within the edits that its shorter line allows."""
+    result = np.zeros(len(pairs), bool)
+    edits = np.array([allowed(min(len(a), len(b)), threshold, scale) for a, b in pairs], np.int64)
+    for n in np.unique(edits).tolist():
+        at = np.flatnonzero(edits == n)
+        result[at] = _within_many([pairs[k] for k in at.tolist()], n)
+    return result
+
+
 def _banded(pairs: list[tuple[str, str]], width: int, threshold: int) -> np.ndarray:
     n, band = len(pairs), 2 * threshold + 1
     pattern = np.zeros((n, width + 2 * threshold + 1), np.uint32)
@@ -376,7 +409,7 @@ def _banded(pairs: list[tuple[str, str]], width: int, threshold: int) -> np.ndar
     return best
 
 
-def _verified(pairs: DataFrame, contents: DataFrame, threshold: int) -> DataFrame:
+def _verified(pairs: DataFrame, contents: DataFrame, threshold: int, scale: int) -> DataFrame:
     """``a`` and ``b``, contents of linked lines, out of candidate pairs of numbers."""
     left = contents.select(F.col("line").alias("a"), F.col("content").alias("x"))
     right = contents.select(F.col("line").alias("b"), F.col("content").alias("y"))
@@ -384,14 +417,14 @@ def _verified(pairs: DataFrame, contents: DataFrame, threshold: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [[v.decode() for v in c.to_pylist()] for c in batch.columns]
-            near = _within_many(list(zip(*texts)), threshold)
+            near = _linked(list(zip(*texts)), threshold, scale)
             yield batch.filter(pa.array(near))
 
     joined = pairs.join(left, "a").join(right, "b").where("x != y").select("x", "y")
     return map_batches(joined, run, "x binary, y binary")
 
 
-def _rest_keys(heavy: DataFrame, contents: DataFrame, threshold: int) -> DataFrame:
+def _rest_keys(heavy: DataFrame, contents: DataFrame, threshold: int, scale: int) -> DataFrame:
     """Keys of the rests of lines in long runs: the line without the segment they share.
 
     A rest of too few characters to be cut has the key of its run.
@@ -409,18 +442,21 @@ def _rest_keys(heavy: DataFrame, contents: DataFrame, threshold: int) -> DataFra
             for key, line, content in rows:
                 key, line, found = key & MASK, line & MASK, set()
                 cut, length = _cutter(content)
-                plan = probes(length, threshold) if line & 1 else indexed(length, threshold)
+                plan = (
+                    probes(length, threshold, None, scale)
+                    if line & 1
+                    else indexed(length, threshold, scale)
+                )
                 for seed, start, end in plan:
                     if digest(cut(start, end), seed) != key:
                         continue
                     rest, size = _cutter(cut(0, start) + cut(end, length))
-                    shorter = seed // (threshold + 1) - (end - start)
-                    if shorter <= threshold:
+                    whole = seed // (threshold + 1)
+                    edits, shorter = allowed(whole, threshold, scale), whole - (end - start)
+                    if shorter <= edits:
                         found.add(key)
                         continue
-                    parts = (
-                        probes(size, threshold, shorter) if line & 1 else indexed(size, threshold)
-                    )
+                    parts = probes(size, edits, shorter) if line & 1 else indexed(size, edits)
                     found.update(digest(rest(s, e), (key + k) & MASK) for k, s, e in parts)
                 keys += found
                 lines += [line] * len(found)
@@ -437,14 +473,16 @@ def _character_counts(texts: list[str]) -> np.ndarray:
     return found
 
 
-def _links_within(own: list[str], asking: list[str], threshold: int) -> set[tuple[str, str]]:
+def _links_within(
+    own: list[str], asking: list[str], threshold: int, scale: int = 0
+) -> set[tuple[str, str]]:
     """Links between two lists of lines. An edit changes counts of characters by two at most."""
     ours, theirs = _character_counts(own), _character_counts(asking)
     near: list[tuple[str, str]] = []
     links: set[tuple[str, str]] = set()
 
     def verify() -> None:
-        kept = _within_many(near, threshold)
+        kept = _linked(near, threshold, scale)
         links.update((min(p), max(p)) for p, k in zip(near, kept) if k)
         near.clear()
 
@@ -458,7 +496,9 @@ def _links_within(own: list[str], asking: list[str], threshold: int) -> set[tupl
     return links
 
 
-def _blocked(long: DataFrame, contents: DataFrame, threshold: int, block: int) -> DataFrame:
+def _blocked(
+    long: DataFrame, contents: DataFrame, threshold: int, block: int, scale: int
+) -> DataFrame:
     """Links between lines of one key, for keys of many lines (``key``, ``line``)."""
     blocks = long.groupBy("key").agg(
         F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")
@@ -484,7 +524,7 @@ def _blocked(long: DataFrame, contents: DataFrame, threshold: int, block: int) -
         yield found(own, asking)
 
     def found(own: list[str], asking: list[str]) -> pa.RecordBatch:
-        links = sorted(_links_within(own, asking, threshold))
+        links = sorted(_links_within(own, asking, threshold, scale))
         columns = zip(*links) if links else ((), ())
         return pa.RecordBatch.from_arrays(
             [pa.array([x.encode() for x in c], pa.binary()) for c in columns], ["x", "y"]
@@ -503,23 +543,27 @@ def line_links(
     text_col: str = "text",
     run_pairs: int = RUN_PAIRS,
     block: int = BLOCK,
+    scaled: bool = False,
 ) -> DataFrame:
     """``x`` and ``y``: every pair of different lines within the distance, once."""
+    # With ``scaled`` a line is compared as long as its length allows an edit.
+    scale = min_chars if scaled else 0
+    shortest = -(-min_chars // threshold) if scaled and threshold else min_chars
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    walked = _walked(line_keys(texts, threshold, min_chars), run_pairs, "line-candidates")
+    walked = _walked(line_keys(texts, threshold, shortest, scale), run_pairs, "line-candidates")
     light = walked.where("not heavy").select("a", "b")
     # Copies of a line from many tasks are one row from here on.
     heavy = walked.where("heavy").select(F.col("a").alias("key"), F.col("b").alias("line")).distinct()
     heavy_lines = heavy.select(F.col("line").bitwiseAND(F.lit(-2)).alias("line"))
     wanted = light.select(F.explode(F.array("a", "b")).alias("line")).unionByName(heavy_lines)
     contents = stored(_texts_of(texts, stored(wanted.distinct(), "wanted")), "line-texts")
-    rests = _walked(_rest_keys(heavy, contents, threshold), run_pairs, "rest-candidates")
+    rests = _walked(_rest_keys(heavy, contents, threshold, scale), run_pairs, "rest-candidates")
     long = rests.where("heavy").select(F.col("a").alias("key"), F.col("b").alias("line")).distinct()
     candidates = light.union(rests.where("not heavy").select("a", "b")).distinct()
-    links = _verified(candidates, contents, threshold).select(
+    links = _verified(candidates, contents, threshold, scale).select(
         F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")
     )
-    return links.unionByName(_blocked(long, contents, threshold, block)).distinct()
+    return links.unionByName(_blocked(long, contents, threshold, block, scale)).distinct()
 
 
 def _occurrences(texts: DataFrame) -> DataFrame:
@@ -630,6 +674,7 @@ def line_decisions(
     block: int = BLOCK,
     chains: bool = False,
     at_once: int = AT_ONCE,
+    scaled: bool = False,
 ) -> DataFrame:
     """One row per document that has a line to drop, or a linked line.
 
@@ -639,7 +684,9 @@ def line_decisions(
     """
     texts = _tied(df, id_col, text_col)
     links = stored(
-        _class_links(line_links(df, threshold, min_chars, id_col, text_col, run_pairs, block)),
+        _class_links(
+            line_links(df, threshold, min_chars, id_col, text_col, run_pairs, block, scaled)
+        ),
         "class-links",
     )
     rows = stored(_occurrences(texts), "occurrences")

@@ -109,7 +109,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.deduplicated(
-        table(spark, sf_dir, "documents"), threshold=2, min_chars=24, chains=True
+        table(spark, sf_dir, "documents"), threshold=2, min_chars=24, chains=True, scaled=True
     )
     return found.select(
         "doc_id",

@@ -204,3 +204,27 @@ def test_query_and_pipeline_keep_chains(spark, tmp_path):
     assert removed == {0: 0, 1: 1, 2: 0}
     left = corpus_pipeline.without_repeated_lines(spark, df, str(tmp_path)).collect()
     assert {r.doc_id: r.text for r in left} == {0: chain[0], 1: "", 2: chain[2]}
+
+
+@pytest.mark.parametrize("run_pairs, block", [(4096, 1024), (1, 1024), (0, 2)])
+def test_short_lines_with_fewer_edits(spark, run_pairs, block):
+    docs = corpus(4, letters="abé ")
+    docs += [(50, "Are is anwh reenen."), (51, "Are, is anwh reenen."), (52, "The eran."),
+             (53, "The, eran."), (54, "a" * 11), (55, "a" * 12), (56, "a" * 13)]
+
+    def linked(a, b):
+        edits = min(2, min(len(a), len(b)) // 12)
+        return abs(len(a) - len(b)) <= edits and distance(a, b) <= edits
+
+    sizes = {"run_pairs": run_pairs, "block": block}
+    rows = found(spark, docs, threshold=2, min_chars=24, scaled=True, chains=True, **sizes)
+    assert {i: (text, sources) for i, (text, _, _, sources) in rows.items()} == expected_kept(docs, linked)
+    assert [rows[k][1] for k in range(50, 57)] == [0, 1, 0, 0, 0, 0, 1]
+
+
+def test_query_compares_short_lines(spark, tmp_path):
+    rows = [(1, "The anhely eran."), (2, "The, anhely eran.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    removed = {r.doc_id: r.n_removed for r in queries.op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert removed == {1: 0, 2: 1}

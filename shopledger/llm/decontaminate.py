@@ -11,8 +11,10 @@ The automaton is sent to the tasks, so its size is checked: a benchmark of over
 one after the other, and the hits are merged row by row. Nothing is shuffled.
 
 A null or wordless document has no words and no hits; a null or wordless item has no
-window. Equal windows of several items count for each; a repeated item id counts once;
-repeated document rows are kept, each with its result.
+window. Equal windows of several items count for each; a repeated item id counts once.
+Items without id are searched as all others; together they are one item, which stands in
+``item_ids`` as one null before the others. Repeated document rows are kept, each with
+its result.
 """
 
 from __future__ import annotations
@@ -44,11 +46,11 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORDS).split()
 
 
-def _automaton(key: str, items: list[tuple[str, bytes]], window: int):
+def _automaton(key: str, items: list[tuple[str | None, bytes]], window: int):
     """Symbols of words, and the automaton: windows with their length and items."""
     if key not in _AUTOMATA:
         symbols: dict[bytes, str] = {}
-        owners: dict[str, set[str]] = {}
+        owners: dict[str, set[str | None]] = {}
         for item, text in items:
             found = words_of(text)
             # Code points above the surrogates: any number up to a million words.
@@ -67,9 +69,9 @@ def _automaton(key: str, items: list[tuple[str, bytes]], window: int):
     return _AUTOMATA[key]
 
 
-def _scan(words: list[bytes], symbols: dict, automaton) -> tuple[np.ndarray, set[str]]:
+def _scan(words: list[bytes], symbols: dict, automaton) -> tuple[np.ndarray, set[str | None]]:
     """Numbers of the words inside a match, and the items matched."""
-    items: set[str] = set()
+    items: set[str | None] = set()
     if automaton is None:
         return np.empty(0, np.int64), items
     get = symbols.get
@@ -113,7 +115,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, lim
     for block in range(n_blocks):
         mine = F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == block
         rows = sized.where(mine).select("item", "text").distinct().collect()
-        items = [(r.item, r.text.encode()) for r in rows if r.item is not None]
+        items = [(r.item, r.text.encode()) for r in rows]
         yield items, block == n_blocks - 1
 
 
@@ -127,7 +129,7 @@ def contamination(
     item_text_col: str = "text",
     block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
-    """For every row: ``n_words``, ``n_hit``, ``item_ids`` (sorted as strings), ``spans``.
+    """For every row: ``n_words``, ``n_hit``, ``item_ids`` (sorted as strings, null first), ``spans``.
 
     ``spans`` are the character offsets in the original text of each run of hit words.
     """
@@ -162,7 +164,7 @@ def _scanner(sent, key: str, window: int, first: bool, last: bool):
                     mine = np.union1d(mine, np.frombuffer(batch.column(3)[at].as_py(), np.int64))
                     names = names.union(batch.column(4)[at].as_py())
                 hits.append(mine.tobytes())
-                items.append(sorted(names))
+                items.append(sorted(names, key=lambda name: (name is not None, name)))
                 spans.append(_spans(text, mine) if len(mine) else [])
             yield pa.RecordBatch.from_arrays(
                 [

@@ -86,3 +86,18 @@ def test_a_very_long_text(spark):
     items = spark.createDataFrame([(1, "needle in a hay stack")], "item_id long, text string")
     row = decontaminate.contamination(df, items).first()
     assert (row.n_words, row.n_hit) == (100_005, 5)
+
+
+@pytest.mark.parametrize("limit", [100_000, 2])
+def test_items_without_id_are_searched(spark, limit):
+    docs = [(1, "so one two three four."), (2, "five six seven eight"), (3, "one two THREE five six seven"),
+            (4, "nine ten eleven"), (5, "other words")]
+    items = [(None, "one two three"), (7, "five six seven"), (None, "nine ten eleven"), (8, "one two three")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = decontaminate.contamination(df, benchmark, window=3, block_windows=limit).collect()
+    assert sorted((r.doc_id, r.n_hit, r.item_ids) for r in rows) == [
+        (1, 3, [None, "8"]), (2, 3, ["7"]), (3, 6, [None, "7", "8"]), (4, 3, [None]), (5, 0, []),
+    ]
+    left = decontaminate.clean(df, benchmark, window=3, block_windows=limit).collect()
+    assert [r.doc_id for r in left] == [5]

@@ -6,13 +6,20 @@ of that form is joined by equality with the digests of known licences and notice
 go through the same form. Known texts are a table given by the caller; Spark joins it by
 its size. No digest of a document leaves the tasks unless it is known.
 
+``KNOWN`` holds each text once for every usual form: with and without its title line, list
+marks as numbers, letters or bullets, with and without the appendix behind the terms, and
+the placeholders of an appendix in both kinds of brackets or filled in with a year. The long
+texts lie in ``known_licenses``. Texts with a name filled in elsewhere are not known.
+
 A null text is empty, and an empty canonical form is never a licence. Repeated ids give
 one row with the findings of all their rows; rows without id are one such id.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -76,8 +83,54 @@ _BSD_TAIL = (
     "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
 
+# The usual title lines of the short texts.
+TITLES: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD 0-Clause License", "0BSD"),
+    "BSD-2-Clause": (
+        "BSD 2-Clause License",
+        "The BSD 2-Clause License",
+        'BSD 2-Clause "Simplified" License',
+        "Simplified BSD License",
+    ),
+    "BSD-3-Clause": (
+        "BSD 3-Clause License",
+        "The BSD 3-Clause License",
+        'BSD 3-Clause "New" or "Revised" License',
+        "New BSD License",
+        "Revised BSD License",
+    ),
+}
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+LONG = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0")
+
+
+def _forms(name: str, text: str) -> list[str]:
+    """A short text without and with its titles, its clauses numbered, lettered or bulleted."""
+    marked = [text]
+    if re.search(r"(?m)^1\. ", text):
+        marked.append(re.sub(r"(?m)^(\d)\. ", lambda m: f"{'abc'[int(m[1]) - 1]}. ", text))
+        marked.append(re.sub(r"(?m)^\d\. ", "* ", text))
+    return marked + [f"{title}\n{form}" for title in TITLES.get(name, ()) for form in marked]
+
+
+def _long_forms(name: str) -> list[str]:
+    """A text of ``known_licenses`` as it is, without its appendix, and with it filled in."""
+    text = files(__package__).joinpath("known_licenses", f"{name}.txt").read_text("utf-8")
+    found = [text]
+    if END_OF_TERMS in text:
+        terms, appendix = text.split(END_OF_TERMS, 1)
+        terms += END_OF_TERMS
+        found += [terms, terms.removesuffix(END_OF_TERMS)]
+        found.append(terms + appendix.replace("<", "{").replace(">", "}"))
+        # A filled in copyright line is dropped from a document as any other.
+        found.append(terms + appendix.replace("[yyyy]", "2000").replace("{yyyy}", "2000"))
+    return list(dict.fromkeys(found))
+
+
 # Public licence texts and the usual one-line notices.
-KNOWN: dict[str, tuple[str, ...]] = {
+_TEXTS: dict[str, tuple[str, ...]] = {
     "MIT": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
         'software and associated documentation files (the "Software"), to deal in the Software '
@@ -123,6 +176,20 @@ KNOWN: dict[str, tuple[str, ...]] = {
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under CC BY 4.0."),
 }
 
+# The texts themselves come first, then their other forms.
+KNOWN: dict[str, tuple[str, ...]] = {
+    name: tuple(
+        dict.fromkeys(
+            [
+                *_TEXTS.get(name, ()),
+                *(form for text in _TEXTS.get(name, ())[:1] for form in _forms(name, text)),
+                *(_long_forms(name) if name in LONG else ()),
+            ]
+        )
+    )
+    for name in dict.fromkeys([*_TEXTS, *LONG])
+}
+
 
 def known_texts(spark: SparkSession, known: Mapping[str, tuple[str, ...]] = KNOWN) -> DataFrame:
     """The known licences as a table (``license_id``, ``text``)."""

@@ -53,3 +53,40 @@ def test_edge_rows(spark):
     assert scan(spark, []) == []
     known = spark.createDataFrame([("A", "..."), ("B", None)], "license_id string, text string")
     assert scan(spark, rows, known)[0] == (1, [], [], 0)
+
+
+def test_titled_and_bulleted_texts(spark):
+    short = {name: licenses.KNOWN[name][0] for name in ("MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause")}
+    owner = "\n\nCopyright (c) 2020, Some One\nAll rights reserved.\n\n"
+    bsd = short["BSD-3-Clause"]
+    rows = [
+        (1, "MIT License" + owner + short["MIT"]),
+        (2, "The MIT License (MIT)" + owner + short["MIT"]),
+        (3, "ISC License" + owner + short["ISC"]),
+        (4, "BSD 2-Clause License" + owner + short["BSD-2-Clause"]),
+        (5, "BSD 3-Clause License" + owner + bsd),
+        (6, bsd.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")),
+        (7, "BSD 3-Clause License" + owner + bsd.replace("1. ", "- ").replace("2. ", "- ").replace("3. ", "- ")),
+        (8, "BSD 2-Clause License" + owner + bsd),  # the title of another licence
+        (9, "BSD Zero Clause License" + owner + short["0BSD"]),
+    ]
+    assert [r[1] for r in scan(spark, rows)] == [
+        ["MIT"], ["MIT"], ["ISC"], ["BSD-2-Clause"], ["BSD-3-Clause"], ["BSD-3-Clause"],
+        ["BSD-3-Clause"], [], ["0BSD"],
+    ]
+
+
+def test_whole_long_texts(spark):
+    folder = licenses.files("shopledger.llm").joinpath("known_licenses")
+    texts = {name: folder.joinpath(f"{name}.txt").read_text() for name in licenses.LONG}
+    apache = texts["Apache-2.0"]
+    rows = [(k, " ".join(text.split(" "))) for k, text in enumerate(texts.values())]
+    rows += [
+        (10, apache.split("APPENDIX")[0]),
+        (11, apache.replace("[yyyy] [name of copyright owner]", "2021 Some One")),
+        (12, texts["GPL-3.0"].replace("https", "http").replace("\n", "\r\n")),
+        (13, texts["MPL-2.0"][:-200]),
+    ]
+    found = scan(spark, rows)
+    assert [r[1] for r in found[:7]] == [[name] for name in licenses.LONG]
+    assert [r[1] for r in found[7:]] == [["Apache-2.0"], ["Apache-2.0"], ["GPL-3.0"], []]

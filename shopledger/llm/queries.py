@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shopledger.llm import (
     decontaminate,
     hilbert,
+    lexical,
     licenses,
     line_dedup,
     merkle,
@@ -121,6 +122,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=10)
+    return found.select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+
+
 QUERIES: dict[str, Query] = {
     "op1_preference_formatting": op1_preference_formatting,
     "op2_license_scan": op2_license_scan,
@@ -132,6 +138,7 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 
@@ -261,4 +268,36 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
   CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op13_ranked_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), total AS (
+  SELECT count(*) FILTER (WHERE len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_words FROM d
+), tf AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term
+), items AS (
+  SELECT row_number() OVER () AS item, item_id, list_distinct(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w
+  FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)
+), asked AS (
+  SELECT item, unnest(w) AS term FROM items
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+  FROM tf SEMI JOIN asked USING (term) CROSS JOIN total GROUP BY term, n_docs
+), lengths AS (
+  SELECT r, doc_id, 100 - 90 + (90 * len(w) * n_docs) // n_words AS m FROM d CROSS JOIN total
+  WHERE len(w) > 0
+), scores AS (
+  SELECT item, doc_id, r, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS score
+  FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN lengths USING (r)
+  GROUP BY item, doc_id, r
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank
+  FROM scores WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score
+FROM placed JOIN items USING (item) WHERE rank <= 10""",
 }

@@ -17,6 +17,7 @@ from shopledger.llm import (
     pieces,
     preferences,
     quality,
+    repair,
     simhash,
     suffix_dedup,
 )
@@ -122,6 +123,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.report(repair.damaged(conversations), conversations)
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=10)
     return found.select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
@@ -138,6 +144,7 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_ranked_search": op13_ranked_search,
 }
 
@@ -268,6 +275,83 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
   CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op12_conversation_repair": r"""
+WITH RECURSIVE byte_sums AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x:
+    CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS sums
+), named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' ||
+      coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS name
+  FROM conversations
+), kinds AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, name), lambda c, b:
+    xor(c >> 8, sums[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295) % 20 AS kind
+  FROM named, byte_sums
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM kinds WHERE kind <> 0
+  UNION ALL
+  SELECT conv_id, turn, role, text FROM kinds WHERE kind = 3
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k
+  FROM damaged
+), turns AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) || left(role, 1) AS pair
+  FROM placed
+), counted AS (
+  SELECT conv_id, max(k) AS n,
+    coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM turns GROUP BY conv_id
+), paths AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS k,
+    [{'cost': CAST(0 AS BIGINT), 'audit': '', 'st': '', 'made': CAST([] AS VARCHAR[])}] AS ways
+  FROM counted
+  UNION ALL
+  SELECT t.conv_id, t.k, list_filter(list_transform(['', 's', 'u', 'a'], lambda x: list_sort(list_filter(
+    flatten(list_transform(flatten(list_transform(ways, lambda p: [p,
+      {'cost': p.cost + 3, 'audit': p.audit || 'I', 'st': CASE p.st WHEN 'u' THEN 'a' ELSE 'u' END,
+       'made': list_append(p.made, CASE p.st WHEN 'u' THEN 'assistant:' ELSE 'user:' END)},
+      {'cost': p.cost + 6, 'audit': p.audit || 'II', 'st': CASE p.st WHEN 'u' THEN 'u' ELSE 'a' END,
+       'made': list_concat(p.made, CASE p.st WHEN 'u' THEN ['assistant:', 'user:']
+         ELSE ['user:', 'assistant:'] END)}])),
+    lambda q: [
+      {'cost': q.cost + 4, 'audit': q.audit || 'D', 'st': q.st, 'made': q.made},
+      CASE WHEN fault NOT IN ('blank', 'duplicate') AND (left(role, 1) = 's' AND q.st = ''
+          OR left(role, 1) = 'u' AND q.st <> 'u' OR left(role, 1) = 'a' AND q.st = 'u') THEN
+        {'cost': q.cost + CASE fault WHEN 'truncated' THEN 3 ELSE 0 END, 'audit': q.audit || 'K',
+         'st': left(role, 1), 'made': list_append(q.made, role || ':' || text)} END,
+      CASE WHEN fault NOT IN ('blank', 'duplicate') THEN
+        {'cost': q.cost + CASE fault WHEN 'truncated' THEN 6 ELSE 3 END, 'audit': q.audit || 'R',
+         'st': CASE q.st WHEN 'u' THEN 'a' ELSE 'u' END, 'made': list_append(q.made,
+           CASE q.st WHEN 'u' THEN 'assistant:' ELSE 'user:' END || text)} END])),
+    lambda c: c IS NOT NULL AND c.st = x))[1]), lambda w: w IS NOT NULL)
+  FROM paths p JOIN turns t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.k = p.k + 1
+), ended AS (
+  SELECT c.*, list_sort(list_filter(flatten(list_transform(ways, lambda p: [p,
+      {'cost': p.cost + 3, 'audit': p.audit || 'I', 'st': CASE p.st WHEN 'u' THEN 'a' ELSE 'u' END,
+       'made': list_append(p.made, CASE p.st WHEN 'u' THEN 'assistant:' ELSE 'user:' END)},
+      {'cost': p.cost + 6, 'audit': p.audit || 'II', 'st': CASE p.st WHEN 'u' THEN 'u' ELSE 'a' END,
+       'made': list_concat(p.made, CASE p.st WHEN 'u' THEN ['assistant:', 'user:']
+         ELSE ['user:', 'assistant:'] END)}])), lambda w: w.st IN ('', 'a')))[1] AS way
+  FROM counted c JOIN paths p ON p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.k = c.n
+)
+SELECT i.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps,
+  CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, coalesce(way.cost, 0) AS cost,
+  coalesce(way.audit, '') AS audit,
+  sha256(coalesce(array_to_string(way.made, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM i.conv_id""",
     "op13_ranked_search": r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(

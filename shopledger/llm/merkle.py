@@ -1,15 +1,21 @@
-"""Document fingerprints: Merkle trees of leaves, paragraphs and sections.
+"""Document fingerprints: Merkle trees over paragraphs and sections.
 
-A paragraph is a line. It is cut into leaves after words whose last bytes hash to a
-multiple of four, so cuts depend only on nearby text and an edit moves none beyond it.
-A section ends at a blank line, or after a paragraph whose digest is a multiple of eight,
-again so that edits stay local. A node's digest covers those of its children; the root's
-covers the whole text, so equal roots mean equal texts.
+A paragraph is a line. A section ends at a blank line, or after a paragraph whose digest is a
+multiple of eight, so an edit moves no border beyond it. A section's digest covers those of
+its paragraphs, the root's those of the sections, so equal roots mean equal texts.
 
-A fingerprint is text: the root, then the sections with their paragraphs' leaves. The
-likeness of two is 1 if the roots are equal, else the share of leaves, by count, that they
-have in common; sections that are equal in both are matched whole. ``changed_spans`` walks
-two trees down their differing branches and gives the character spans that were edited.
+Below the paragraphs are leaves of at most ``LONGEST`` bytes. A leaf ends where the hash of the
+eight bytes before is the least among all places up to ``REACH`` bytes away (the leftmost of equals
+is none, so repetitions have no such place). What is longer is cut again: from its start on, at
+the place of the least hash within ``LONGEST`` bytes, the last of equals. Text that repeats itself is
+so cut at the same place of each repetition. Cuts are between whole characters, and depend on
+nothing outside the line.
+
+A fingerprint is text: the root, then the sections with their paragraphs' leaves, a digest and
+a length each. The likeness of two is 1 if the roots are equal, else the share of bytes in
+leaves that they have in common; sections that are equal in both are matched whole.
+``changed_spans`` walks two trees down their differing branches and gives the character spans
+that were edited.
 
 A null text counts as empty. An empty text has a root and no leaf; its likeness is 1 to
 another empty one and 0 to any other. Repeated rows are kept.
@@ -29,93 +35,228 @@ from pyspark.sql import DataFrame, functions as F
 
 from shopledger.llm.common import map_batches, row_bytes
 
-ROOT, SECTION, LEAF = 32, 12, 6  # hex digits of each kind of node in a fingerprint
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-LEAF_BITS, SECTION_BITS = 2, 3
+# Hex digits of the nodes in a fingerprint; a leaf's last two are its length.
+ROOT, SECTION, LEAF, LENGTH = 32, 12, 10, 2
+GRAM, REACH, LONGEST = 8, 10, 64
+SECTION_BITS = 3
+NO_CUT = np.uint32(0xFFFFFFFF)
 LOWEST_ID = -(1 << 63)
+# Characters of the texts whose trees are made at once.
+GROUP_CHARS = 1 << 18
+# Odd numbers without a pattern, and what undoes a multiplication by the second.
+GRAM_FACTOR, LEAF_FACTOR, MIX = 0x9E3779B1, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9
+LEAF_INVERSE = pow(LEAF_FACTOR, -1, 1 << 64)
 
 
 def _digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def leaf_cuts(text: bytes) -> list[int]:
-    """Ends of the leaves: after line breaks, and after spaces whose eight bytes before say so."""
-    data = np.frombuffer(text, np.uint8)
-    breaks = np.flatnonzero(data == 10)
-    cuts = breaks + 1
-    spaces = np.flatnonzero(data == 32)
-    spaces = spaces[spaces >= 8]
-    if len(spaces):
-        # Eight bytes before each space as one number.
-        before = data[spaces[:, None] + np.arange(-8, 0)].copy().view(np.uint64).ravel()
-        chosen = (before * MULTIPLIER) >> np.uint64(64 - LEAF_BITS) == 0
-        spaces = spaces[chosen]
-        # A cut must not look back over the line break before it.
-        line_start = np.searchsorted(breaks, spaces)
-        starts = np.concatenate([[0], breaks + 1])[line_start]
-        cuts = np.union1d(cuts, spaces[spaces - starts >= 8] + 1)
-    ends = cuts.tolist()
-    if text and (not ends or ends[-1] != len(text)):
-        ends.append(len(text))
-    return ends
-
-
-Paragraph = tuple[bytes, list[tuple[bytes, int, int]]]  # digest, leaves (digest, start, end)
-
-
-def tree(text: bytes) -> tuple[bytes, list[tuple[bytes, list[Paragraph]]]]:
-    """Root digest, and sections: their digest and their paragraphs, with byte offsets."""
-    sections: list[tuple[bytes, list[Paragraph]]] = []
-    paragraphs: list[Paragraph] = []
-    leaves: list[tuple[bytes, int, int]] = []
-    start = 0
-
-    def close() -> None:
-        if paragraphs:
-            sections.append((_digest(b"".join([p[0] for p in paragraphs])), paragraphs.copy()))
-            paragraphs.clear()
-
-    for end in leaf_cuts(text):
-        leaves.append((_digest(text[start:end]), start, end))
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of each run of ``width`` values."""
+    size, out = 1, values
+    while size * 2 <= width:
+        out = np.minimum(out[:-size], out[size:])
+        size *= 2
+    n = len(values) - width + 1
+    return np.minimum(out[:n], out[width - size : width - size + n])
+
+
+def _place_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes before each place; ``NO_CUT`` in a character and near a line's start."""
+    hashes = data.astype(np.uint32) * np.uint32(GRAM_FACTOR)
+    size, factor = 1, GRAM_FACTOR
+    while size < GRAM:
+        hashes = hashes[:-size] * np.uint32(factor | 1) + hashes[size:]
+        hashes ^= hashes >> np.uint32(15)
+        factor = factor * GRAM_FACTOR & 0xFFFFFFFF
+        size *= 2
+    out = np.full(len(data), NO_CUT)
+    out[GRAM:] = hashes[: len(data) - GRAM] * np.uint32(GRAM_FACTOR)
+    out[(data & 0xC0) == 0x80] = NO_CUT
+    # So near a line's start that neither the hash nor a neighbour may look over it.
+    first = starts[:, None] + np.arange(REACH)
+    out[first[first < np.minimum(ends, len(data))[:, None]]] = NO_CUT
+    return out
+
+
+def leaf_ends(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Ends of the leaves of many lines, given the ends of the lines."""
+    if not len(data):
+        return np.empty(0, np.int64)
+    starts = np.concatenate([[0], ends[:-1]])
+    cuts = ends
+    hashes = NO_CUT
+    if len(data) > GRAM:
+        hashes = _place_hashes(data, starts, ends)
+        edge = np.full(REACH, NO_CUT)
+        around = _least(np.concatenate([edge, hashes, edge]), REACH)
+        before, behind = around[: len(data)], around[REACH + 1 : REACH + 1 + len(data)]
+        cuts = np.flatnonzero((hashes < before) & (hashes <= behind) & (hashes != NO_CUT))
+        cuts = np.sort(np.concatenate([cuts, ends]))
+    begins = np.concatenate([[0], cuts[:-1]])
+    long = np.flatnonzero(cuts - begins > LONGEST)
+    more = [_cut_again(data, hashes, int(begins[k]), int(cuts[k])) for k in long.tolist()]
+    return np.sort(np.concatenate([cuts, *more])).astype(np.int64) if more else cuts
+
+
+def _cut_again(data: np.ndarray, hashes: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """Further cuts of what is too long."""
+    found = []
+    while stop - start > LONGEST:
+        window = hashes[start + 1 : start + LONGEST + 1][::-1]
+        at = int(window.argmin())
+        end = start + LONGEST - at
+        if window[at] == NO_CUT:  # not reached by text in whole characters
+            end = start + LONGEST
+            while end > start + 1 and data[end] & 0xC0 == 0x80:
+                end -= 1
+        found.append(end)
         start = end
-        if text[end - 1] == 10 or end == len(text):
-            digest = _digest(b"".join([leaf[0] for leaf in leaves]))
-            paragraphs.append((digest, leaves))
-            blank = len(leaves) == 1 and text[leaves[0][1] : end] == b"\n"
-            if blank or digest[0] >> (8 - SECTION_BITS) == 0:
-                close()
-            leaves = []
-    close()
-    return _digest(b"".join([s[0] for s in sections])), sections
+    return np.array(found, np.int64)
+
+
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the leaf factor and of its inverse."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 2 * GROUP_CHARS)
+        _POWERS[:] = []
+        for factor in (LEAF_FACTOR, LEAF_INVERSE):
+            steps = np.full(size, factor, np.uint64)
+            steps[0] = 1
+            _POWERS.append(np.cumprod(steps, dtype=np.uint64))
+    return _POWERS
+
+
+def leaf_codes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> bytes:
+    """Four bytes of digest and one of length for every leaf."""
+    powers, inverses = _powers(len(data) + 1)
+    # A polynomial of the leaf's bytes, by differences of a running sum.
+    sums = np.concatenate(
+        [np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)])]
+    )
+    sizes = (ends - begins).astype(np.uint64)
+    codes = (sums[ends] - sums[begins]) * inverses[begins] + sizes
+    codes = (codes ^ (codes >> np.uint64(31))) * np.uint64(MIX)
+    out = np.empty((len(ends), 5), np.uint8)
+    out[:, :4] = (codes >> np.uint64(32)).astype(">u4").view(np.uint8).reshape(-1, 4)
+    out[:, 4] = sizes
+    return out.tobytes()
+
+
+Leaf = tuple[str, int, int]  # code, start, end
+Paragraph = tuple[bytes, list[Leaf]]
+Section = tuple[bytes, list[Paragraph]]
+
+
+class Forest:
+    """The trees of many texts, whose leaves are found at once."""
+
+    def __init__(self, texts: list[bytes]):
+        self.texts = texts
+        joined = b"".join(texts)
+        data = np.frombuffer(joined, np.uint8)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        text_ends = np.cumsum(sizes)
+        lines = np.union1d(np.flatnonzero(data == 10) + 1, text_ends[sizes > 0]).astype(np.int64)
+        ends = leaf_ends(data, lines)
+        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
+        self.codes = leaf_codes(data, begins, ends).hex() if len(ends) else ""
+        self.ends = ends
+        # Of each line: its end, and the number of leaves up to there.
+        self.lines, self.joined = lines.tolist(), joined
+        self.leaves = np.searchsorted(ends, lines, side="right").tolist()
+        self.first_line = np.searchsorted(lines, text_ends - sizes, side="right").tolist()
+        self.last_line = np.searchsorted(lines, text_ends, side="right").tolist()
+
+    def sections(self, number: int) -> tuple[bytes, list[tuple[bytes, list[tuple[bytes, int]]]]]:
+        """A text's root, and its sections: digest, and digest and line number of the paragraphs."""
+        sections, mine = [], []
+        for line in range(self.first_line[number], self.last_line[number]):
+            start = self.lines[line - 1] if line else 0
+            text = self.joined[start : self.lines[line]]
+            digest = _digest(text)
+            mine.append((digest, line))
+            if text == b"\n" or digest[0] >> (8 - SECTION_BITS) == 0:
+                sections.append((_digest(b"".join([d for d, _ in mine])), mine))
+                mine = []
+        if mine:
+            sections.append((_digest(b"".join([d for d, _ in mine])), mine))
+        return _digest(b"".join([digest for digest, _ in sections])), sections
+
+    def line_codes(self, line: int) -> str:
+        first = self.leaves[line - 1] if line else 0
+        return self.codes[LEAF * first : LEAF * self.leaves[line]]
+
+    def fingerprint(self, number: int) -> str:
+        root, sections = self.sections(number)
+        parts = [root.hex()]
+        for digest, paragraphs in sections:
+            lines = [self.line_codes(line) for _, line in paragraphs]
+            parts.append(digest.hex()[:SECTION] + ":" + ",".join(lines))
+        return "/".join(parts)
+
+    def tree(self, number: int) -> tuple[bytes, list[Section]]:
+        """Root digest, and sections: their digest and their paragraphs, with byte offsets."""
+        root, sections = self.sections(number)
+        offset = sum(len(t) for t in self.texts[:number])
+
+        def leaves(line: int) -> list[Leaf]:
+            first = self.leaves[line - 1] if line else 0
+            out = []
+            for k in range(first, self.leaves[line]):
+                start = int(self.ends[k - 1]) if k else 0
+                code = self.codes[LEAF * k : LEAF * (k + 1)]
+                out.append((code, start - offset, int(self.ends[k]) - offset))
+            return out
+
+        return root, [(d, [(p, leaves(line)) for p, line in own]) for d, own in sections]
+
+
+def fingerprints_of(texts: list[bytes]) -> list[str]:
+    forest = Forest(texts)
+    return [forest.fingerprint(k) for k in range(len(texts))]
 
 
 def fingerprint(text: bytes) -> str:
-    root, sections = tree(text)
-    parts = [root.hex()]
-    for digest, paragraphs in sections:
-        lines = ["".join([x[0].hex()[:LEAF] for x in leaves]) for _, leaves in paragraphs]
-        parts.append(digest.hex()[:SECTION] + ":" + ",".join(lines))
-    return "/".join(parts)
+    return fingerprints_of([text])[0]
+
 
+def tree(text: bytes) -> tuple[bytes, list[Section]]:
+    return Forest([text]).tree(0)
 
-def _leaves(section: str) -> Iterator[str]:
-    for line in section[SECTION + 1 :].split(","):
-        for at in range(0, len(line), LEAF):
-            yield line[at : at + LEAF]
+
+def _leaves(section: str) -> str:
+    return section[SECTION + 1 :].replace(",", "")
+
+
+def _n_bytes(sections: Counter) -> int:
+    return sum(n * sum(bytes.fromhex(_leaves(s))[4::5]) for s, n in sections.items())
+
+
+def _counted(sections: Counter) -> Counter:
+    found: Counter = Counter()
+    for section, n in sections.items():
+        codes = _leaves(section)
+        found.update([codes[k : k + LEAF] for k in range(0, len(codes), LEAF)] * n)
+    return found
 
 
 def likeness(a: str, b: str) -> float:
-    """1 for equal roots, else twice the common leaves over all leaves of both."""
+    """1 for equal roots, else twice the bytes of common leaves over all bytes of both."""
     if a[:ROOT] == b[:ROOT]:
         return 1.0
     ours, theirs = Counter(a.split("/")[1:]), Counter(b.split("/")[1:])
     same = ours & theirs
-    common = sum((len(s) - SECTION - 1 - s.count(",")) // LEAF * n for s, n in same.items())
-    left = Counter(x for s, n in (ours - same).items() for _ in range(n) for x in _leaves(s))
-    right = Counter(x for s, n in (theirs - same).items() for _ in range(n) for x in _leaves(s))
-    total = 2 * common + left.total() + right.total()
-    return (2 * common + 2 * (left & right).total()) / total if total else 0.0
+    common = _n_bytes(same)
+    left, right = ours - same, theirs - same
+    total = 2 * common + _n_bytes(left) + _n_bytes(right)
+    shared = _counted(left) & _counted(right)
+    common += sum(n * int(code[-LENGTH:], 16) for code, n in shared.items())
+    return 2 * common / total if total else 0.0
 
 
 def changed_spans(old: str, new: str) -> list[tuple[int, int]]:
@@ -158,7 +299,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(text) for text in row_bytes(batch.column(1))]
+            found = fingerprints_of(list(row_bytes(batch.column(1))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(found, pa.string())], ["doc_id", "fingerprint"]
             )
@@ -222,47 +363,60 @@ EDIT_SCHEMA = (
 )
 
 
+Row = tuple[int, int | None, str, bool, str | None]  # part, id, text, copied, fingerprint
+
+
 def _edit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of sorted parts, each ended by a copy of the next part's first row."""
     unpack = zstandard.ZstdDecompressor().decompress
-    out: list[tuple] = []
-    previous: tuple | None = None
+    held: list[Row] = []
+    size = 0
     for batch in batches:
         part, doc_id, packed, copied = batch.columns[:4]
         rows = zip(part.to_pylist(), doc_id.to_pylist(), packed, copied.to_pylist())
         for part_at, id_at, packed_at, is_copy in rows:
             text = unpack(packed_at.as_py()).decode()
-            print_at = fingerprint(text.encode())
-            if previous is not None and previous[0] == part_at:
-                out.append(_edited(previous, text, print_at))
-            # Behind the copy of the next row nothing of the part is left.
-            previous = None if is_copy else (part_at, id_at, text, print_at)
-            if len(out) == 1000:
+            held.append((part_at, id_at, text, is_copy, None))
+            size += len(text)
+            if size >= GROUP_CHARS:
+                out, last = _edited(held)
                 yield _edit_batch(out)
-                out = []
-    if out:
-        yield _edit_batch(out)
-
-
-def _edited(row: tuple, following: str, following_print: str) -> tuple:
-    _, doc_id, text, own = row
-    half = len(text) // 2
-    edited = (text[: len(text) - half] + following[:half]).encode()
-    other = fingerprint(edited)
-    return (
-        doc_id,
-        len(text),
-        hashlib.sha256(edited).hexdigest(),
-        own,
-        other,
-        likeness(own, other),
-        likeness(own, following_print),
-    )
+                held, size = [last], 0
+    if held:
+        yield _edit_batch(_edited(held)[0])
+
+
+def _edited(rows: list[Row]) -> tuple[list[tuple], Row]:
+    """Results of all rows but the last, which waits for the one that follows it."""
+    prints = [row[4] for row in rows[:1] if row[4] is not None]
+    prints += fingerprints_of([row[2].encode() for row in rows[len(prints) :]])
+    # Behind the copy of the next row nothing of the part is left.
+    pairs = [
+        k for k in range(len(rows) - 1) if rows[k][0] == rows[k + 1][0] and not rows[k][3]
+    ]
+    edited = []
+    for k in pairs:
+        text, following = rows[k][2], rows[k + 1][2]
+        half = len(text) // 2
+        edited.append((text[: len(text) - half] + following[:half]).encode())
+    out = [
+        (
+            rows[k][1],
+            len(rows[k][2]),
+            hashlib.sha256(new).hexdigest(),
+            prints[k],
+            other,
+            likeness(prints[k], other),
+            likeness(prints[k], prints[k + 1]),
+        )
+        for k, new, other in zip(pairs, edited, fingerprints_of(edited))
+    ]
+    return out, (*rows[-1][:4], prints[-1])
 
 
 def _edit_batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
-    columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)]
     return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in EDIT_SCHEMA.split(", ")])
 
 

@@ -45,6 +45,35 @@ def test_edits_stay_local():
     assert merkle.changed_spans("same", "same") == []
 
 
+REPEATED = ["word " * 5000, "The cat sat. " * 1000, "中文字" * 2000, ", ".join(map(str, range(3000)))]
+REPEATED += ["a" * 9000, "ab" * 4000, "\n" * 500, "é" * 3000, "no spaces" * 700, "line\n" * 900]
+
+
+@pytest.mark.parametrize("text", [*REPEATED, prose(50, 60), prose(51, 60).replace("\n", " ")])
+@pytest.mark.parametrize("share", [0.25, 0.5, 0.9])
+def test_likeness_is_near_the_kept_share(text, share):
+    kept, other = int(len(text) * share), prose(99, 4000).replace("\n", "\r")
+    for new in (text[:kept] + other[: len(text) - kept], other[: len(text) - kept] + text[-kept:]):
+        a, b = text.encode(), new.encode()
+        size = len(text[:kept].encode()) if new.startswith(text[:kept]) else len(text[-kept:].encode())
+        near = merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b))
+        assert abs(near - 2 * size / (len(a) + len(b))) < 0.1
+
+
+def test_leaves_are_bounded():
+    for text in [*REPEATED, prose(3), "\x00" * 500, "x" * 64, "x" * 65, "😀" * 100, "é\n" * 40]:
+        _, sections = merkle.tree(text.encode())
+        leaves = [leaf for _, paragraphs in sections for _, ls in paragraphs for leaf in ls]
+        assert all(0 < b - a <= merkle.LONGEST for _, a, b in leaves)
+        for _, a, b in leaves:
+            text.encode()[a:b].decode()  # whole characters
+
+
+def test_alone_and_among_others():
+    texts = [t.encode() for t in [prose(1), "", "x", *REPEATED, prose(2), "é" * 11, ""]]
+    assert merkle.fingerprints_of(texts) == [merkle.fingerprint(t) for t in texts]
+
+
 def test_likeness_is_symmetric_and_bounded():
     prints = [merkle.fingerprint(t.encode()) for t in ["", "x", prose(1), prose(2), prose(1) * 2]]
     for a in prints:

@@ -5,6 +5,12 @@ agenda holds the adjacent pairs of symbols whose concatenation is a piece, best
 first and leftmost first among equals; the top pair is merged and its new neighbours are
 put on the agenda, until it is empty. Symbols that are no piece become byte pieces.
 
+All new words of a batch are worked on together. Symbols are numbers, and a table tells for a
+pair of them the rank and number of the piece they make. A row of an array has the ranks of a
+word's pairs: its agenda, whose top is the first least one. Each step merges the top pair of
+every word that still has one, and looks up the ranks of the two new pairs. Very long words
+have a heap each.
+
 No piece of the vocabularies handled has a space mark after another character, or a line
 break (both checked when a vocabulary is loaded), so merges never cross into a new word or
 line, nor from a letter to a mark of punctuation that follows none in any piece. Texts are
@@ -27,6 +33,7 @@ from heapq import heapify, heappop, heappush
 from itertools import chain
 from operator import add
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
@@ -35,7 +42,7 @@ from sentencepiece import sentencepiece_model_pb2 as model_pb2
 from shopledger.llm.common import kept_by, map_batches, row_bytes
 
 SPACE = "▁"
-WORD_MEMORY, PART_MEMORY = 40_000, 250_000
+WORD_MEMORY = 250_000
 REMEMBERED_LENGTH = 40
 # Characters of the texts that are worked on at once.
 SLICE_CHARS = 1_000_000
@@ -45,9 +52,9 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
 
 
-# Up to this many characters a list is the faster agenda.
-SHORT = 40
-NO_PAIR = 1 << 40
+# Words are worked on together with others of up to the same of these lengths; longer ones alone.
+WIDTHS = (4, 7, 10, 14, 20, 40)
+NO_PAIR = 1 << 30
 PLACE_BITS = 40
 PLACES = (1 << PLACE_BITS) - 1
 
@@ -66,10 +73,45 @@ def _word_pattern(pieces: Iterable[str]) -> re.Pattern:
     joined = {p[0] for p in pairs if p[1] in marks and re.match(r"\w", p[0])}
     some = re.escape("".join(marks)) or "\n"
     free = rf"[^\W{re.escape(''.join(sorted(joined)))}]"
-    body = f"[^{SPACE}\n](?:[^{SPACE}\n{some}]|(?<!{free})[{some}])*"
+    body = f"[^{SPACE}\n](?:[^{SPACE}\n{some}]++|(?<!{free})[{some}])*+"
     return re.compile(f"\n|{SPACE}+(?:{body})?|{body}")
 
 
+class PairTable:
+    """Rank and number of what a pair of numbered symbols makes, for many pairs at once."""
+
+    FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, pairs: dict[tuple[int, int], tuple[int, int]]):
+        bits = max(4, (4 * len(pairs)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.ranks = np.full(1 << bits, NO_PAIR, np.int64)
+        self.made = np.zeros(1 << bits, np.int64)
+        for (left, right), (rank, made) in pairs.items():
+            key = left << 32 | right
+            at = int(self._slots(np.array([key]))[0])
+            while self.keys[at] >= 0:
+                at = at + 1 & self.last
+            self.keys[at], self.ranks[at], self.made[at] = key, rank, made
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * self.FACTOR) >> self.shift).astype(np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks (``NO_PAIR`` if there is no such piece) and what the pairs make."""
+        keys = (left << 32 | right).ravel()
+        at = self._slots(keys)
+        there = self.keys[at]
+        open_now = np.flatnonzero((there != keys) & (there >= 0))
+        while len(open_now):
+            at[open_now] = at[open_now] + 1 & self.last
+            there[open_now] = self.keys[at[open_now]]
+            open_now = open_now[(there[open_now] != keys[open_now]) & (there[open_now] >= 0)]
+        ranks = np.where(there == keys, self.ranks[at], NO_PAIR)
+        return ranks.reshape(left.shape), self.made[at].reshape(left.shape)
+
+
 class Vocabulary:
     """A merge-type vocabulary: scores and ids of pieces, ids of bytes."""
 
@@ -99,31 +141,88 @@ class Vocabulary:
         bytes_at = {p.piece: i for i, p in enumerate(model.pieces) if p.type == BYTE}
         self.byte_ids = [bytes_at[f"<0x{b:02X}>"] for b in range(256)]
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
+        self._number_symbols()
+
+    def _number_symbols(self) -> None:
+        """Pieces have their ids, other characters of pieces numbers above; no pair has the last."""
+        numbers = dict(self.ids)
+        above = len(self.decimals)
+        for char in sorted(set("".join(self.ids)) - numbers.keys()):
+            numbers[char], above = above, above + 1
+        self.pairs = PairTable(
+            {
+                (numbers[piece[:k]], numbers[piece[k:]]): (rank, self.ids[piece])
+                for piece, rank in self.ranks.items()
+                for k in range(1, len(piece))
+                if piece[:k] in numbers and piece[k:] in numbers
+            }
+        )
+        self.other = above
+        self.of_char = np.full(0x110000, above, np.int64)
+        for symbol, number in numbers.items():
+            if len(symbol) == 1:
+                self.of_char[ord(symbol)] = number
+
+    def _merged_together(self, words: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Symbol numbers of words of at most ``width`` characters, and how many each has left."""
+        sizes = np.array([len(w) for w in words])
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        symbols = np.full((len(words), width), self.other, np.int64)
+        symbols[np.arange(width) < sizes[:, None]] = self.of_char[chars]
+        out, left_over = np.full_like(symbols, self.other), sizes.copy()
+        ranks, made = self.pairs(symbols[:, :-1], symbols[:, 1:])
+        rows, place = np.arange(len(words)), np.arange(width)
+        while True:
+            top = ranks.argmin(1)
+            more = ranks[np.arange(len(rows)), top] < NO_PAIR
+            if not more.all():
+                done = ~more
+                out[rows[done]] = symbols[done]
+                rows, top = rows[more], top[more]
+                symbols, ranks, made = symbols[more], ranks[more], made[more]
+            if not len(rows):
+                return out, left_over
+            here = np.arange(len(rows))
+            merged = made[here, top]
+            # What is behind the pair moves up by one.
+            source = np.minimum(place + (place > top[:, None]), width - 1) + here[:, None] * width
+            symbols = symbols.ravel()[source]
+            symbols[:, -1] = self.other
+            symbols[here, top] = merged
+            source = np.minimum(place[:-1] + (place[:-1] >= top[:, None]), width - 2)
+            source += here[:, None] * (width - 1)
+            ranks, made = ranks.ravel()[source], made.ravel()[source]
+            ranks[:, -1] = NO_PAIR
+            left_over[rows] -= 1
+            with_next = np.flatnonzero(top < width - 1)
+            at = top[with_next]
+            found = self.pairs(merged[with_next], symbols[with_next, at + 1])
+            ranks[with_next, at], made[with_next, at] = found
+            with_last = np.flatnonzero(top > 0)
+            at = top[with_last] - 1
+            found = self.pairs(symbols[with_last, at], merged[with_last])
+            ranks[with_last, at], made[with_last, at] = found
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of escaped words, worked out together."""
+        found: list[list[int] | None] = [None] * len(words)
+        sizes = np.array([len(w) for w in words], np.int64)
+        group = np.searchsorted(WIDTHS, sizes)
+        for k, width in enumerate(WIDTHS):
+            mine = np.flatnonzero(group == k).tolist()
+            if not mine:
+                continue
+            symbols, left_over = self._merged_together([words[i] for i in mine], width)
+            # Symbols that are no piece become bytes, one word at a time.
+            known = (symbols < len(self.decimals)).sum(1) == left_over
+            rows = zip(mine, symbols.tolist(), left_over.tolist(), known.tolist())
+            for i, row, n, pieces_only in rows:
+                if pieces_only:
+                    found[i] = row[:n]
+        return [self.encode_escaped(w) if ids is None else ids for w, ids in zip(words, found)]
 
     def merged(self, text: str) -> list[str]:
-        """Symbols of an escaped text when no pair is left on the agenda."""
-        return self._merged_short(text) if len(text) <= SHORT else self._merged_long(text)
-
-    def _merged_short(self, text: str) -> list[str]:
-        """The agenda as a list of ranks by place: of a few pairs the first smallest is found fast."""
-        rank_of = self.ranks.get
-        symbols: list[str] = list(text)
-        agenda = [rank_of(pair, NO_PAIR) for pair in map(add, symbols, symbols[1:])]
-        while agenda:
-            best = min(agenda)
-            if best == NO_PAIR:
-                break
-            left = agenda.index(best)
-            symbols[left] += symbols.pop(left + 1)
-            del agenda[left]
-            if left:
-                agenda[left - 1] = rank_of(symbols[left - 1] + symbols[left], NO_PAIR)
-            if left < len(agenda):
-                agenda[left] = rank_of(symbols[left] + symbols[left + 1], NO_PAIR)
-        return symbols
-
-    def _merged_long(self, text: str) -> list[str]:
-        """The agenda as a heap.
+        """Symbols of an escaped text when no pair is left on the agenda, here a heap.
 
         An entry is the rank of a pair and the place of its left symbol, as one number, so
         the smallest is the best score, leftmost first. An entry is stale if the pair that now
@@ -213,73 +312,41 @@ class Recent:
 
 
 def _together(parts: list[Coded]) -> Coded:
-    if len(parts) == 1:
-        return parts[0]
-    if len(parts) == 2:
-        (ids, joined), (more, rest) = parts
-        return ids + more, f"{joined},{rest}"
     return tuple(chain.from_iterable([ids for ids, _ in parts])), ",".join([x for _, x in parts])
 
 
 class WordMemory:
-    """Encodes texts by the words and parts of words met lately; new parts are worked out.
-
-    A text with single spaces only is cut at them, others into parts at once.
-    """
+    """Encodes texts by the words met lately; new ones are worked out."""
 
-    def __init__(
-        self, vocabulary: Vocabulary, words: int = WORD_MEMORY, parts: int = PART_MEMORY
-    ):
-        self.vocabulary = vocabulary
-        self.words, self.parts = Recent(words), Recent(parts)
+    def __init__(self, vocabulary: Vocabulary, words: int = WORD_MEMORY):
+        self.vocabulary, self.words = vocabulary, Recent(words)
 
     def worked_out(self, parts: list[str]) -> dict[str, Coded]:
         vocabulary = self.vocabulary
-        found = {part: vocabulary.encode_escaped(part) for part in parts}
+        found = vocabulary.encode_words(parts)
         # The library puts a space mark in front: a part that has one goes without it, another
         # goes after a line break, and the ids of mark and break are left out again.
         plain = [(w[1:] if w[0] == SPACE else "\n" + w).replace(SPACE, " ") for w in parts]
         expected = vocabulary.library.encode(plain, num_threads=1)
-        for part, ids in zip(parts, expected):
-            if found[part] != (ids if part[0] == SPACE else ids[2:]) and part != SPACE:
+        for part, own, ids in zip(parts, found, expected):
+            if own != (ids if part[0] == SPACE else ids[2:]) and part != SPACE:
                 raise ValueError(f"agenda and library differ on {part!r}")
         decimals = vocabulary.decimals
         return {
-            part: (tuple(ids), ",".join([decimals[i] for i in ids])) for part, ids in found.items()
+            part: (tuple(ids), ",".join([decimals[i] for i in ids]))
+            for part, ids in zip(parts, found)
         }
 
     def encode(self, texts: list[str]) -> list[Coded]:
-        parts_of = self.vocabulary.word.findall
-        words, parts = self.words, self.parts
-        simple = [_simple(t) for t in texts]
-        cut = [
-            t.split(" ") if s else parts_of(SPACE + t.replace(" ", SPACE)) if t else []
-            for t, s in zip(texts, simple)
-        ]
-        new = words.missing(set(chain.from_iterable(c for c, s in zip(cut, simple) if s)))
-        parts_of_new = [parts_of(SPACE + word) for word in new]
-        wanted = set(chain.from_iterable(parts_of_new))
-        wanted.update(chain.from_iterable(c for c, s in zip(cut, simple) if not s))
-        parts.add(self.worked_out(parts.missing(wanted)))
-        at = parts.young
-        words.add({w: _together([at[p] for p in ps]) for w, ps in zip(new, parts_of_new)})
-        known = words.young
-        out = [
-            _together([known[w] for w in c] if s else [at[p] for p in c])
-            for c, s in zip(cut, simple)
-        ]
+        parts_of, words = self.vocabulary.word.findall, self.words
+        cut = [parts_of(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        words.add(self.worked_out(words.missing(set(chain.from_iterable(cut)))))
+        at = words.young
+        out = [_together([at[p] for p in mine]) for mine in cut]
         words.settle()
-        parts.settle()
         return out
 
 
-def _simple(text: str) -> bool:
-    """Whether the text is words between single spaces."""
-    return bool(text) and not (
-        "  " in text or text[0] == " " or text[-1] == " " or SPACE in text
-    )
-
-
 _MEMORIES: dict[str, WordMemory] = {}
 kept_by(__name__, _MEMORIES.clear)
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -35,13 +36,35 @@ def test_one_agenda_is_the_library(library):
         assert vocabulary.encode(text) == library.encode(text), repr(text[:60])
 
 
+def test_words_together_are_words_alone():
+    vocabulary = pieces.Vocabulary(PATH)
+    rng = random.Random(4)
+    letters = "aeiou" * 6 + "tnrsl" * 4 + "ABCdfg.,-7éß梦🙂\x00" + pieces.SPACE
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(3000)]
+    words += ["a" * n for n in range(1, 45)] + [pieces.SPACE * n for n in range(1, 45)]
+    found = vocabulary.encode_words(words)
+    assert found == [vocabulary.encode_escaped(w) for w in words]
+    assert vocabulary.encode_words([]) == []
+
+
+def test_pair_table_is_the_dictionary():
+    rng = random.Random(6)
+    pairs = {(rng.randint(0, 300), rng.randint(0, 300)): (k, k + 7) for k in range(4000)}
+    table = pieces.PairTable(pairs)
+    asked = [*pairs, *[(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(4000)]]
+    ranks, made = table(*(np.array(side) for side in zip(*asked)))
+    for pair, rank, new in zip(asked, ranks.tolist(), made.tolist()):
+        assert rank == pairs.get(pair, (pieces.NO_PAIR,))[0]
+        assert pair not in pairs or new == pairs[pair][1]
+
+
 def test_words_are_the_whole_text(library):
-    memory = pieces.WordMemory(pieces.Vocabulary(PATH), words=20, parts=20)
+    memory = pieces.WordMemory(pieces.Vocabulary(PATH), words=20)
     texts = TEXTS + random_texts(2000)
     for at in range(0, len(texts), 50):
         part = texts[at : at + 50]
         assert [list(ids) for ids, _ in memory.encode(part)] == library.encode(part)
-    assert all(len(x) < 1000 for r in (memory.words, memory.parts) for x in (r.young, r.old))
+    assert all(len(x) < 1000 for x in (memory.words.young, memory.words.old))
 
 
 def test_rows(spark, library):

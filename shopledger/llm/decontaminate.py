@@ -3,12 +3,13 @@
 Benchmark texts and documents are normalised alike: A-Z in lower case, words are
 runs of ASCII letters, digits and non-ASCII characters. Every word of the benchmark
 becomes one symbol, so a window of ten words is a string of ten symbols and a match
-ends at a word number of the document. One automaton holds all windows; each text
-is scanned once, and hits are mapped back to character offsets of the original.
+ends at a word number of the document. One automaton (``automaton``) holds all windows;
+each text is scanned once, and hits are mapped back to character offsets of the original.
 
-The automaton is sent to the tasks, so its size is checked: a benchmark of over
-``BLOCK_WINDOWS`` windows is cut by item into blocks of about that many, scanned
-one after the other, and the hits are merged row by row. Nothing is shuffled.
+A task makes the automaton out of the distinct benchmark rows. Its arrays reach the driver in
+pieces, as a file, which Spark gives to every executor once; the workers map it and share its
+pages. It takes up to 21 bytes for each word of a window, and nothing else grows with the
+benchmark: documents are read by one stage and nothing is shuffled, at every size.
 
 A null or wordless document has no words and no hits; a null or wordless item has no
 window. Equal windows of several items count for each; a repeated item id counts once.
@@ -19,26 +20,25 @@ its result.
 
 from __future__ import annotations
 
-import re
+import atexit
+import os
+import shutil
+import tempfile
 from collections.abc import Iterator
 from uuid import uuid4
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
-from shopledger.llm.common import kept_by, map_batches, row_bytes
+from shopledger.llm.automaton import WORDS, Automaton, Words, build, cover, words_in
+from shopledger.llm.common import kept_by, map_batches, row_bytes, stored
 
-# ASCII bytes that are no letter or digit become spaces; A-Z become a-z; the rest stays.
-WORDS = bytes(
-    c + 32 if 65 <= c <= 90 else c if chr(c).isalnum() or c >= 128 else 32 for c in range(256)
-)
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-BLOCK_WINDOWS = 100_000
-OTHER = "\0"
+PIECE_BYTES = 8 << 20
+SCAN_BYTES = 2 << 20
 
-_AUTOMATA: dict[str, tuple] = {}
+_AUTOMATA: dict[str, Automaton] = {}
 kept_by(__name__, _AUTOMATA.clear)
 
 
@@ -46,41 +46,66 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORDS).split()
 
 
-def _automaton(key: str, items: list[tuple[str | None, bytes]], window: int):
-    """Symbols of words, and the automaton: windows with their length and items."""
-    if key not in _AUTOMATA:
-        symbols: dict[bytes, str] = {}
-        owners: dict[str, set[str | None]] = {}
-        for item, text in items:
-            found = words_of(text)
-            # Code points above the surrogates: any number up to a million words.
-            coded = "".join(
-                symbols.setdefault(w, chr(0x10000 + len(symbols))) for w in found
-            )
-            for at in range(max(1, len(coded) - window + 1)) if coded else ():
-                owners.setdefault(coded[at : at + window], set()).add(item)
-        automaton = ahocorasick.Automaton()
-        for coded, names in owners.items():
-            automaton.add_word(coded, (len(coded), names))
-        if owners:
-            automaton.make_automaton()
-        _AUTOMATA.clear()
-        _AUTOMATA[key] = symbols, automaton if owners else None
-    return _AUTOMATA[key]
-
+def _made(items: DataFrame, window: int) -> DataFrame:
+    """The automaton of all items, as numbered pieces of a file."""
 
-def _scan(words: list[bytes], symbols: dict, automaton) -> tuple[np.ndarray, set[str | None]]:
-    """Numbers of the words inside a match, and the items matched."""
-    items: set[str | None] = set()
-    if automaton is None:
-        return np.empty(0, np.int64), items
-    get = symbols.get
-    steps = np.zeros(len(words) + 1, np.int64)
-    for end, (length, names) in automaton.iter("".join([get(w, OTHER) for w in words])):
-        steps[end + 1 - length] += 1
-        steps[end + 1] -= 1
-        items |= names
-    return np.flatnonzero(np.cumsum(steps[:-1])) if items else np.empty(0, np.int64), items
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: list[str | None] = []
+        texts: list[bytes] = []
+        for batch in batches:
+            names += batch.column(0).to_pylist()
+            texts += row_bytes(batch.column(1))
+        with tempfile.TemporaryDirectory() as folder:
+            path = os.path.join(folder, "automaton")
+            build(texts, names, window).save(path)
+            del texts, names
+            with open(path, "rb") as file:
+                for number, data in enumerate(iter(lambda: file.read(PIECE_BYTES), b"")):
+                    columns = [pa.array([number], pa.int32()), pa.array([data], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["number", "data"])
+
+    return map_batches(items.coalesce(1), run, "number int, data binary")
+
+
+def _sent(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> str:
+    """The name of the automaton's file on all executors."""
+    items = benchmark.select(
+        F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")
+    ).where(F.col("text").isNotNull())
+    pieces = stored(_made(items.distinct(), window), "automaton")
+    name = f"automaton-{uuid4().hex}"
+    folder = tempfile.mkdtemp(prefix="shopledger-automaton-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, name)
+    build([], [], window).save(path)  # stays if there is no item at all
+    for row in pieces.orderBy("number").toLocalIterator():
+        with open(path, "ab" if row.number else "wb") as file:
+            file.write(row.data)
+    benchmark.sparkSession.sparkContext.addFile(path)
+    return name
+
+
+def _opened(name: str) -> Automaton:
+    if name not in _AUTOMATA:
+        _AUTOMATA.clear()
+        _AUTOMATA[name] = Automaton.load(SparkFiles.get(name))
+    return _AUTOMATA[name]
+
+
+def _hits(automaton: Automaton, texts: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray, list[set]]:
+    """Words of the texts, which of them are hit, where each text's words begin, items found."""
+    words = words_in(texts)
+    ends, states = automaton.matches(words)
+    hit = cover(len(words.starts), ends, automaton.depth(states))
+    begins = np.concatenate([[0], np.cumsum(words.counts)])
+    text = np.searchsorted(begins, ends, side="right") - 1
+    # A pattern that a text has often is looked up once.
+    pairs = np.unique(np.stack([text, states], 1), axis=0) if len(ends) else np.empty((0, 2), int)
+    owners, of = automaton.owners_of(pairs[:, 1])
+    found: list[set] = [set() for _ in texts]
+    for row, owner in zip(pairs[of, 0].tolist(), owners.tolist()):
+        found[row].add(automaton.name(owner))
+    return words, hit, begins, found
 
 
 def _runs(numbers: np.ndarray) -> list[tuple[int, int]]:
@@ -90,35 +115,22 @@ def _runs(numbers: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(firsts.tolist(), numbers[np.concatenate([cuts, [-1]])].tolist()))
 
 
-def _spans(text: bytes, hits: np.ndarray) -> list[tuple[int, int]]:
-    """Character offsets in the original text of each run of hit words."""
-    at = [m.span() for m in WORD.finditer(text.decode().translate(_LOWER))]
-    return [(at[first][0], at[last][1]) for first, last in _runs(hits)]
+def _spans(text: bytes, at: int, words: Words, hits: np.ndarray) -> list[dict]:
+    """Character offsets in the text, which begins ``at`` in the words' data, of runs of hit words."""
+    chars = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)
+    out = []
+    for first, last in _runs(hits):
+        start, end = int(words.starts[first]) - at, int(words.ends[last]) - at
+        out.append({"start": int(chars[start]) - 1, "end": int(chars[end - 1])})
+    return out
 
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
 SCAN_SCHEMA = (
-    "doc_id long, text string, n_words long, hits binary, item_ids array<string>, "
+    "doc_id long, n_words long, n_hit long, item_ids array<string>, "
     "spans array<struct<start:int,end:int>>"
 )
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, limit: int):
-    """The benchmark as lists of (item, text), each of about ``limit`` windows, and which is last."""
-    n_words = F.regexp_count(F.col(text_col), F.lit(WORD.pattern))
-    sized = benchmark.select(
-        F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"),
-        n_words.alias("n"),
-    ).where(F.col("n") > 0)
-    total = sized.agg(F.sum(F.greatest(F.lit(1), F.col("n") - window + 1))).first()[0] or 0
-    n_blocks = max(1, -(-total // limit))
-    for block in range(n_blocks):
-        mine = F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == block
-        rows = sized.where(mine).select("item", "text").distinct().collect()
-        items = [(r.item, r.text.encode()) for r in rows]
-        yield items, block == n_blocks - 1
-
-
 def contamination(
     df: DataFrame,
     benchmark: DataFrame,
@@ -127,61 +139,38 @@ def contamination(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
     """For every row: ``n_words``, ``n_hit``, ``item_ids`` (sorted as strings, null first), ``spans``.
 
     ``spans`` are the character offsets in the original text of each run of hit words.
     """
-    found = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spark, first = df.sparkSession, True
-    for items, last in _blocks(benchmark, item_col, item_text_col, window, block_windows):
-        sent, key = spark.sparkContext.broadcast(items), uuid4().hex
-        found = map_batches(found, _scanner(sent, key, window, first, last), SCAN_SCHEMA)
-        first = False
-    return found.select(
-        "doc_id",
-        "n_words",
-        (F.octet_length("hits") / 8).cast("long").alias("n_hit"),
-        "item_ids",
-        "spans",
-    )
-
-
-def _scanner(sent, key: str, window: int, first: bool, last: bool):
-    """Scans for one block; after the last one the text itself is not handed on."""
+    name = _sent(benchmark, item_col, item_text_col, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, automaton = _automaton(key, sent.value, window)
+        spans_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            n = batch.num_rows
-            counts, hits, items, spans = np.zeros(n, np.int64), [], [], []
-            for at, text in enumerate(row_bytes(batch.column(1))):
-                words = words_of(text)
-                counts[at] = len(words)
-                mine, names = _scan(words, symbols, automaton)
-                if not first:
-                    mine = np.union1d(mine, np.frombuffer(batch.column(3)[at].as_py(), np.int64))
-                    names = names.union(batch.column(4)[at].as_py())
-                hits.append(mine.tobytes())
+            texts = list(row_bytes(batch.column(1)))
+            words, hit, begins, found = _hits(_opened(name), texts)
+            n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[begins])
+            offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
+            items, spans = [], []
+            for k, names in enumerate(found):
                 items.append(sorted(names, key=lambda name: (name is not None, name)))
-                spans.append(_spans(text, mine) if len(mine) else [])
+                mine = begins[k] + np.flatnonzero(hit[begins[k] : begins[k + 1]]) if names else []
+                spans.append(_spans(texts[k], int(offsets[k]), words, mine) if names else [])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.nulls(n, pa.string()) if last else batch.column(1),
-                    pa.array(counts),
-                    pa.array(hits, pa.binary()),
+                    pa.array(words.counts, pa.int64()),
+                    pa.array(n_hit, pa.int64()),
                     pa.array(items, pa.list_(pa.string())),
-                    pa.array(
-                        [[{"start": s, "end": e} for s, e in row] for row in spans],
-                        pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])),
-                    ),
+                    pa.array(spans, spans_kind),
                 ],
-                ["doc_id", "text", "n_words", "hits", "item_ids", "spans"],
+                ["doc_id", "n_words", "n_hit", "item_ids", "spans"],
             )
 
-    return run
+    slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return map_batches(slim, run, SCAN_SCHEMA, SCAN_BYTES)
 
 
 def clean(
@@ -191,22 +180,13 @@ def clean(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
     """The rows, with all their columns, in which no benchmark window occurs."""
-    spark = df.sparkSession
-
-    def keeping(sent, key: str):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            symbols, automaton = _automaton(key, sent.value, window)
-            for batch in batches:
-                texts = row_bytes(batch.column(text_col))
-                kept = [not _scan(words_of(text), symbols, automaton)[1] for text in texts]
-                yield batch.filter(pa.array(kept, pa.bool_()))
-
-        return run
-
-    for items, _ in _blocks(benchmark, item_col, item_text_col, window, block_windows):
-        sent = spark.sparkContext.broadcast(items)
-        df = map_batches(df, keeping(sent, uuid4().hex), df.schema)
-    return df
+    name = _sent(benchmark, item_col, item_text_col, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _hits(_opened(name), list(row_bytes(batch.column(text_col))))[3]
+            yield batch.filter(pa.array([not names for names in found], pa.bool_()))
+
+    return map_batches(df, run, df.schema, SCAN_BYTES)

@@ -10,25 +10,27 @@ can hold. It is worked out from sampled suffixes instead:
 2. Keys. A string has half of what is beside its anchor before or behind it; that half and
    the anchor are its key. A key that occurs once cannot repeat. Spark sorts the keys, and
    a walk over the sorted rows leaves those of longer runs.
-3. Induction. The suffixes behind equal keys are sorted first (by Spark's external sorter,
-   whose sorted runs lie on disk and are merged), with the common prefixes of neighbours. The
-   order of the suffixes one byte further left is induced from it: a stable sort by the
-   preceding byte alone, the common prefix of new neighbours being the smallest between them.
-   After ``a`` such steps neighbours that agree in all ``width`` bytes are repeated strings.
-   Suffixes without a partner drop out on the way.
+3. Induction. What surrounds the keys of a partition, a number in place of each key, is a shard
+   of strings. Its suffixes are sorted by external induced sorting (``induced``): recursion over
+   named pieces, suffix tuples and common prefixes carried through queues on disk, so a shard
+   may be far larger than memory. Neighbours in the order that have all of the ``width`` bytes
+   in common are repeated strings.
 
-A task holds the suffixes of some keys at a time. A key of more than ``block`` suffixes is
-not held: its suffixes are dealt out again, and each pair of blocks is sorted in a task of
-its own. Equal contexts of one batch are one suffix, so copies and periodic texts stay small.
+A key of more than ``block`` suffixes is not sorted as it is: it is extended by half of the bytes
+still missing, before or behind it, and its suffixes are dealt out again, until the keys are short
+or are whole strings. The work stays in proportion to the suffixes. Equal contexts of one batch
+are one suffix, so copies and periodic texts stay small.
 
 A null text counts as empty; texts shorter than ``width`` lose nothing. Equal rows, even
-with one id, repeat each other. Rows without id are told apart by their text.
+with one id, repeat each other. Rows are known by 92 bits of hashes of their id and text.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +38,15 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shopledger.llm.common import map_batches, row_bytes, stored
+from shopledger.llm.common import map_batches, row_bytes, stored, text_bytes
+from shopledger.llm.induced import Shard, repeated_places
 
 WIDTH = 200
 GRAM = 32
-BLOCK = 50_000
-# Suffixes that are sorted at once if their keys are small.
-HELD = 50_000
+BLOCK = 4_000
+# Rows that are looked at together, and rows of a queue that are held in memory.
+HELD = 20_000
+QUEUE_ROWS = 2_000_000
 # Bytes of texts within which equal keys and contexts are put together.
 COMBINED_BYTES = 16 << 20
 MASK = (1 << 64) - 1
@@ -127,14 +131,14 @@ def key_length(width: int) -> int:
     return (width - gram) // 2 + gram
 
 
-def _tie(text: Column) -> Column:
-    return F.xxhash64(text).bitwiseAND((1 << TIE_BITS) - 1)
-
-
 def _tied(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows with two hashes by which they are known: of id and text, and of the text."""
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    doc_id = F.col(id_col).cast("long")
+    tie = F.xxhash64(F.lit(1), text).bitwiseAND((1 << TIE_BITS) - 1)
+    uid = F.xxhash64(doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), text)
     return df.select(
-        F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), _tie(text).alias("tie")
+        uid.alias("uid"), text.alias("text"), tie.alias("tie"), doc_id.alias("doc_id")
     )
 
 
@@ -143,7 +147,7 @@ def _signed(values) -> pa.Array:
 
 
 def _key_rows(texts: DataFrame, width: int) -> DataFrame:
-    """``key``, ``doc_id``, ``at`` and ``span`` of every anchor half.
+    """``key``, ``uid``, ``at`` and ``span`` of every anchor half.
 
     A key that occurs again within a batch repeats for certain: its rows are marked and
     dealt out evenly, and one of them stays for the other batches.
@@ -179,11 +183,11 @@ def _key_rows(texts: DataFrame, width: int) -> DataFrame:
         spans = pa.array(np.array(spans, np.int64)[every])
         return pa.RecordBatch.from_arrays(
             [_signed(to), batch.column(0).take(rows), pa.array(at), spans],
-            ["key", "doc_id", "at", "span"],
+            ["key", "uid", "at", "span"],
         )
 
-    schema = "key long, doc_id long, at long, span long"
-    return map_batches(texts, run, schema, COMBINED_BYTES)
+    schema = "key long, uid long, at long, span long"
+    return map_batches(texts.select("uid", "text", "tie"), run, schema, COMBINED_BYTES)
 
 
 def _repeating(rows: DataFrame) -> DataFrame:
@@ -221,7 +225,7 @@ def _repeating(rows: DataFrame) -> DataFrame:
 
 CONTEXT_SCHEMA = (
     "high long, low long, before binary, behind binary, least int, most int, "
-    "doc_id long, tie long, start long, done boolean, stop long"
+    "uid long, tie long, start long, done boolean, stop long"
 )
 NAMES = [x.split()[0] for x in CONTEXT_SCHEMA.split(", ")]
 KINDS = [
@@ -290,118 +294,109 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(start, stop) for start, stop in out]
 
 
-class _Neighbours:
-    """Smallest common prefix between any two places of a sorted order."""
-
-    def __init__(self, common: np.ndarray, longest: int):
-        self.levels = [common]
-        while 1 << len(self.levels) <= longest:
-            last, step = self.levels[-1], 1 << (len(self.levels) - 1)
-            self.levels.append(np.minimum(last[:-step], last[step:]))
-
-    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """For pairs of places, left before right."""
-        level = np.frexp((right - left).astype(np.float64))[1] - 1
-        out = np.empty(len(left), np.uint16)
-        for k in np.unique(level).tolist():
-            pick = level == k
-            row = self.levels[k]
-            out[pick] = np.minimum(row[left[pick] + 1], row[right[pick] + 1 - (1 << k)])
-        return out
-
-
-def repeated_strings(
-    group: np.ndarray,
-    before: list[bytes],
-    behind: list[bytes],
-    least: np.ndarray,
-    most: np.ndarray,
-    reach: int,
-) -> np.ndarray:
-    """For suffixes sorted by group and ``behind``: which of their strings are repeated.
-
-    Result[i, a]: the string that starts ``a`` bytes before the key of suffix i. It is ``reach``
-    bytes longer than its key, ``a`` of them before and the others behind it.
-    """
-    n = len(group)
-    result = np.zeros((n, reach + 1), bool)
-    if n < 2:
-        return result
-    tail = np.zeros((n, reach), np.uint8)
-    head = np.zeros((n, reach), np.uint8)  # head[:, a]: the byte a + 1 before the key
-    for row, (left, right) in enumerate(zip(before, behind)):
-        tail[row, : len(right)] = np.frombuffer(right, np.uint8)
-        head[row, : len(left)] = np.frombuffer(left, np.uint8)[::-1]
-    same = tail[1:] == tail[:-1]
-    common = np.zeros(n, np.uint16)
-    common[1:] = np.where(same.all(1), reach, same.argmin(1) if reach else 0)
-    sizes = np.diff(np.flatnonzero(np.diff(group, prepend=-1, append=-1)))
-    between = _Neighbours(common, int(sizes.max()))
-    # Suffixes that still have a partner: their places, and the class of equal bytes so far.
-    place, kind = np.arange(n), group.astype(np.int64)
-    for a in range(reach + 1):
-        kept = _with_partner(kind)
-        place, kind = place[kept], kind[kept]
-        if not len(place):
-            break
-        open_now = (least[place] <= a) & (most[place] >= a)
-        here, classes = place[open_now], kind[open_now]
-        pair = np.flatnonzero(classes[1:] == classes[:-1])
-        if len(pair):
-            equal = between(here[pair], here[pair + 1]) >= reach - a
-            result[here[pair[equal]], a] = True
-            result[here[pair[equal] + 1], a] = True
-        if a == reach:
-            break
-        further = most[place] > a
-        place, kind = place[further], kind[further]
-        # Induction: within a class, order by the preceding byte keeps the order behind it.
-        key = kind * 256 + head[place, a]
-        order = np.argsort(key, kind="stable")
-        place, key = place[order], key[order]
-        kind = np.cumsum(np.diff(key, prepend=key[:1]) != 0) if len(key) else key
-    return result
-
-
-def _with_partner(kind: np.ndarray) -> np.ndarray:
-    if not len(kind):
-        return np.zeros(0, bool)
-    same = kind[1:] == kind[:-1]
-    return np.concatenate([[False], same]) | np.concatenate([same, [False]])
-
-
-def _sorter(width: int, block: int):
+ROW = np.dtype(
+    [("uid", "<i8"), ("tie", "<i8"), ("start", "<i8"), ("most", "<i8"), ("done", "?"), ("begin", "<i8")]
+)
+# Numbers of a shard: an end, bytes, and digits of a key's number.
+BYTE, DIGIT, DIGITS = 1, 257, 4
+
+
+class Contexts:
+    """Contexts of whole keys as a shard on disk: before, the key's number, behind, an end."""
+
+    def __init__(self, folder: str, width: int, reach: int):
+        self.shard, self.width, self.reach, self.n_keys = Shard(folder, DIGIT + 256), width, reach, 0
+        self.path = f"{folder}/rows"
+        self.rows = open(self.path, "wb")
+
+    def add(self, batch: pa.RecordBatch, group: np.ndarray) -> None:
+        """``group`` numbers the keys from 0."""
+        before, behind = (text_bytes(batch.column(x)) for x in ("before", "behind"))
+        n_before, n_behind = np.diff(before[1]), np.diff(behind[1])
+        sizes = n_before + DIGITS + n_behind + 1
+        begins = np.cumsum(sizes) - sizes
+        out = np.zeros(int(sizes.sum()), np.uint16)
+        keys = group + self.n_keys
+        for (data, offsets), n, at in (
+            (before, n_before, begins), (behind, n_behind, begins + n_before + DIGITS)
+        ):
+            out[np.repeat(at - offsets[:-1], n) + np.arange(len(data))] = data.astype(np.uint16) + BYTE
+        for k in range(DIGITS):
+            out[begins + n_before + k] = DIGIT + (keys >> 8 * (DIGITS - 1 - k) & 255)
+        rows = np.empty(len(sizes), ROW)
+        for name in ("uid", "tie", "start", "most", "done"):
+            rows[name] = batch.column(name).to_numpy(zero_copy_only=False)
+        rows["begin"] = begins + self.shard.n
+        self.rows.write(rows.tobytes())
+        self.shard.add(out)
+        self.n_keys += int(group.max()) + 1
+
+    def spans(self, held: int) -> Iterator[pa.RecordBatch]:
+        """Spans that repeated strings cover, of contexts that are not done."""
+        self.rows.close()
+        if not self.shard.n:
+            return
+        hits = repeated_places(self.shard.closed(), self.reach + DIGITS, held)
+        rows = np.memmap(self.path, ROW, "r")
+        edges = np.flatnonzero(np.diff(hits, prepend=False, append=False))
+        # Runs of neighbouring strings of a suffix are one span.
+        for at in range(0, len(edges), 2 * HELD):
+            first, last = edges[at : at + 2 * HELD : 2], edges[at + 1 : at + 2 * HELD : 2] - 1
+            mine = rows[np.searchsorted(rows["begin"], first, side="right") - 1]
+            start = mine["start"] - mine["most"] - mine["begin"]
+            new = ~mine["done"]
+            columns = {
+                "uid": mine["uid"], "tie": mine["tie"], "start": start + first,
+                "stop": start + last + self.width,
+            }
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(columns[x][new]) if x in columns else pa.nulls(int(new.sum()), kind)
+                    for x, kind in zip(NAMES, KINDS)
+                ],
+                NAMES,
+            )
+
+
+def _sorter(width: int, reach: int, block: int, queue_rows: int):
     """Spans out of contexts sorted by key; contexts of too many suffixes leave as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Private to the task, as the sorter's own files are.
+        with tempfile.TemporaryDirectory(prefix="suffixes-") as folder:
+            contexts = Contexts(folder, width, reach)
+            yield from read(batches, contexts)
+            yield from contexts.spans(queue_rows)
+
+    def read(batches: Iterator[pa.RecordBatch], contexts: Contexts) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         long_key: tuple | None = None
         for batch in batches:
             known = batch.column(NAMES.index("stop")).is_valid().to_numpy(zero_copy_only=False)
             if known.any():
-                yield batch.filter(pa.array(known)).select(NAMES)
+                yield batch.filter(pa.array(known))
                 batch = batch.filter(pa.array(~known))
             held.append(batch)
             if sum(x.num_rows for x in held) < HELD:
                 continue
-            rows = joined(held)
+            rows = pa.concat_batches(held)
             keys = keys_of(rows)
             last = int(np.flatnonzero(changes(keys))[-1])  # its key may go on in the next batch
             begin = long_until(keys, long_key)
-            yield rows.slice(0, begin).select(NAMES)
+            yield rows.slice(0, begin)
             if last > begin:
-                yield from work(rows.slice(begin, last - begin))
+                yield from add(rows.slice(begin, last - begin), contexts)
             rest = rows.slice(max(last, begin))
             if begin == len(keys) or rest.num_rows > block:
                 long_key = tuple(keys[-1])
-                yield rest.select(NAMES)
+                yield rest
                 rest = rest.slice(0, 0)
             held = [rest]
         if held:
-            rows = joined(held)
+            rows = pa.concat_batches(held)
             begin = long_until(keys_of(rows), long_key)
-            yield rows.slice(0, begin).select(NAMES)
-            yield from work(rows.slice(begin))
+            yield rows.slice(0, begin)
+            yield from add(rows.slice(begin), contexts)
 
     def changes(keys: np.ndarray) -> np.ndarray:
         return np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])
@@ -413,56 +408,56 @@ def _sorter(width: int, block: int):
         following = np.flatnonzero(changes(keys))
         return int(following[1]) if len(following) > 1 else len(keys)
 
-    def joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        return pa.concat_batches(held)
-
     def keys_of(batch: pa.RecordBatch) -> np.ndarray:
-        """The key columns: all but those of the context itself."""
-        names = [x for x in batch.schema.names if x in ("high", "low") or x not in NAMES]
-        return np.stack([batch.column(x).to_numpy(zero_copy_only=False) for x in names], 1)
+        return np.stack([batch.column(x).to_numpy(zero_copy_only=False) for x in ("high", "low")], 1)
 
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def add(batch: pa.RecordBatch, contexts: Contexts) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             return
         group = np.cumsum(changes(keys_of(batch))) - 1
-        sizes = np.bincount(group)
+        sizes = np.bincount(group)[group]
         if sizes.max() > block:
-            large = sizes[group] > block
-            yield batch.filter(pa.array(large)).select(NAMES)
-            batch, group = batch.filter(pa.array(~large)), group[~large]
-        paired = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
-        batch, group = batch.filter(pa.array(paired)), group[paired]
-        if not len(group):
-            return
-        column = {x: batch.column(x) for x in NAMES}
-        least, most = (column[x].to_numpy(zero_copy_only=False) for x in ("least", "most"))
-        repeated = repeated_strings(
-            group, column["before"].to_pylist(), column["behind"].to_pylist(), least, most,
-            max_before(width),
-        )
-        # Runs of neighbouring strings of a suffix are one span.
-        edges = np.diff(np.pad(repeated, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        row, first = np.nonzero(edges == 1)
-        _, behind_last = np.nonzero(edges == -1)
-        undecided = ~column["done"].to_numpy(zero_copy_only=False)[row]
-        row, first, last = row[undecided], first[undecided], behind_last[undecided] - 1
-        start = column["start"].to_numpy(zero_copy_only=False)[row]
-        yield spans(column, row, start - last, start - first + width)
-
-    def spans(column, row, start, stop) -> pa.RecordBatch:
-        at, n = pa.array(row), len(row)
-        empty = {x: pa.nulls(n, kind) for x, kind in zip(NAMES, KINDS)}
-        empty |= {
-            "doc_id": column["doc_id"].take(at),
-            "tie": column["tie"].take(at),
-            "start": pa.array(start, pa.int64()),
-            "stop": pa.array(stop, pa.int64()),
-        }
-        return pa.RecordBatch.from_arrays([empty[x] for x in NAMES], NAMES)
+            yield batch.filter(pa.array(sizes > block))
+        paired = (sizes > 1) & (sizes <= block)
+        if paired.any():
+            group = np.unique(group[paired], return_inverse=True)[1]
+            contexts.add(batch.filter(pa.array(paired)), group)
 
     return run
 
 
+def _extended(contexts: DataFrame, reach: int) -> DataFrame:
+    """Contexts with longer keys: by half of the ``reach`` bytes still missing, before or behind."""
+    more = (reach + 1) // 2
+    left = reach - more
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                key = row["high"].to_bytes(8, "big", signed=True) + row["low"].to_bytes(8, "big", signed=True)
+                before, behind, least, most = (row[x] for x in ("before", "behind", "least", "most"))
+                place = (row["uid"], row["tie"])
+                if least <= left:  # strings with as much behind the key
+                    high = min(most, left)
+                    content = (before[most - high :], behind[more : reach - least], least, high)
+                    out.append((*_halves_of(key, 0, behind[:more]), *content, *place, row["start"], row["done"], None))
+                if most > left:  # strings with as much before it
+                    low = max(least, left + 1) - more
+                    content = (before[: most - more], behind[: left - low], low, most - more)
+                    added = before[most - more :]
+                    out.append((*_halves_of(key, 1, added), *content, *place, row["start"] - more, row["done"], None))
+            columns = list(zip(*out)) if out else [()] * len(NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, KINDS)], NAMES)
+
+    return map_batches(contexts, run, CONTEXT_SCHEMA)
+
+
+def _halves_of(key: bytes, side: int, added: bytes) -> tuple[int, int]:
+    digest = xxhash.xxh3_128_digest(key + added, side)
+    return tuple(int.from_bytes(x, "big", signed=True) for x in (digest[:8], digest[8:]))
+
+
 def max_before(width: int) -> int:
     """The most bytes of a string before its key."""
     return width - key_length(width)
@@ -474,8 +469,9 @@ def repeated_spans(
     block: int = BLOCK,
     id_col: str = "doc_id",
     text_col: str = "text",
+    queue_rows: int = QUEUE_ROWS,
 ) -> DataFrame:
-    """``doc_id``, ``tie``, ``start`` and ``stop`` of spans that repeated strings cover.
+    """``uid``, ``tie``, ``start`` and ``stop`` of spans that repeated strings cover.
 
     In bytes of the text. Spans of one document may overlap; all of them together are what
     is covered.
@@ -484,65 +480,42 @@ def repeated_spans(
     alive = (
         _repeating(_key_rows(texts, width))
         .select(
-            "doc_id",
+            "uid",
             F.shiftright("at", TIE_AT).alias("tie"),
             F.struct(
                 F.col("at").bitwiseAND((1 << TIE_AT) - 2).alias("at"), F.col("span")
             ).alias("place"),
         )
-        .groupBy("doc_id", "tie")
+        .groupBy("uid", "tie")
         .agg(F.collect_set("place").alias("places"))
     )
-    documents = _joined(texts, alive, "inner").select("p.doc_id", "p.tie", "packed", "places")
-    sorting = ["high", "low"]
-    sorted_rows = stored(
-        map_batches(
-            _contexts(documents, width).repartition(*sorting).sortWithinPartitions(*sorting, "behind"),
-            _sorter(width, block),
-            CONTEXT_SCHEMA,
-        ),
-        "suffixes",
-    )
-    # Keys of too many suffixes: each suffix goes to a block, each pair of blocks to a task.
-    long = sorted_rows.where("stop is null")
-    blocks = long.groupBy("high", "low").agg(
-        F.ceil(F.count("*") * 2 / F.lit(block)).cast("int").alias("blocks")
-    )
-    own = F.pmod(F.xxhash64("doc_id", "tie", "start"), F.col("blocks")).cast("int")
-    paired = (
-        long.join(blocks, ["high", "low"])
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("one", F.least("own", "other"))
-        .withColumn("two", F.greatest("own", "other"))
-        .select(*NAMES, "one", "two")
-    )
-    pair_keys = [*sorting, "one", "two"]
-    rest = map_batches(
-        paired.repartition(*pair_keys).sortWithinPartitions(*pair_keys, "behind"),
-        _sorter(width, 1 << 62),
-        CONTEXT_SCHEMA,
-    )
-    columns = ["doc_id", "tie", "start", "stop"]
-    return sorted_rows.where("stop is not null").select(*columns).unionByName(rest.select(*columns))
+    documents = _joined(texts, alive, "inner").select("uid", "tie", "packed", "places")
+    contexts, reach, found = _contexts(documents, width), max_before(width), []
+    while True:
+        limit = block if reach else 1 << 62
+        ordered = contexts.repartition("high", "low").sortWithinPartitions("high", "low")
+        spans = stored(map_batches(ordered, _sorter(width, reach, limit, queue_rows), CONTEXT_SCHEMA), "spans")
+        found.append(spans.where("stop is not null").select("uid", "tie", "start", "stop"))
+        long = spans.where("stop is null")
+        if not reach or long.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        contexts, reach = _extended(long, reach), reach - (reach + 1) // 2
 
 
 def _joined(texts: DataFrame, other: DataFrame, how: str) -> DataFrame:
-    """Texts, compressed as they move whole, with another table by id and tie."""
+    """Texts, compressed as they move whole, with another table by the rows' hashes."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             packed = [work(text) for text in row_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(packed, pa.binary())],
-                ["doc_id", "tie", "packed"],
+                [*[batch.column(k) for k in (0, 2, 3)], pa.array(packed, pa.binary())],
+                ["uid", "tie", "doc_id", "packed"],
             )
 
-    packed = map_batches(texts, pack, "doc_id long, tie long, packed binary").alias("p")
-    other = other.alias("o")
-    same = F.col("p.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("p.tie") == F.col("o.tie"))
-    return packed.join(other, same, how)
+    packed = map_batches(texts, pack, "uid long, tie long, doc_id long, packed binary")
+    return packed.join(other, ["uid", "tie"], how)
 
 
 def deduplicated(
@@ -551,11 +524,12 @@ def deduplicated(
     block: int = BLOCK,
     id_col: str = "doc_id",
     text_col: str = "text",
+    queue_rows: int = QUEUE_ROWS,
 ) -> DataFrame:
     """``doc_id``, ``kept`` (the bytes left), ``n_bytes`` and ``removed`` (maximal spans) of every row."""
-    spans = repeated_spans(df, width, block, id_col, text_col)
+    spans = repeated_spans(df, width, block, id_col, text_col, queue_rows)
     gathered = stored(
-        spans.groupBy("doc_id", "tie").agg(
+        spans.groupBy("uid", "tie").agg(
             F.collect_set(F.struct("start", "stop")).alias("spans")
         ),
         "spans",
@@ -584,7 +558,7 @@ def deduplicated(
             )
 
     rows = _joined(_tied(df, id_col, text_col), gathered, "left").select(
-        "p.doc_id", "packed", "spans"
+        "doc_id", "packed", "spans"
     )
     schema = "doc_id long, kept binary, n_bytes long, removed array<struct<start:long,stop:long>>"
     return map_batches(rows, run, schema)

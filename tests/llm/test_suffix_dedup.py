@@ -62,17 +62,52 @@ def found(spark, texts, **options):
 
 @pytest.mark.parametrize(
     "width, letters, block",
-    [(8, "abcdefgh", 50_000), (13, "abc", 50_000), (40, "abé\n", 50_000), (12, "ab", 4)],
+    [(8, "abcdefgh", 4000), (13, "abc", 4000), (40, "abé\n", 4000), (12, "ab", 4), (21, "abc", 2)],
 )
 def test_same_as_all_strings(spark, width, letters, block, monkeypatch):
     texts = corpus(width, letters, width)
-    if block < 50_000:
+    options = {}
+    if block < 4000:
         monkeypatch.setattr(suffix_dedup, "HELD", 8)
-    assert found(spark, texts, width=width, block=block) == expected(
+        options = {"queue_rows": 50}
+    assert found(spark, texts, width=width, block=block, **options) == expected(
         [t.encode() for t in texts], width
     )
 
 
+def test_many_rows_without_id(spark):
+    """Rows are told apart by more than their text's short hash."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(30)) for _ in range(3000)]
+    texts += [f"{rng.random()} a passage that is in both texts, and repeated {rng.random()}" for _ in range(2)]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(3)
+    rows = suffix_dedup.deduplicated(df, width=24).collect()
+    want = expected([t.encode() for t in texts], 24)
+    assert sorted((bytes(r.kept), r.n_bytes, [tuple(x) for x in r.removed]) for r in rows) == sorted(want)
+
+
+def test_longer_keys_have_every_string_once():
+    for reach in (1, 2, 7, 84):
+        for least, most in [(0, reach), (reach // 2, reach), (0, 0), (reach, reach), (1, reach - 1)]:
+            if not 0 <= least <= most <= reach:
+                continue
+            more = (reach + 1) // 2
+            left, seen = reach - more, []
+            if least <= left:
+                seen += [(0, a) for a in range(least, min(most, left) + 1)]
+            if most > left:
+                seen += [(more, a) for a in range(max(least, left + 1) - more, most - more + 1)]
+            assert sorted(a + extra for extra, a in seen) == list(range(least, most + 1))
+
+
+def test_a_hot_key_is_split(spark):
+    """One passage shorter than the width in very many different surroundings."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    texts = [word(30) + "THE SAME PASSAGE OF THIRTY-TWO CH" + word(30) for _ in range(400)]
+    assert found(spark, texts, width=40, block=20) == expected([t.encode() for t in texts], 40)
+
+
 def test_strings_of_anchors_are_all_strings_once():
     rng = random.Random(2)
     for width in (8, 13, 40, 200):

@@ -50,8 +50,6 @@ FIRST_CHUNK = 64
 WEIGHT_SCALE, IMPACT_SCALE, TF_SCALE, LENGTH_SCALE = 1000, 1_000_000_000, 1000, 8
 LEAST_LENGTH, LENGTH_SHARE = 10, 90
 
-Item = tuple[int, list[bytes]]  # number of the item, its distinct terms
-
 
 def item_blocks(items: DataFrame, limit: int) -> Iterator[list]:
     """The items as lists of rows with about ``limit`` bytes of text."""
@@ -189,31 +187,34 @@ def _by_mask(bounds, group, impacts, weights, ids, best: Best) -> int:
 
 
 def _found(
-    held: DataFrame, items: list[tuple[int, list[int]]], weights: list[int], counts, top: int
+    held: DataFrame, items: list[tuple[int | None, list[int]]], weights: list[int], counts, top: int
 ) -> DataFrame:
-    """``number``, ``doc_id`` and ``score``: the best of every task for every item of a block."""
+    """``number``, ``item_id``, ``doc_id`` and ``score``: each task's best for every item of a block.
+
+    ``items`` are ids and terms; the number of an item is its place there.
+    """
     sent = held.sparkSession.sparkContext.broadcast((items, weights, *counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, weight, n_docs, n_words = sent.value
-        asked = [(number, np.array(terms, np.int64)) for number, terms in asked]
+        asked = [(item_id, np.array(terms, np.int64), Best(top)) for item_id, terms in asked]
         weight = np.array(weight, np.int64)
-        best = {number: Best(top) for number, _ in asked}
         for batch in batches:
             batch_postings = Postings(batch, len(weight), n_docs, n_words)
-            for number, terms in asked:
-                search(batch_postings, terms, weight, best[number])
+            for _, terms, best in asked:
+                search(batch_postings, terms, weight, best)
         rows = [
-            (number, None if null else doc, -score)
-            for number, mine in best.items()
-            for score, null, doc in mine.rows
+            (number, item_id, None if null else doc, -score)
+            for number, (item_id, _, best) in enumerate(asked)
+            for score, null, doc in best.rows
         ]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 3)],
-            ["number", "doc_id", "score"],
+            [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 4)],
+            ["number", "item_id", "doc_id", "score"],
         )
 
-    return map_batches(held, run, "number long, doc_id long, score long", POSTING_BYTES)
+    schema = "number long, item_id long, doc_id long, score long"
+    return map_batches(held, run, schema, POSTING_BYTES)
 
 
 def ranked(
@@ -227,7 +228,6 @@ def ranked(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``item_id``, ``rank`` (from 1), ``doc_id`` and ``score`` of each item's best documents."""
-    spark = documents.sparkSession
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     asked = items.select(
         F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")
@@ -243,17 +243,12 @@ def ranked(
             math.floor(WEIGHT_SCALE * math.log((2 * n_docs + 2) / (2 * document_counts.get(k, 0) + 1)))
             for k in range(len(terms))
         ]
-        numbered = [(k, [terms[word] for word in mine]) for k, mine in enumerate(words)]
-        found = _found(held, numbered, weights, (n_docs, n_words or 0), top)
+        with_ids = [(row.item_id, [terms[word] for word in mine]) for row, mine in zip(rows, words)]
+        found = _found(held, with_ids, weights, (n_docs, n_words or 0), top)
         # A window whose limit Spark applies in every task before it moves rows.
         place = F.row_number().over(
             Window.partitionBy("number").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
         )
         best = found.withColumn("rank", place).where(F.col("rank") <= top)
-        ids = spark.createDataFrame(
-            [(k, row.item_id) for k, row in enumerate(rows)], "number long, item_id long"
-        )
-        results.append(
-            best.join(F.broadcast(ids), "number").select("item_id", "rank", "doc_id", "score")
-        )
+        results.append(best.select("item_id", "rank", "doc_id", "score"))
     return reduce(DataFrame.unionByName, results)

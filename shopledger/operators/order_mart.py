@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from shopledger.config import AnalysisConfig
@@ -182,17 +184,28 @@ def with_customers(orders: DataFrame, customers: DataFrame, cfg: AnalysisConfig)
     )
 
 
-def with_order_facts(
-    orders: DataFrame, items: DataFrame, payments: DataFrame, returns: DataFrame
-) -> DataFrame:
-    """Attach the three order-grain aggregates; absent measures stay NULL.
+def facts_of_orders(*facts: DataFrame) -> DataFrame:
+    """Order-grain aggregates as one row for each order that has any; absent measures are NULL.
+
+    Each arrives partitioned by order with one row per order. A union of equally partitioned
+    tables keeps the partitioning, so one grouping puts the rows of an order together where they
+    lie. A full join would lose it, and move what it joined once more for the next one.
+    """
+    if len(facts) == 1:
+        return facts[0]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), facts)
+    measures = [name for name in stacked.columns if name != "order_id"]
+    # One row at most has a measure, so its maximum is that row's.
+    return stacked.groupBy("order_id").agg(*[F.max(name).alias(name) for name in measures])
+
+
+def with_order_facts(orders: DataFrame, items: DataFrame, *others: DataFrame) -> DataFrame:
+    """Attach order-grain aggregates, of items and of any others; absent measures stay NULL.
 
-    All three arrive partitioned by order and meet there, without moving, as one row for
-    each order that has any. Orders and facts then meet between two fresh shuffles, which AQE
-    splits where one order id, or none, is held by many rows. The facts move once more for it:
-    one row per order.
+    Orders and facts meet between two fresh shuffles, which AQE splits where one order id, or
+    none, is held by many rows. The facts move once more for it: one row per order.
     """
-    facts = items.join(payments, "order_id", "full").join(returns, "order_id", "full")
+    facts = facts_of_orders(items, *others)
     return left_join_spread(orders, facts, "order_id", "order_ts", "customer_id").withColumn(
         "has_order_items", flag(F.col("order_lines_count").isNotNull())
     )

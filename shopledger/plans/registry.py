@@ -116,12 +116,8 @@ def _window(t: ShopTables) -> DataFrame:
 
 
 def _has_items(t: ShopTables) -> DataFrame:
-    facts = (
-        order_facts.items_by_order(t.order_items),
-        order_facts.payments_by_order(t.payments, CFG),
-        order_facts.returns_by_order(t.returns, t.order_items, CFG),
-    )
-    return order_mart.with_order_facts(_window(t), *facts).select("order_id", "has_order_items")
+    items = order_facts.items_by_order(t.order_items)
+    return order_mart.with_order_facts(_window(t), items).select("order_id", "has_order_items")
 
 
 def _zero_filled(base: DataFrame) -> DataFrame:

@@ -66,15 +66,21 @@ def test_orphans_are_counted_before_the_anti_join(large, stored):
 def test_mart_moves_orders_twice_and_facts_once(large, stored):
     """One exchange to meet customers, one to meet the facts, which meet each other first.
 
-    Facts: payments, returns, and items by order and product, then by order; items and payments
-    meet returns, and all meet the orders, in fresh shuffles, so that AQE can split a hot order.
-    The others: customers, items by id, returned ids, and both sides of the join of returns with
-    items.
+    Facts: payments, returns, and items by order and product, each once by order; their rows
+    meet in a union that keeps this partitioning, and move once more to meet the orders, in fresh
+    shuffles, so that AQE can split a hot order. The others: customers, items by id, returned ids,
+    and both sides of the join of returns with items.
     """
     tables = read_tables(large, tables_under(stored))
     plan = plan_of(order_level_mart(tables, CFG))
-    assert len(re.findall(r"Exchange hashpartitioning\(order_id#\d+L, 4\)", plan)) == 4
-    assert plan.count("Exchange") == 4 + 2 + 2 + 1 + 2 + 2
+    assert len(re.findall(r"Exchange hashpartitioning\(order_id#\d+L, 4\)", plan)) == 3
+    assert plan.count("Exchange") == 3 + 2 + 2 + 1 + 2 + 2
+    assert "FullOuter" not in plan
+
+
+def test_order_flag_reads_items_alone(large):
+    plan = plan_of(entry_points.queries()["has_items_flag"](large, SF_DIR))
+    assert len(re.findall(r"Exchange hashpartitioning\(order_id#\d+L, 4\)", plan)) == 1
 
 
 def test_window_and_columns_reach_the_scan(large, stored):

@@ -49,9 +49,10 @@ class Shard:
 
     def closed(self, last: int = 1) -> Shard:
         """``last`` is the last place's type: 1 for the end of a string, else 0."""
+        self.file.write(b"\0" * 8)  # so that eight bytes can be read at each place
         self.file.close()
-        kind = self.kind
-        self.marked = np.memmap(self.path, kind, "r+") if self.n else np.empty(0, kind)
+        self.pages = np.memmap(self.path, np.uint8, "r+")
+        self.marked = self.pages[: -8].view(self.kind).view(np.ndarray)
         mark_types(self.marked, last)
         return self
 
@@ -321,7 +322,7 @@ class Pass:
             np.minimum(self.least, common.min(), out=self.least)
             return
         before = before[source]
-        order = np.argsort(before, kind="stable")
+        order = np.argsort(before.astype(self.shard.kind), kind="stable")
         before, source = before[order], source[order]
         heads = np.flatnonzero(np.diff(before, prepend=-1))
         ranges = Ranges(common)
@@ -354,18 +355,23 @@ def _run(shard: Shard, at: int, longest: int) -> int:
 
 def common_prefixes(shard: Shard, places: np.ndarray, longest: int) -> np.ndarray:
     """What each of the places has in common with the one before; a 0 is not common."""
-    out = np.zeros(len(places), np.uint16)
-    going, done = np.arange(1, len(places)), 0
-    while len(going) and done < longest:
-        at, last = places[going] + done, places[going - 1] + done
-        inside = np.maximum(at, last) < shard.n
-        going, at, last = going[inside], at[inside], last[inside]
-        numbers = shard.numbers(at)
-        same = (numbers == shard.numbers(last)) & (numbers != 0)
-        going = going[same]
-        out[going] += 1
-        done += 1
-    return out
+    # Four numbers at a time, without their types.
+    fours = np.ndarray((shard.n,), "<u8", shard.pages, strides=(2,))
+    types = np.uint64(0x0001000100010001)
+    ends = np.flatnonzero(shard.marked >> 1 == 0)
+    left = np.minimum(ends[np.searchsorted(ends, places)] - places, longest)
+    most = np.minimum(left[1:], left[:-1])
+    out, going, done = np.zeros(len(places), np.int64), np.arange(1, len(places)), 0
+    while len(going):
+        other = (fours[places[going] + done] ^ fours[places[going - 1] + done]) & ~types
+        # Equal numbers before the first that differs: its lowest bit tells.
+        lowest = other & (~other + np.uint64(1))
+        equal = np.where(other == 0, 4, np.log2(np.maximum(lowest, np.uint64(1)).astype(np.float64)) // 16)
+        out[going] += equal.astype(np.int64)
+        done += 4
+        going = going[(other == 0) & (most[going - 1] > done)]
+    out[1:] = np.minimum(out[1:], most)
+    return out.astype(np.uint16)
 
 
 def ordered(shard: Shard, longest: int, held: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -18,8 +18,8 @@ can hold. It is worked out from sampled suffixes instead:
 
 A key of more than ``block`` suffixes is not sorted as it is: it is extended by half of the bytes
 still missing, before or behind it, and its suffixes are dealt out again, until the keys are short
-or are whole strings. The work stays in proportion to the suffixes. Equal contexts of one batch
-are one suffix, so copies and periodic texts stay small.
+or are whole strings. The work stays in proportion to the suffixes. Equal contexts that come
+together are one suffix, so copies and periodic texts stay small.
 
 A null text counts as empty; texts shorter than ``width`` lose nothing. Equal rows, even
 with one id, repeat each other. Rows are known by 92 bits of hashes of their id and text.
@@ -301,6 +301,13 @@ ROW = np.dtype(
 BYTE, DIGIT, DIGITS = 1, 257, 4
 
 
+def _span_rows(uid: pa.Array, tie: pa.Array, start: pa.Array, stop: pa.Array) -> pa.RecordBatch:
+    columns = {"uid": uid, "tie": tie, "start": start, "stop": stop}
+    return pa.RecordBatch.from_arrays(
+        [columns.get(x, pa.nulls(len(uid), kind)) for x, kind in zip(NAMES, KINDS)], NAMES
+    )
+
+
 class Contexts:
     """Contexts of whole keys as a shard on disk: before, the key's number, behind, an end."""
 
@@ -345,17 +352,8 @@ class Contexts:
             mine = rows[np.searchsorted(rows["begin"], first, side="right") - 1]
             start = mine["start"] - mine["most"] - mine["begin"]
             new = ~mine["done"]
-            columns = {
-                "uid": mine["uid"], "tie": mine["tie"], "start": start + first,
-                "stop": start + last + self.width,
-            }
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(columns[x][new]) if x in columns else pa.nulls(int(new.sum()), kind)
-                    for x, kind in zip(NAMES, KINDS)
-                ],
-                NAMES,
-            )
+            columns = (mine["uid"], mine["tie"], start + first, start + last + self.width)
+            yield _span_rows(*[pa.array(c[new], pa.int64()) for c in columns])
 
 
 def _sorter(width: int, reach: int, block: int, queue_rows: int):
@@ -379,7 +377,8 @@ def _sorter(width: int, reach: int, block: int, queue_rows: int):
             held.append(batch)
             if sum(x.num_rows for x in held) < HELD:
                 continue
-            rows = pa.concat_batches(held)
+            spans, rows = once(pa.concat_batches(held))
+            yield spans
             keys = keys_of(rows)
             last = int(np.flatnonzero(changes(keys))[-1])  # its key may go on in the next batch
             begin = long_until(keys, long_key)
@@ -393,11 +392,32 @@ def _sorter(width: int, reach: int, block: int, queue_rows: int):
                 rest = rest.slice(0, 0)
             held = [rest]
         if held:
-            rows = pa.concat_batches(held)
+            spans, rows = once(pa.concat_batches(held))
+            yield spans
             begin = long_until(keys_of(rows), long_key)
             yield rows.slice(0, begin)
             yield from add(rows.slice(begin), contexts)
 
+    def once(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+        """Equal contexts are repeated strings: their spans, and one of them, which is done."""
+        first: dict[tuple, int] = {}
+        parts = ("high", "low", "before", "behind", "least", "most")
+        contexts = zip(*[batch.column(x).to_pylist() for x in parts])
+        group = np.array([first.setdefault(c, k) for k, c in enumerate(contexts)], np.int64)
+        repeats = np.bincount(group, minlength=len(group))[group] > 1
+        done = batch.column("done").to_numpy(zero_copy_only=False)
+        columns = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in ("start", "most", "least")}
+        new = pa.array(np.flatnonzero(repeats & ~done))
+        start = columns["start"] - columns["most"]
+        stop = columns["start"] - columns["least"] + width
+        spans = _span_rows(
+            batch.column("uid").take(new), batch.column("tie").take(new),
+            pa.array(start, pa.int64()).take(new), pa.array(stop, pa.int64()).take(new),
+        )
+        at = NAMES.index("done")
+        rows = batch.set_column(at, "done", pa.array(done | repeats))
+        return spans, rows.filter(pa.array(group == np.arange(len(group))))
+
     def changes(keys: np.ndarray) -> np.ndarray:
         return np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 from uuid import uuid4
 
 from pyspark.sql import SparkSession
@@ -74,10 +75,15 @@ def scratch_folder(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     folder = f"{root.rstrip('/')}/shopledger-{uuid4().hex}"
-    atexit.register(_remove, spark, folder)
+    remove_at_exit(spark, folder)
     return folder
 
 
+def remove_at_exit(spark: SparkSession, folder: str) -> None:
+    """Have a folder removed when the driver's Python ends."""
+    atexit.register(_remove, spark, folder)
+
+
 def _file_system(spark: SparkSession, path: str):
     location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return location, location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -89,8 +95,23 @@ def _remove(spark: SparkSession, folder: str) -> None:
         files.delete(location, True)
 
 
-def table_state(spark: SparkSession, path: str) -> tuple[int, int]:
-    """When a table's files were last changed, and how many bytes they have."""
+_ENTRY = re.compile(r"path=(.*?); isDirectory=(\w+);(?: length=(\d+);)?.*?modification_time=(\d+);")
+
+
+def table_state(spark: SparkSession, path: str) -> tuple:
+    """Every file of a table with its length and when it was last changed.
+
+    One listing for each folder, as reading the table takes; also a nested file that is
+    replaced by one of equal length gives another state.
+    """
     location, files = _file_system(spark, path)
-    status = files.getFileStatus(location)
-    return status.getModificationTime(), files.getContentSummary(location).getLength()
+    shown = spark.sparkContext._jvm.org.apache.commons.lang3.ArrayUtils.toString
+    listing = shown(files.listStatus(location))
+    found = []
+    for name, is_folder, length, changed in _ENTRY.findall(listing):
+        hidden = name.rsplit("/", 1)[-1].startswith(("_", "."))
+        if is_folder == "true" and not hidden:
+            found += table_state(spark, name)
+        elif not hidden:
+            found.append((name, length, changed))
+    return tuple(sorted(found))

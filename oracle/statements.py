@@ -569,7 +569,16 @@ SCANS = {
     "scan_products": _scan("products"),
     "scan_payments": _scan("payments", "payment_amount_uah"),
     "scan_returns": _scan("returns", "refund_amount_uah"),
+    "scan_monthly_targets": f"""
+        SELECT strftime(order_ts, '%Y-%m') AS month, shipping_region AS region,
+               count(*) AS orders_target,
+               {amount("sum(shipping_fee_uah)", "gross_profit_target_uah")}
+        FROM f_orders GROUP BY 1, 2""",
     "csv_extract": STATEMENTS["monthly_kpis_export"],
+    "csv_kpi_summary": STATEMENTS["kpi_summary_export"],
+    "csv_customer_mix": STATEMENTS["customer_mix_export"],
+    "csv_region_summary": STATEMENTS["region_summary_export"],
+    "csv_category_summary": STATEMENTS["category_summary_export"],
     "order_level_mart_sorted": STATEMENTS["order_level_mart"],
 }
 

@@ -1,7 +1,7 @@
 """Every operator as a named query over one folder of test tables.
 
-Each query reads whole tables. The mart reports read the stored mart, which
-``store_mart`` writes once for each state of the tables; everything else is one lazy plan. Amounts
+Each query reads whole tables. The mart reports read the stored mart, which the named step
+``prepare_reports`` writes once for each state of the tables; everything else is one lazy plan. Amounts
 leave as DOUBLE here, after all exact arithmetic, so that results compare across
 engines; the operators themselves return decimals.
 """
@@ -78,18 +78,18 @@ def store_mart(spark: SparkSession, sf_dir: str, location: str) -> DataFrame:
 _STORED: dict[tuple, str] = {}
 
 
-def _mart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored mart of these tables as they are now; written if there is none yet.
+def prepare_reports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ShopTables]:
+    """The named step before the reports: the stored mart of these tables, and the tables.
 
-    Kept by the application and the state of the files, so changed input is never
-    answered from an old mart.
+    It looks once at the files; the mart is written if there is none for their state. Any report
+    that finds the step not taken takes it, so changed input is never answered from an old mart.
     """
-    key = _state(spark, sf_dir)
-    if key not in _STORED:
+    state = _state(spark, sf_dir)
+    if state not in _STORED:
         location = f"{scratch_folder(spark)}/order_level_mart"
         store_mart(spark, sf_dir, location)
-        _STORED[key] = location
-    return read_mart(spark, _STORED[key])
+        _STORED[state] = location
+    return read_mart(spark, _STORED[state]), _shop_of(spark, sf_dir, state)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,9 +106,7 @@ def _on_base(operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _on_mart(operator: Callable[[DataFrame, ShopTables], DataFrame]) -> Query:
-    return lambda spark, sf_dir: amounts_as_double(
-        operator(_mart(spark, sf_dir), _shop(spark, sf_dir))
-    )
+    return lambda spark, sf_dir: amounts_as_double(operator(*prepare_reports(spark, sf_dir)))
 
 
 def _window(t: ShopTables) -> DataFrame:
@@ -239,20 +237,48 @@ def _scan(name: str) -> Query:
     return query
 
 
-def _csv_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The monthly extract, written as CSV and read back."""
-    report = kpis.monthly_kpis(_mart(spark, sf_dir), CFG)
-    path = f"{scratch_folder(spark)}/monthly_kpis.csv"
-    write_csv(report, path)
+def _scan_monthly_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets through the reader: what each raw region ordered in each month, and its fees."""
+    orders = _shop(spark, sf_dir).orders
+    month = F.date_format("order_ts", "yyyy-MM")
+    planned = orders.groupBy(month.alias("month"), F.col("shipping_region").alias("region")).agg(
+        F.count("*").alias("orders_target"),
+        F.sum("shipping_fee_uah").cast(columns.MONEY).alias("gross_profit_target_uah"),
+    )
+    planned.createOrReplaceTempView("shopledger_monthly_targets")
     return amounts_as_double(
-        spark.read.schema(report.schema).option("header", True).option("enforceSchema", False).csv(path)
+        read_table(spark, "monthly_targets", "shopledger_monthly_targets", "table")
     )
 
 
+def _csv_extract(name: str, report: Callable[[DataFrame, ShopTables], DataFrame]) -> Query:
+    """An extract, written as CSV and read back."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = report(*prepare_reports(spark, sf_dir))
+        path = f"{scratch_folder(spark)}/{name}.csv"
+        write_csv(made, path)
+        text = spark.read.schema(made.schema).option("header", True)
+        return amounts_as_double(text.option("enforceSchema", False).csv(path))
+
+    return query
+
+
+def _category_extract(mart: DataFrame, shop: ShopTables) -> DataFrame:
+    totals = drivers.category_totals(mart, shop.order_items, shop.products, shop.returns, CFG)
+    return drivers.category_summary(totals, CFG)
+
+
 SOURCE_QUERIES: dict[str, Query] = {
-    # Monthly targets are a constant here; the region reports read them.
     **{f"scan_{name}": _scan(name) for name in SCHEMAS if name != "monthly_targets"},
-    "csv_extract": _csv_extract,
+    "scan_monthly_targets": _scan_monthly_targets,
+    "csv_extract": _csv_extract("monthly_kpis", lambda m, t: kpis.monthly_kpis(m, CFG)),
+    "csv_kpi_summary": _csv_extract("kpi_summary", lambda m, t: kpis.kpi_summary(m, CFG)),
+    "csv_customer_mix": _csv_extract("customer_mix", lambda m, t: kpis.customer_mix_summary(m, CFG)),
+    "csv_region_summary": _csv_extract(
+        "region_summary", lambda m, t: targets.region_summary(m, t.monthly_targets, CFG)
+    ),
+    "csv_category_summary": _csv_extract("category_summary", _category_extract),
 }
 
 # --- the building blocks on the raw test tables ------------------------------

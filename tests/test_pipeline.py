@@ -260,6 +260,18 @@ def test_a_changed_table_has_another_state(spark, tmp_path):
     assert table_state(spark, path) != before
 
 
+def test_a_nested_file_replaced_in_place_has_another_state(spark, tmp_path):
+    """The folder above does not change, nor does the length of the file."""
+    path = str(tmp_path / "table")
+    spark.range(20).selectExpr("id", "id % 2 AS part").write.partitionBy("part").parquet(path)
+    before = table_state(spark, path)
+    nested = next(tmp_path.glob("table/part=1/*.parquet"))
+    nested.write_bytes(nested.read_bytes())
+    os.utime(nested, (5, 5))
+    assert table_state(spark, path) != before
+    assert len(before) == len(list(tmp_path.glob("table/part=*/*.parquet")))
+
+
 def test_settings_of_the_session_win(spark):
     session = spark.newSession()
     session.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")

@@ -8,8 +8,8 @@ narrow in all dimensions at once, which is what file pruning needs.
 The law is ``rows``: shards differ by at most one row. Ties on the curve are ordered by
 text checksum and id, so that equal texts on one point lie next to each other.
 
-A null in a dimension is step zero; strings are ordered by the seven bytes after the
-prefix that all values share. Repeated rows are separate rows. An empty table gives an
+A null in a dimension is step zero; strings are ordered by their bytes, and a step begins with
+the value at its share of the rows, so a value far from all others takes no step from them. Repeated rows are separate rows. An empty table gives an
 empty result, and with fewer rows than shards some shards stay empty.
 """
 
@@ -53,35 +53,53 @@ def hilbert_index(steps: list[np.ndarray], bits: int) -> np.ndarray:
     return index
 
 
-def _as_number(df: DataFrame, name: str) -> Column:
-    """A number that orders the column's values; strings by seven bytes after the shared prefix."""
-    if not isinstance(df.schema[name].dataType, T.StringType):
-        return F.col(name).cast("double")
-    ends = df.agg(F.min(name).alias("low"), F.max(name).alias("high")).first()
-    low, high = (ends.low or "").encode(), (ends.high or "").encode()
-    shared = next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
-    seven = F.rpad(F.hex(F.substring(F.encode(F.col(name), "UTF-8"), shared + 1, 7)), 14, "0")
-    return F.conv(seven, 16, 10).cast("double")
+def _string_bounds(df: DataFrame, name: str, n_steps: int) -> list[str]:
+    """The first value of each step but the lowest, in steps of about equal row counts.
+
+    Distinct values are counted, sorted by range and numbered by a running sum: within each
+    part, after the rows of the parts before it. What reaches the driver is the bounds.
+    """
+    values = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value"))
+    ranged = values.agg(F.count("*").alias("n")).repartitionByRange("value")
+    counted = stored(ranged.withColumn("part", F.spark_partition_id()), "values")
+    # One row for each sorted part reaches the unpartitioned windows.
+    totals = counted.groupBy("part").agg(F.sum("n").alias("rows"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        "part",
+        F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"),
+        F.sum("rows").over(Window.partitionBy()).alias("total"),
+    )
+    within = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.col("offset") + F.coalesce(F.sum("n").over(within), F.lit(0))
+    step = F.floor(ahead * n_steps / F.col("total"))
+    stepped = counted.join(offsets, "part").select("value", step.alias("step"))
+    firsts = stepped.groupBy("step").agg(F.min("value").alias("first")).where("step > 0")
+    return sorted(row.first for row in firsts.collect())
 
 
 def quantised(df: DataFrame, dimensions: Sequence[str], bits: int) -> dict[str, Column]:
     """For each dimension its step, the number of bounds at or below the value.
 
-    The bounds are quantiles of all rows: ``2**bits - 1`` numbers a dimension.
+    The bounds are quantiles of all rows: ``2**bits - 1`` values a dimension.
     """
-    numbers = {name: _as_number(df, name) for name in dimensions}
-    shares = [k / (1 << bits) for k in range(1, 1 << bits)]
-    row = df.agg(
-        *[F.percentile_approx(x, shares, 10_000).alias(name) for name, x in numbers.items()]
-    ).first()
-    return {name: _step(number, sorted(set(row[name] or []))) for name, number in numbers.items()}
-
-
-def _step(number: Column, bounds: list[float]) -> Column:
-    """How many of the bounds the number reaches; none for a null."""
+    strings = [x for x in dimensions if isinstance(df.schema[x].dataType, T.StringType)]
+    numbers = {x: F.col(x).cast("double") for x in dimensions if x not in strings}
+    bounds: dict[str, list] = {x: _string_bounds(df, x, 1 << bits) for x in strings}
+    if numbers:
+        shares = [k / (1 << bits) for k in range(1, 1 << bits)]
+        row = df.agg(
+            *[F.percentile_approx(x, shares, 10_000).alias(name) for name, x in numbers.items()]
+        ).first()
+        bounds |= {name: sorted(set(row[name] or [])) for name in numbers}
+    return {x: _step(numbers.get(x, F.col(x)), bounds[x]) for x in dimensions}
+
+
+def _step(value: Column, bounds: list) -> Column:
+    """How many of the bounds the value reaches; none for a null."""
     if not bounds:
         return F.lit(0)
-    reached = F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda bound: bound <= number)
+    reached = F.filter(F.array(*[F.lit(b) for b in bounds]), lambda bound: bound <= value)
     return F.coalesce(F.size(reached), F.lit(0))
 
 

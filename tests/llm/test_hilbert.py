@@ -75,3 +75,22 @@ def test_empty(spark):
     same = spark.createDataFrame([(1, None, None, None)] * 5, df.schema)
     found = hilbert.hilbert_shards(same, ["lang", "n_chars"], 2).collect()
     assert sorted((r.shard, r.slot) for r in found) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)]
+
+
+def test_one_outlier_leaves_the_steps_of_strings(spark):
+    names = ["archive", *[f"https://www.{chr(97 + k % 26)}{k % 5}.example/{k}" for k in range(400)]]
+    df = spark.createDataFrame([(n,) for n in names], "source string").repartition(5)
+    steps = hilbert.quantised(df, ["source"], 4)["source"]
+    found = [(r.source, r.step) for r in df.select("source", steps.alias("step")).collect()]
+    ordered = [step for _, step in sorted(found)]
+    assert ordered == sorted(ordered) and len(set(ordered)) == 16
+    sizes = [ordered.count(s) for s in set(ordered)]
+    assert max(sizes) - min(sizes) <= 2
+
+
+def test_a_value_of_a_third_of_the_rows_is_one_step(spark):
+    names = ["m"] * 200 + [f"a{k:03}" for k in range(200)] + [f"z{k:03}" for k in range(200)]
+    df = spark.createDataFrame([(n, k) for k, n in enumerate(names)], "source string, part long")
+    steps = hilbert.quantised(df, ["source"], 3)["source"]
+    found = {r.source: r.step for r in df.select("source", steps.alias("step")).collect()}
+    assert found["a199"] <= found["m"] <= found["z000"] and len(set(found.values())) >= 5

@@ -202,7 +202,9 @@ def links(fps: DataFrame, max_distance: int = 3, run_limit: int = RUN) -> DataFr
 
     Not every pair: a spanning forest of each group that shares a variant.
     """
-    keyed = variants(fps, max_distance)
+    # Each fingerprint becomes 64 rows: spread first, as the few bytes here are one or two tasks.
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = variants(fps.repartition(parts, "fp"), max_distance)
     walked = stored(
         map_batches(
             keyed.repartition("part", "bits").sortWithinPartitions("part", "bits"),

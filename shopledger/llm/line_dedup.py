@@ -41,6 +41,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from shopledger.llm import chains as chains_of
 from shopledger.llm.common import kept_by, map_batches, row_bytes, stored
 
 THRESHOLD = 2
@@ -614,56 +615,6 @@ def _class_links(links: DataFrame) -> DataFrame:
     return map_batches(links, run, "high long, low long, other_high long, other_low long")
 
 
-def _gone_at_once(edges: np.ndarray) -> np.ndarray:
-    """Classes that go, out of rows of four numbers: a class and an earlier one linked to it."""
-    n = len(edges)
-    classes, at = np.unique(edges.reshape(-1, 2), axis=0, return_inverse=True)
-    late, early = at.reshape(n, 2).T
-    order = np.argsort(early, kind="stable")
-    later = late[order]
-    bounds = np.searchsorted(early[order], np.arange(len(classes) + 1)).tolist()
-    open_links = np.bincount(late, minlength=len(classes)).tolist()
-    gone = [False] * len(classes)
-    ready = [k for k, left in enumerate(open_links) if not left]
-    while ready:
-        now = ready.pop()
-        for k in later[bounds[now] : bounds[now + 1]].tolist():
-            gone[k] = gone[k] or not gone[now]
-            open_links[k] -= 1
-            if not open_links[k]:
-                ready.append(k)
-    return classes[np.array(gone, bool)]
-
-
-def _gone(edges: DataFrame, at_once: int) -> DataFrame:
-    """``high`` and ``low`` of the classes that go, each linked to an earlier one that stays.
-
-    ``edges``: ``high``, ``low``, ``other_high``, ``other_low``, the other class being earlier.
-    """
-    spark = edges.sparkSession
-    late, early = ["high", "low"], ["other_high", "other_low"]
-    named = [F.col(x).alias(y) for x, y in zip(late, early)]
-    undecided = edges.select(*late, *early)
-    found = undecided.select(*late).limit(0)
-    while (left := undecided.count()) > at_once:
-        waiting = undecided.select(*named).distinct()
-        staying = undecided.select(*early).distinct().join(waiting, early, "left_anti")
-        going = stored(
-            undecided.join(staying, early, "left_semi").select(*late).distinct(), "chain-going"
-        )
-        undecided = stored(
-            undecided.join(going, late, "left_anti").join(going.select(*named), early, "left_anti"),
-            "chain-undecided",
-        )
-        found = found.unionByName(going)
-    if left:
-        rows = undecided.toArrow()
-        classes = _gone_at_once(np.column_stack([c.to_numpy() for c in rows.columns]))
-        columns = pa.table({name: classes[:, k] for k, name in enumerate(late)})
-        found = found.unionByName(stored(spark.createDataFrame(columns), "chain-rest"))
-    return found
-
-
 def line_decisions(
     df: DataFrame,
     threshold: int = THRESHOLD,
@@ -714,7 +665,8 @@ def line_decisions(
             .select(*kind, "other_high", "other_low", "other_first"),
             "chain-links",
         )
-        gone = _gone(edges, at_once).select(
+        behind = edges.select(*kind, "other_high", "other_low")
+        gone = chains_of.gone(behind, at_once).select(
             F.col("high").alias("other_high"), F.col("low").alias("other_low")
         )
         near = edges.join(gone, ["other_high", "other_low"], "left_anti")

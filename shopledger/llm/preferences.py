@@ -17,7 +17,7 @@ gets a space into it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
 TRAINED_ROLE = "assistant"
@@ -98,36 +98,62 @@ def preference_pairs(
     )
 
 
+def _next_replies(replies: DataFrame) -> DataFrame:
+    """``pair_id`` and ``swapped``: the reply of the next conversation that has one, of the last the first's.
+
+    Ids are cut at quantiles into parts of about equal size. Within a part the next row is told
+    by a window over the part; the last row of a part takes the first of the next part that has
+    rows, so no window goes over all conversations, and gaps between ids do not matter.
+    """
+    parts = int(replies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [k / parts for k in range(1, parts)] or [0.5]
+    quantiles = replies.agg(F.percentile_approx("pair_id", shares, 10_000)).first()[0] or []
+    bounds = F.array(*[F.lit(b) for b in sorted(set(quantiles))]).cast("array<long>")
+    placed = replies.withColumn("part", F.size(F.filter(bounds, lambda b: b <= F.col("pair_id"))))
+    within = Window.partitionBy("part").orderBy("pair_id")
+    # One row for each part reaches the unpartitioned windows.
+    firsts = placed.groupBy("part").agg(F.min(F.struct("pair_id", "reply"))["reply"].alias("first"))
+    by_part = Window.orderBy("part")
+    carried = firsts.select(
+        "part",
+        F.coalesce(F.lead("first").over(by_part), F.first("first").over(by_part)).alias("carried"),
+    )
+    rows = placed.withColumn("following", F.lead("reply").over(within)).join(carried, "part")
+    return rows.select("pair_id", F.coalesce("following", "carried").alias("swapped"))
+
+
 def swapped_replies(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected turns out of plain conversations (``conv_id`` becomes ``pair_id``).
 
-    A conversation up to its last assistant turn is chosen. Rejected is the same with that
-    turn's text taken from the neighbour: ids 2k and 2k + 1 swap their last assistant
-    replies. Conversations without such a turn, or without such a neighbour, give no pair.
+    Every conversation with an assistant's turn that has a number gives a pair. Chosen is all of
+    it. Rejected is the same up to one of these turns, whose text comes from the next conversation,
+    and ends there. Which turn it is depends on the id, the number of replies being the divisor, so
+    prefixes end at different depths; of equal turn numbers the replies are ordered by text.
+    A conversation that has no other to swap with has two sides that differ in their end alone.
     """
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("pair_id"), F.col("turn").cast("long").alias("turn"),
         "role", "text",
     ).where("pair_id is not null")
+    reply = F.struct("turn", F.coalesce("text", F.lit("")).alias("reply"))
     replies = (
         turns.where((F.col("role") == TRAINED_ROLE) & F.col("turn").isNotNull())
         .groupBy("pair_id")
-        .agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
-        .select("pair_id", F.col("last.turn").alias("last_turn"), F.col("last.text").alias("reply"))
+        .agg(F.sort_array(F.collect_set(reply)).alias("all"))
+        .withColumn("one", F.get("all", F.pmod("pair_id", F.size("all")).cast("int")))
+        .select("pair_id", F.col("one.turn").alias("swap_turn"), F.col("one.reply").alias("reply"))
     )
-    other = replies.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("reply").alias("swapped"))
-    paired = replies.select("pair_id", "last_turn").join(other, "pair_id")
-    placed = turns.join(paired, "pair_id")
-    before = placed.where(F.col("turn") < F.col("last_turn"))
+    swaps = replies.select("pair_id", "swap_turn").join(_next_replies(replies), "pair_id")
+    placed = turns.join(swaps, "pair_id")
     columns = ["pair_id", "turn", "role", "text"]
-    chosen = placed.where(F.col("turn") <= F.col("last_turn")).select(*columns)
-    swapped = paired.select(
+    before = placed.where(F.col("turn").isNull() | (F.col("turn") < F.col("swap_turn")))
+    swapped = swaps.select(
         "pair_id",
-        F.col("last_turn").alias("turn"),
+        F.col("swap_turn").alias("turn"),
         F.lit(TRAINED_ROLE).alias("role"),
         F.col("swapped").alias("text"),
     )
-    return chosen, before.select(*columns).unionByName(swapped)
+    return placed.select(*columns), before.select(*columns).unionByName(swapped)
 
 
 def spans_as_text(spans: Column) -> Column:

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from shopledger.llm import preferences
 
 
@@ -97,17 +99,53 @@ def test_plan_is_native(spark):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Cartesian"))
 
 
-def test_swapped_replies(spark):
+def plain_swaps(rows):
+    """Chosen and rejected turns by a sorted list of all conversations with replies."""
+    replies = {}
+    for conv in sorted({r[0] for r in rows if r[0] is not None}):
+        mine = sorted({(r[1], r[3] or "") for r in rows if r[0] == conv and r[2] == "assistant" and r[1] is not None})
+        if mine:
+            replies[conv] = mine[conv % len(mine)]
+    order = sorted(replies)
+    chosen = [r for r in rows if r[0] in replies]
+    rejected = []
+    for at, conv in enumerate(order):
+        turn, other = replies[conv][0], replies[order[(at + 1) % len(order)]][1]
+        rejected += [r for r in rows if r[0] == conv and (r[1] is None or r[1] < turn)]
+        rejected.append((conv, turn, "assistant", other))
+    return chosen, rejected
+
+
+@pytest.mark.parametrize("parts", ["1", "4", "40"])
+def test_swapped_replies(spark, parts):
+    rng = random.Random(6)
     rows = [
-        (0, 0, "user", "q0"), (0, 1, "assistant", "a0"), (0, 2, "user", "thanks"),
-        (1, 0, "user", "q1"), (1, 1, "assistant", "a1"), (2, 0, "user", "alone"),
-        (3, 0, "assistant", "a3"), (4, 0, "assistant", "a4"), (None, 0, "assistant", "n"),
+        (0, 0, "user", "q0"), (0, 1, "assistant", "a0"), (0, 2, "user", "thanks"), (2, 0, "user", "alone"),
+        (3, 0, "assistant", "a3"), (-7, 4, "assistant", None), (None, 0, "assistant", "n"),
+        (8, None, "assistant", "no number"), (9, None, "user", "first"), (9, 1, "assistant", "a9"),
+        (10**12, 1, "assistant", "far"), (10**12, 1, "assistant", "tie"),
     ]
+    for conv in rng.sample(range(20, 5000), 60):
+        rows += [
+            (conv, t, "assistant" if t % 2 else "user", f"{conv} {t}") for t in range(rng.randint(1, 9))
+        ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        found = [sorted(map(str, map(tuple, x.collect()))) for x in preferences.swapped_replies(df)]
+        prompts = preferences.preference_pairs(*preferences.swapped_replies(df)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == [sorted(map(str, x)) for x in plain_swaps(rows)]
+    with_reply = {r[0] for r in rows if r[0] is not None and r[2] == "assistant" and r[1] is not None}
+    assert {r.pair_id for r in prompts} == with_reply
+    assert len({r.prompt_turns for r in prompts}) >= 5
+
+
+def test_one_conversation_swaps_with_itself(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "more")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    chosen, rejected = preferences.swapped_replies(df)
-    assert sorted(map(tuple, chosen.collect())) == [
-        (0, 0, "user", "q0"), (0, 1, "assistant", "a0"), (1, 0, "user", "q1"), (1, 1, "assistant", "a1"),
-    ]
-    assert sorted(map(tuple, rejected.collect())) == [
-        (0, 0, "user", "q0"), (0, 1, "assistant", "a1"), (1, 0, "user", "q1"), (1, 1, "assistant", "a0"),
-    ]
+    row = preferences.preference_pairs(*preferences.swapped_replies(df)).first()
+    assert (row.prompt_turns, row.rejected) == (2, "") and "more" in row.chosen
+    assert preferences.preference_pairs(*preferences.swapped_replies(df.limit(0))).collect() == []

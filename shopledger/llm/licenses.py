@@ -3,7 +3,9 @@
 Canonical form: lower case, lines that only state a copyright are dropped, everything
 that is no letter or digit becomes one space, equivalent spellings become one. The SHA-256
 of that form is joined by equality with the digests of known licences and notices, which
-go through the same form. Known texts are a table given by the caller; Spark joins it by
+go through the same form. A line states a copyright if it begins with the word and its sign,
+or with either and a year, also behind "Portions". As a holder's name may go on in further lines,
+a whole text has a second form, in which such a line takes the rest of its paragraph with it. Known texts are a table given by the caller; Spark joins it by
 its size. No digest of a document leaves the tasks unless it is known.
 
 ``KNOWN`` holds each text once for every usual form: with and without its title line, list
@@ -40,10 +42,15 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
     ("https", "http"),
 )
 
-COPYRIGHT_LINE = (
-    r"(?m)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©)[^\n]*(?:[0-9]{4}|<year>|\[year\])[^\n]*$"
+_STATED = (
+    r"^[^\p{L}\p{N}\n]*(?:(?:portions|parts)[^\p{L}\p{N}\n]+)?"
+    r"(?:copyright[^\p{L}\p{N}\n]*(?:\(c\)|©)"
+    r"|(?:copyright|\(c\)|©)[^\n]*(?:[0-9]{4}|<year>|\[year\]))"
 )
-RESERVED_LINE = r"(?m)^[^\p{L}\p{N}\n]*all rights reserved[^\p{L}\p{N}\n]*$"
+COPYRIGHT_LINE = rf"(?dm){_STATED}[^\n]*$"
+COPYRIGHT_BLOCK = rf"(?dms){_STATED}.*"
+BLANK_LINE = r"\n[^\p{L}\p{N}\n]*\n"
+RESERVED_LINE = r"(?dm)^[^\p{L}\p{N}\n]*all rights reserved[^\p{L}\p{N}\n]*$"
 NO_WORD = r"[^\p{L}\p{N}\n]+"
 
 _AS_IS = (
@@ -203,12 +210,25 @@ def _spelled(text: Column) -> Column:
     return text
 
 
+def _lines(dropped: Column) -> Column:
+    without = F.regexp_replace(dropped, RESERVED_LINE, "")
+    lines = F.split(F.regexp_replace(without, NO_WORD, " "), "\n")
+    return F.filter(F.transform(lines, lambda line: F.trim(line)), lambda line: line != "")
+
+
 def canonical_lines(text: Column) -> Column:
     """The lines of a text that have words, each in lower case with single spaces."""
     lowered = F.lower(F.coalesce(text, F.lit("")))
-    dropped = F.regexp_replace(F.regexp_replace(lowered, COPYRIGHT_LINE, ""), RESERVED_LINE, "")
-    lines = F.split(F.regexp_replace(dropped, NO_WORD, " "), "\n")
-    return F.filter(F.transform(lines, lambda line: F.trim(line)), lambda line: line != "")
+    return _lines(F.regexp_replace(lowered, COPYRIGHT_LINE, ""))
+
+
+def _without_blocks(text: Column) -> Column:
+    """The same, where a copyright line takes the rest of its paragraph with it."""
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    paragraphs = F.transform(
+        F.split(lowered, BLANK_LINE), lambda p: F.regexp_replace(p, COPYRIGHT_BLOCK, "")
+    )
+    return _lines(F.array_join(paragraphs, "\n"))
 
 
 def license_scan(
@@ -229,14 +249,23 @@ def license_scan(
         .select("license_id", digest(F.array_join("lines", " ")).alias("digest"))
         .distinct()
     )
+    # Only a text that has such a line has a second form.
+    states = F.lower(F.col(text_col)).rlike(COPYRIGHT_LINE)
     lines = df.select(
-        F.col(id_col).cast("long").alias("doc_id"), canonical_lines(F.col(text_col)).alias("lines")
+        F.col(id_col).cast("long").alias("doc_id"),
+        canonical_lines(F.col(text_col)).alias("lines"),
+        F.when(states, _without_blocks(F.col(text_col))).alias("blocks"),
     ).where(F.size("lines") > 0)
-    whole = F.struct(F.lit(True).alias("whole"), digest(F.array_join("lines", " ")).alias("digest"))
-    single = F.transform(
-        "lines", lambda x: F.struct(F.lit(False).alias("whole"), digest(x).alias("digest"))
+
+    def unit(whole: bool, words: Column) -> Column:
+        return F.struct(F.lit(whole).alias("whole"), digest(words).alias("digest"))
+
+    forms = F.array(F.array_join("lines", " "), F.array_join("blocks", " "))
+    whole = F.transform(
+        F.filter(F.array_distinct(forms), lambda x: x.isNotNull() & (x != "")), lambda x: unit(True, x)
     )
-    units = lines.select("doc_id", F.explode(F.concat(F.array(whole), single)).alias("unit"))
+    single = F.transform("lines", lambda x: unit(False, x))
+    units = lines.select("doc_id", F.explode(F.concat(whole, single)).alias("unit"))
     found = (
         units.select("doc_id", "unit.*")
         .join(known_forms, "digest")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib.resources import files
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -157,46 +158,58 @@ QUERIES: dict[str, Query] = {
 
 
 def _known_rows() -> str:
-    """The known licences as SQL rows."""
-    rows = [
-        (name, text.replace("'", "''")) for name, texts in licenses.KNOWN.items() for text in texts
-    ]
-    return ",\n".join(f"('{name}', '{text}')" for name, text in rows)
-
-
-def _spelled_sql(column: str) -> str:
-    for variant, one in licenses.SPELLINGS:
-        column = f"replace({column}, '{variant}', '{one}')"
-    return column
-
-
-_LINES_SQL = rf"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(
-    regexp_replace(lower(coalesce(text, '')), '{licenses.COPYRIGHT_LINE}', '', 'g'),
-    '{licenses.RESERVED_LINE}', '', 'g'), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), chr(10)),
-    lambda x: trim(x)), lambda x: x <> '')"""
+    """Digests of the known canonical forms as SQL rows, from a list that is kept by itself."""
+    rows = files(__package__).joinpath("known_licenses", "digests.txt").read_text("utf-8").split()
+    return ",\n".join(f"('{name}', '{digest}')" for name, digest in zip(rows[::2], rows[1::2]))
+
+
+# The SQL states the canonical form in its own words: what is dropped, and the spellings.
+_SPELLED = """list_reduce([x,
+    'licence=license', 'sub license=sublicense', 'organisation=organization',
+    'authorisation=authorization', 'acknowledgement=acknowledgment', 'favour=favor',
+    'honour=honor', 'fulfilment=fulfillment', 'wilful=willful', 'per cent=percent',
+    'non infringement=noninfringement', 'copyright owner=copyright holder', 'https=http'],
+    lambda done, pair: replace(done, split_part(pair, '=', 1), split_part(pair, '=', 2)))"""
+_HEAD = r"""[^\p{L}\p{N}\n]*((portions|parts)[^\p{L}\p{N}\n]+)?(copyright[^\p{L}\p{N}\n]*(\(c\)|©)|(copyright|\(c\)|©)[^\n]*([0-9][0-9][0-9][0-9]|<year>|\[year\]))"""
+_WORDS = r"""list_filter(list_transform(string_split(regexp_replace(array_to_string(list_filter(
+    string_split({0}, chr(10)), lambda l: NOT regexp_full_match(l, '[^\p{{L}}\p{{N}}]*all rights reserved[^\p{{L}}\p{{N}}]*')),
+    chr(10)), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), chr(10)), lambda l: trim(l)), lambda l: l <> '')"""
+_LINES_SQL = _WORDS.format(
+    rf"""array_to_string(list_filter(string_split(low, chr(10)),
+    lambda l: NOT regexp_matches(l, '^{_HEAD}')), chr(10))"""
+)
+_BLOCKS_SQL = _WORDS.format(
+    rf"""array_to_string(list_transform(regexp_split_to_array(low, '\n[^\p{{L}}\p{{N}}\n]*\n'),
+    lambda p: regexp_replace(p, '(?ms)^{_HEAD}.*', '')), chr(10))"""
+)
 
 # DuckDB twins, where SQL can express the operator.
 ORACLE_SQL: dict[str, str] = {
     "op1_preference_formatting": """
 WITH replies AS (
-  SELECT conv_id, max(turn) AS last_turn, arg_max(coalesce(text, ''), turn) AS reply
-  FROM conversations WHERE role = 'assistant' GROUP BY conv_id
+  SELECT DISTINCT conv_id, turn, coalesce(text, '') AS text FROM conversations
+  WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS k,
+    count(*) OVER (PARTITION BY conv_id) AS n FROM replies
+), picked AS (
+  SELECT conv_id, turn AS swap_turn, text AS reply FROM ranked WHERE k = ((conv_id % n) + n) % n
 ), paired AS (
-  SELECT r.conv_id, r.last_turn, o.reply AS swapped
-  FROM replies r JOIN replies o ON o.conv_id = xor(r.conv_id, 1)
+  SELECT conv_id, swap_turn, coalesce(lead(reply) OVER (ORDER BY conv_id),
+    first_value(reply) OVER (ORDER BY conv_id)) AS swapped FROM picked
 ), rows AS (
   SELECT c.conv_id AS pair_id, 0 AS side, c.turn, c.role, c.text
-  FROM conversations c JOIN paired p USING (conv_id) WHERE c.turn <= p.last_turn
+  FROM conversations c JOIN paired p USING (conv_id)
   UNION ALL
   SELECT c.conv_id, 1, c.turn, c.role, c.text
-  FROM conversations c JOIN paired p USING (conv_id) WHERE c.turn < p.last_turn
+  FROM conversations c JOIN paired p USING (conv_id) WHERE c.turn < p.swap_turn OR c.turn IS NULL
   UNION ALL
-  SELECT conv_id, 1, last_turn, 'assistant', swapped FROM paired
+  SELECT conv_id, 1, swap_turn, 'assistant', swapped FROM paired
 ), clean AS (
   SELECT DISTINCT pair_id, side, turn, coalesce(role, 'unknown') AS role,
     replace(coalesce(text, ''), '<|', '< |') AS text FROM rows
 ), numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn, role, text) AS k
+  SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text) AS k
   FROM clean
 ), compared AS (
   SELECT a.pair_id, a.k, b.k IS NOT NULL AND a.role = b.role AND a.text = b.text AS same
@@ -227,24 +240,24 @@ SELECT pair_id, CAST(any_value(n) AS INTEGER) AS prompt_turns,
     FILTER (WHERE side = 1 AND k > n AND role = 'assistant'), '') AS rejected_spans
 FROM placed GROUP BY pair_id""",
     "op2_license_scan": f"""
-WITH known(license_id, text) AS (VALUES {_known_rows()}),
-forms AS (
-  SELECT DISTINCT license_id, sha256({_spelled_sql("array_to_string(lines, ' ')")}) AS digest
-  FROM (SELECT license_id, {_LINES_SQL} AS lines FROM known) WHERE len(lines) > 0
-), d AS (
-  SELECT doc_id, {_LINES_SQL} AS lines FROM documents
+WITH forms(license_id, digest) AS (VALUES {_known_rows()}),
+d AS (
+  SELECT doc_id, {_LINES_SQL} AS lines,
+    CASE WHEN regexp_matches(low, '(?m)^{_HEAD}') THEN {_BLOCKS_SQL} END AS blocks
+  FROM (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents)
 ), units AS (
-  SELECT doc_id, true AS whole, sha256({_spelled_sql("array_to_string(lines, ' ')")}) AS digest
-  FROM d WHERE len(lines) > 0
+  SELECT doc_id, true AS whole, array_to_string(lines, ' ') AS x FROM d WHERE len(lines) > 0
+  UNION ALL
+  SELECT doc_id, true, array_to_string(blocks, ' ') FROM d WHERE len(lines) > 0 AND len(blocks) > 0
   UNION ALL
-  SELECT doc_id, false, sha256({_spelled_sql("line")})
-  FROM (SELECT doc_id, unnest(lines) AS line FROM d)
+  SELECT doc_id, false, unnest(lines) FROM d
 ), found AS (
   SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id)
       FILTER (WHERE whole) AS t,
     string_agg(DISTINCT license_id, ',' ORDER BY license_id) FILTER (WHERE NOT whole) AS l,
     count(*) FILTER (WHERE NOT whole) AS n
-  FROM units JOIN forms USING (digest) GROUP BY doc_id
+  FROM (SELECT doc_id, whole, sha256({_SPELLED}) AS digest FROM units) JOIN forms USING (digest)
+  GROUP BY doc_id
 )
 SELECT DISTINCT d.doc_id, coalesce(t, '') AS text_licenses, coalesce(l, '') AS line_licenses,
   CAST(coalesce(n, 0) AS BIGINT) AS n_lines

@@ -90,3 +90,39 @@ def test_whole_long_texts(spark):
     found = scan(spark, rows)
     assert [r[1] for r in found[:7]] == [[name] for name in licenses.LONG]
     assert [r[1] for r in found[7:]] == [["Apache-2.0"], ["Apache-2.0"], ["GPL-3.0"], []]
+
+# Heads of licence files, written apart from the module, and whether a licence text is found behind.
+HEADS = [
+    ("Copyright (c) The Foo Authors", True),
+    ("Portions Copyright (c) 2001 B", True),
+    ("Copyright (c) 2019 The Regents of the University\nof California", True),
+    ("Copyright 1998 by A,\n  B, and\n  the C company\n  of D", True),
+    ("(c) 2003 A", True),
+    ("© The Foo Authors. 2010", True),
+    ("Copyright © Foo", True),
+    ("// Copyright (C) 2015-2020 A <a@b.c>\n// Parts Copyright (C) 2014 B", True),
+    ("All rights reserved.", True),
+    ("Copyright (c) 2020 A\n\nAll Rights Reserved", True),
+    ("Copyright notices are kept below", False),
+    ("This is by A", False),
+    ("Written by A\nCopyright (c) 2020 A", False),
+]
+
+
+def test_heads_of_licence_texts(spark):
+    mit = licenses.KNOWN["MIT"][0]
+    rows = [(k, f"{head}\n\n{mit}") for k, (head, _) in enumerate(HEADS)]
+    rows += [(100, f"Copyright (c) 2020 A\n{mit}"), (101, f"MIT License\n\nCopyright (c) A\nand others\n\n{mit}")]
+    rows += [(102, "Copyright (c) 2020 A\n" + "more\n" * 20_000 + f"\n{mit}")]
+    found = {r[0]: r[1] for r in scan(spark, rows)}
+    assert {k: bool(found[k]) for k in range(len(HEADS))} == {k: ok for k, (_, ok) in enumerate(HEADS)}
+    assert found[100] == found[101] == found[102] == ["MIT"]
+
+
+def test_known_digests_were_worked_out_apart(spark):
+    """The list the SQL uses is the table of this module, by another program's patterns."""
+    text = licenses.files("shopledger.llm").joinpath("known_licenses", "digests.txt").read_text()
+    forms = licenses.known_texts(spark).select("license_id", licenses.canonical_lines(licenses.F.col("text")).alias("x"))
+    digest = licenses.F.sha2(licenses._spelled(licenses.F.array_join("x", " ")), 256)
+    rows = forms.select("license_id", digest.alias("d")).distinct().collect()
+    assert sorted(f"{r.license_id} {r.d}" for r in rows) == sorted(text.splitlines())

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from shopledger.session import remove_at_exit
+
 _SHIPPED: set[str] = set()
 
 
@@ -24,16 +26,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all executors reach.
+    """This application's folder under ``spark.checkpoint.dir``, which all executors reach.
 
-    Only a session without that setting (a test on one machine) gets a temporary one.
+    Only a session on one machine may be without that setting (a test) and gets a temporary folder;
+    on a cluster it raises. The folder is removed when the driver's Python ends.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="shopledger-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
+        root = root or tempfile.mkdtemp(prefix="shopledger-shared-")
+        _FOLDERS[app] = f"{root.rstrip('/')}/llm-{uuid4().hex}"
+        remove_at_exit(spark, _FOLDERS[app])
+    return _FOLDERS[app]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -41,7 +51,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage: what is stored is neither computed twice nor lost with an executor.
     """
-    target = f"{shared_folder(df.sparkSession)}/llm-{uuid4().hex}/{name}"
+    target = f"{shared_folder(df.sparkSession)}/{uuid4().hex}-{name}"
     df.write.option("compression", "zstd").parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
 

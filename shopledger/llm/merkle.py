@@ -308,40 +308,62 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_batches(slim, run, "doc_id long, fingerprint string")
 
 
-def _part_of(ids: pa.Array, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The place of each id in descending order (null: below all), and its part."""
-    order = ids.fill_null(LOWEST_ID).to_numpy(zero_copy_only=False)
-    return order, (len(bounds) - np.searchsorted(bounds, order, side="right")).astype(np.int32)
-
-
-def _first_ids(ids: DataFrame, bounds: np.ndarray) -> dict[int, int]:
-    """The first id of each part that has rows."""
+class Parts:
+    """Parts of the descending order of ids, cut at bounds; ids that are bounds again and again
+    are cut within, by their rows' ties, which are spread evenly."""
+
+    def __init__(self, bounds: list[int]):
+        self.bounds = np.sort(np.array(bounds, np.int64))
+        values, counts = np.unique(self.bounds, return_counts=True)
+        self.hot = {int(v): int(n) for v, n in zip(values, counts) if n > 1}
+
+    def of(self, ids: pa.Array, ties: pa.Array) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """Each row's place in the order (null ids: below all), and its part."""
+        order = ids.fill_null(LOWEST_ID).to_numpy(zero_copy_only=False)
+        ties = ties.to_numpy(zero_copy_only=False)
+        part = len(self.bounds) - np.searchsorted(self.bounds, order, side="right")
+        counted = np.zeros(len(order), np.int64)
+        for value, n in self.hot.items():
+            mine = order == value
+            counted[mine] = ties[mine]
+            share = ((ties[mine] >> 32) + (1 << 31)) * n >> 32
+            part[mine] += share
+        return list(zip(order.tolist(), counted.tolist())), part.astype(np.int32)
+
+
+def _first_rows(rows: DataFrame, parts: Parts) -> dict[int, tuple[int, int]]:
+    """The place of the first row of each part that has rows; of ``doc_id`` and ``tie``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            order, part = _part_of(batch.column(0), bounds)
-            sorting = np.lexsort([order, part])
-            order, part = order[sorting], part[sorting]
-            first = np.flatnonzero(np.diff(part, append=-1))
+            places, part = parts.of(batch.column(0), batch.column(1))
+            first: dict[int, tuple[int, int]] = {}
+            for at, (order, tie) in zip(part.tolist(), places):
+                key = (order, ~tie)
+                if at not in first or key > first[at]:
+                    first[at] = key
+            columns = list(zip(*[(at, *key) for at, key in first.items()])) or [()] * 3
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part[first]), pa.array(order[first])], ["part", "first"]
+                [pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64()))],
+                ["part", "first", "turned"],
             )
 
-    found = map_batches(ids, run, "part int, first long").groupBy("part").agg(F.max("first"))
-    return {row[0]: row[1] for row in found.collect()}
+    found = map_batches(rows, run, "part int, first long, turned long").groupBy("part")
+    best = found.agg(F.max(F.struct("first", "turned")).alias("best"))
+    return {row.part: (row.best.first, ~row.best.turned) for row in best.collect()}
 
 
-def _placed(df: DataFrame, bounds: np.ndarray, copies: dict[int, int]) -> DataFrame:
+def _placed(df: DataFrame, parts: Parts, copies: dict[tuple[int, int], int]) -> DataFrame:
     """Rows with their part and text, compressed as it moves whole, and the copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            order, part = _part_of(batch.column(0), bounds)
+            places, part = parts.of(batch.column(0), batch.column(2))
             texts = [pack(text) for text in row_bytes(batch.column(1))]
-            twice = [at for at, key in enumerate(order.tolist()) if key in copies]
+            twice = [at for at, place in enumerate(places) if place in copies]
             rows = pa.array([*range(len(texts)), *twice])
-            to = [*part.tolist(), *[copies[int(order[at])] for at in twice]]
+            to = [*part.tolist(), *[copies[places[at]] for at in twice]]
             copied = [False] * len(texts) + [True] * len(twice)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -429,23 +451,25 @@ def edit_likeness(
     last one's next is the first. The edited text is the text with its last half, rounded
     down in characters, replaced by as many first characters of the next document.
 
-    The order is cut into parts of about equal size at quantiles of the ids. Each part also
-    gets a copy of the row that follows its last, so texts move once and no part waits for
-    another. What reaches the driver is the first id of each part.
+    The order is cut into parts of about equal size at quantiles of the ids, an id of very many
+    rows by their ties. Each part also gets a copy of the row that follows its last, so texts
+    move once and no part waits for another. What reaches the driver is the place of the
+    first row of each part.
     """
     spark = df.sparkSession
-    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     doc_id = F.col(id_col).cast("long").alias("doc_id")
     order = F.coalesce(doc_id, F.lit(LOWEST_ID))
-    shares = [k / parts for k in range(parts)]
-    quantiles = df.agg(F.percentile_approx(order, shares, max(10_000, 10 * parts))).first()[0]
-    bounds = np.unique(np.array(quantiles or [], np.int64))
-    firsts = _first_ids(df.select(doc_id), bounds)
+    shares = [k / n_parts for k in range(n_parts)]
+    quantiles = df.agg(F.percentile_approx(order, shares, max(10_000, 10 * n_parts))).first()[0]
+    cut = Parts(quantiles or [])
+    tie = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    # Texts are only looked at here if an id has to be cut by them.
+    firsts = _first_rows(df.select(doc_id, (tie if cut.hot else F.lit(0).cast("long")).alias("tie")), cut)
     filled = sorted(firsts)
     # Where a part's first row goes as well: to the end of the filled part before it.
     copies = {firsts[now]: last for last, now in zip([*filled[-1:], *filled], filled)}
-    tie = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    placed = _placed(df.select(doc_id, F.col(text_col), tie.alias("tie")), bounds, copies)
+    placed = _placed(df.select(doc_id, F.col(text_col), tie.alias("tie")), cut, copies)
     sorted_parts = placed.repartition("part").sortWithinPartitions(
         "part", "copied", F.col("doc_id").desc_nulls_last(), "tie"
     )

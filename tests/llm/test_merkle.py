@@ -3,7 +3,10 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from shopledger.llm import merkle
 
@@ -107,6 +110,27 @@ def test_same_as_one_sorted_list(spark, parts):
         )
 
 
+@pytest.mark.parametrize("parts", [1, 6, 40])
+def test_an_id_of_many_rows_is_cut(spark, parts):
+    """A third of the rows has one id, a third none; ties are in the order of their hashes."""
+    docs = [(7, f"seven {k} " * 5) for k in range(60)] + [(None, f"none {k} " * 5) for k in range(60)]
+    docs += [(100 + k, f"other {k} " * 5) for k in range(30)] + [(-k, f"low {k} " * 5) for k in range(1, 31)]
+    docs += [(7, "seven 3 " * 5)] * 3
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = merkle.edit_likeness(df.repartition(4), parts=parts).collect()
+    tie = {t: np.array(xxhash.xxh64_intdigest(t, 42), np.uint64).astype(np.int64).item() for _, t in docs}
+    ordered = sorted(docs, key=lambda d: (d[0] is None, -(d[0] or 0), tie[d[1]]))
+    want = []
+    for (i, text), (_, following) in zip(ordered, ordered[1:] + ordered[:1]):
+        half = len(text) // 2
+        edited = (text[: len(text) - half] + following[:half]).encode()
+        want.append((str(i), merkle.fingerprint(text.encode()), hashlib.sha256(edited).hexdigest()))
+    assert sorted((str(r.doc_id), r.fingerprint, r.edited_sha256) for r in rows) == sorted(want)
+    cut = merkle.Parts([7] * 4 + [9])
+    found = cut.of(pa.array([7] * 100), pa.array([(k << 57) - (1 << 63) for k in range(100)]))[1]
+    assert found.tolist() == sorted(found.tolist()) and len(set(found.tolist())) == 4
+
+
 def test_one_row_and_none(spark):
     df = spark.createDataFrame([(1, "abcd")], "doc_id long, text string")
     row = merkle.edit_likeness(df).first()

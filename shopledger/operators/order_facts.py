@@ -77,19 +77,20 @@ def returns_by_order(
     """Return requests up to the cutoff and the cost of the goods that came back.
 
     A return row counts once per item row carrying its item id (once if there is
-    none). The items are collapsed to how many share an id and what they cost
-    together, so copies of an id are multiplied out by arithmetic, not by
-    joining every pair. Only items that were returned go on from there.
+    none). Only items that were returned are kept: their rows meet the returned ids
+    as they are, as few share an id. They are collapsed to how many share an id and
+    what they cost together, so copies of an id are multiplied out by arithmetic, not
+    by joining every pair.
     """
     status, quantity = F.col("return_status"), F.col("returned_quantity")
     refund = cents(F.col("refund_amount_uah"))
     completed = status == "completed"
-    item_copies = order_items.groupBy("order_item_id").agg(
-        F.count("*").alias("copies"), F.sum(cents(F.col("unit_cost_uah"))).alias("unit_costs")
-    )
     requests = returns.filter(on_or_before(F.col("return_request_ts"), cfg.cutoff))
     returned = requests.select("order_item_id").distinct()
-    item_copies = item_copies.join(returned, "order_item_id", "left_semi")
+    items = order_items.join(returned, "order_item_id", "left_semi")
+    item_copies = items.groupBy("order_item_id").agg(
+        F.count("*").alias("copies"), F.sum(cents(F.col("unit_cost_uah"))).alias("unit_costs")
+    )
     matched = left_join_spread(
         requests, item_copies, "order_item_id", "order_id", "return_request_ts"
     )

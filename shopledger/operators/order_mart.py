@@ -184,6 +184,18 @@ def with_customers(orders: DataFrame, customers: DataFrame, cfg: AnalysisConfig)
     )
 
 
+def rows_of_orders(rows: DataFrame, orders: DataFrame) -> DataFrame:
+    """The rows that belong to any of the orders, to be aggregated by order.
+
+    They meet the ids of the orders before they are aggregated, so they cross one shuffle as they
+    are and are grouped where they lie, by order and any finer key. Combining them before the
+    shuffle would keep about every row of a task in its hash table, where few rows share a key, and
+    spill it; AQE splits a hot order at this join.
+    """
+    wanted = orders.select(F.col("order_id").alias("wanted_order_id"))
+    return rows.join(wanted, rows["order_id"] == wanted["wanted_order_id"], "left_semi")
+
+
 def facts_of_orders(*facts: DataFrame) -> DataFrame:
     """Order-grain aggregates as one row for each order that has any; absent measures are NULL.
 
@@ -229,10 +241,11 @@ def with_zero_filled_measures(orders: DataFrame) -> DataFrame:
 def order_base(tables: ShopTables, cfg: AnalysisConfig) -> DataFrame:
     """Orders of the window with customer, labels, flags and zero-filled measures."""
     orders = orders_in_window(tables.orders, cfg)
+    items = rows_of_orders(tables.order_items, orders)
     orders = with_customers(orders, tables.customers, cfg)
     orders = with_order_facts(
         orders,
-        items_by_order(tables.order_items),
+        items_by_order(items),
         payments_by_order(tables.payments, cfg),
         returns_by_order(tables.returns, tables.order_items, cfg),
     )

@@ -9,8 +9,8 @@ import __spark_entry__ as entry_points
 from shopledger.config import AnalysisConfig
 from shopledger.functions.frames import left_join_spread
 from shopledger.operators import drivers, kpis
-from shopledger.operators.order_facts import returns_by_order
-from shopledger.operators.order_mart import order_level_mart, with_order_facts
+from shopledger.operators.order_facts import items_by_order, returns_by_order
+from shopledger.operators.order_mart import order_level_mart, rows_of_orders, with_order_facts
 from shopledger.sources.sample_shop import sample_tables
 from shopledger.sources.sinks import read_mart, write_mart
 from shopledger.sources.tables import read_tables, tables_under
@@ -78,6 +78,34 @@ def test_mart_moves_orders_twice_and_facts_once(large, stored):
     assert "FullOuter" not in plan
 
 
+@pytest.mark.parametrize(
+    "name", ["order_level_mart_sorted", "region_summary_export", "category_summary_export"]
+)
+def test_stored_mart_combines_no_items_before_their_shuffle(large, stored, monkeypatch, name):
+    """Few lines share a product of an order, or an item id: a hash table of them spills.
+
+    So items cross a shuffle as they are, and only those of the window's orders, or of returned
+    ids, are grouped behind it.
+    """
+    plans = []
+    monkeypatch.setattr("shopledger.plans.registry.write_mart", lambda m, _: plans.append(m))
+    monkeypatch.setattr("shopledger.plans.registry._STORED", {})
+    monkeypatch.setattr("shopledger.plans.registry.read_mart", lambda *_: plans[0])
+    entry_points.queries()[name](large, SF_DIR)
+    plan = plan_of(plans[0])
+    assert not re.search(r"Exchange hashpartitioning\(order_id#\d+L, product_id", plan)
+    semi = [line for line in plan.split("\n") if "LeftSemi" in line]
+    assert sorted(re.search(r"\[(\w+)#", line).group(1) for line in semi) == [
+        "order_id",
+        "order_item_id",
+    ]
+    for key, line in (("order_id", semi[0]), ("order_item_id", semi[1])):
+        assert key in line
+        left = plan[plan.index(line) :].split("\n")[1:4]
+        assert "Sort [" in left[0] and "Exchange hashpartitioning" in left[1]
+        assert "Aggregate" not in left[2] and "Project" in left[2]
+
+
 def test_order_flag_reads_items_alone(large):
     plan = plan_of(entry_points.queries()["has_items_flag"](large, SF_DIR))
     assert len(re.findall(r"Exchange hashpartitioning\(order_id#\d+L, 4\)", plan)) == 1
@@ -197,6 +225,32 @@ def test_hot_order_of_the_mart_is_split(skewed, hot):
     assert max(sizes) < 2.5 * sum(sizes) / len(sizes)
 
 
+def test_hot_order_of_the_items_is_split(skewed):
+    """A third of the items under one order, and some under none, an unknown or a repeated one."""
+    items = skewed.range(0, 300_000, 1, 8).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 7L WHEN id % 30 = 1 THEN NULL ELSE id END AS order_id",
+        "xxhash64(id) AS product_id",
+        "CAST(1 AS INT) AS quantity",
+        "CAST(3 AS DECIMAL(18,2)) AS unit_price_uah",
+        "CAST(2 AS DECIMAL(18,2)) AS unit_cost_uah",
+        "CAST(1 AS DECIMAL(18,2)) AS item_discount_uah",
+    )
+    orders = skewed.range(0, 150_000, 1, 8).selectExpr("if(id = 9, 7L, id) AS order_id")
+    wanted = items.join(orders.distinct(), "order_id")
+    kept = rows_of_orders(items, orders)
+    assert kept.columns == items.columns
+    found, expected = items_by_order(kept), items_by_order(wanted)
+    assert found.exceptAll(expected).count() == expected.exceptAll(found).count() == 0
+    assert found.filter("order_id = 7").first().order_lines_count == 100_001
+    assert found.filter("order_id IS NULL OR order_id >= 150000").count() == 0
+    counted = kept.groupBy(F.spark_partition_id().alias("p")).agg(
+        F.count("*").alias("n"), F.max("product_id")
+    )
+    sizes = [row.n for row in counted.collect()]
+    assert "skew=true" in plan_of(counted)
+    assert max(sizes) < 60_000
+
+
 def test_copies_of_an_item_are_not_paired(skewed):
     """A third of items and returns share one id: 10,000 x 100,000 pairs must not appear."""
     items = skewed.range(30_000).select(

@@ -14,8 +14,9 @@ have a heap each.
 No piece of the vocabularies handled has a space mark after another character, or a line
 break (both checked when a vocabulary is loaded), so merges never cross into a new word or
 line, nor from a letter to a mark of punctuation that follows none in any piece. Texts are
-cut there, and each worker remembers the words it has worked out. It forgets words that were
-not met again among the last ones, so its memory stays bounded.
+cut there, with plain spaces for the marks, and each worker remembers the words it has worked out,
+a word as two flat objects. It forgets words that were not met again among the last ones, so
+its memory stays bounded; new words are worked out some at a time, for the same reason.
 
 Every word that is worked out is also given to the sentencepiece library, many at a time;
 a difference raises. The library decodes the ids.
@@ -28,9 +29,10 @@ from __future__ import annotations
 import gc
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import accumulate, chain
 from operator import add
 
 import numpy as np
@@ -46,6 +48,8 @@ WORD_MEMORY = 250_000
 REMEMBERED_LENGTH = 40
 # Characters of the texts that are worked on at once.
 SLICE_CHARS = 1_000_000
+# Characters of new words that are worked out at once: some ten arrays of as many numbers.
+NEW_WORD_CHARS = 100_000
 
 # Kinds of pieces in the model format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -60,7 +64,7 @@ PLACES = (1 << PLACE_BITS) - 1
 
 
 def _word_pattern(pieces: Iterable[str]) -> re.Pattern:
-    """Parts of an escaped text that merges never leave.
+    """Parts that merges never leave, of a text with spaces for the space marks.
 
     Cuts are before space marks, around line breaks, and between a word character and a mark
     of punctuation, if no piece has any such two characters together: marks that follow
@@ -73,8 +77,8 @@ def _word_pattern(pieces: Iterable[str]) -> re.Pattern:
     joined = {p[0] for p in pairs if p[1] in marks and re.match(r"\w", p[0])}
     some = re.escape("".join(marks)) or "\n"
     free = rf"[^\W{re.escape(''.join(sorted(joined)))}]"
-    body = f"[^{SPACE}\n](?:[^{SPACE}\n{some}]++|(?<!{free})[{some}])*+"
-    return re.compile(f"\n|{SPACE}+(?:{body})?|{body}")
+    body = f"[^ \n](?:[^ \n{some}]++|(?<!{free})[{some}])*+"
+    return re.compile(f"\n| +(?:{body})?|{body}")
 
 
 class PairTable:
@@ -278,11 +282,12 @@ class Vocabulary:
         return self.encode_escaped(SPACE + text.replace(" ", SPACE)) if text else []
 
 
-Coded = tuple[tuple[int, ...], str]  # ids, and the same as decimals joined by commas
+Coded = tuple[list[int], bytes]  # ids, and the same packed
+PACKED = "i"
 
 
 class Recent:
-    """Two generations of at most ``limit`` strings with their ids.
+    """Two generations of at most ``limit`` strings with their packed ids.
 
     Strings of the older one that are met again move to the younger; when that is full, it
     becomes the older one. Long strings are left out.
@@ -290,8 +295,8 @@ class Recent:
 
     def __init__(self, limit: int):
         self.limit = limit
-        self.young: dict[str, Coded] = {}
-        self.old: dict[str, Coded] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.long: list[str] = []
 
     def missing(self, strings: set[str]) -> list[str]:
@@ -299,7 +304,7 @@ class Recent:
         young.update({s: old[s] for s in strings if s in old and s not in young})
         return [s for s in strings if s not in young]
 
-    def add(self, new: dict[str, Coded]) -> None:
+    def add(self, new: dict[str, bytes]) -> None:
         self.young.update(new)
         self.long += [s for s in new if len(s) > REMEMBERED_LENGTH]
 
@@ -311,8 +316,9 @@ class Recent:
             self.young, self.old = {}, self.young
 
 
-def _together(parts: list[Coded]) -> Coded:
-    return tuple(chain.from_iterable([ids for ids, _ in parts])), ",".join([x for _, x in parts])
+def _together(parts: list[bytes]) -> Coded:
+    packed = b"".join(parts)
+    return array(PACKED, packed).tolist(), packed
 
 
 class WordMemory:
@@ -321,30 +327,32 @@ class WordMemory:
     def __init__(self, vocabulary: Vocabulary, words: int = WORD_MEMORY):
         self.vocabulary, self.words = vocabulary, Recent(words)
 
-    def worked_out(self, parts: list[str]) -> dict[str, Coded]:
+    def worked_out(self, parts: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        for some in _slices(iter(parts), NEW_WORD_CHARS):
+            out.update(zip(some, self._packed(some)))
+        return out
+
+    def _packed(self, parts: list[str]) -> Iterator[bytes]:
         vocabulary = self.vocabulary
-        found = vocabulary.encode_words(parts)
+        found = vocabulary.encode_words([w.replace(" ", SPACE) for w in parts])
         # The library puts a space mark in front: a part that has one goes without it, another
         # goes after a line break, and the ids of mark and break are left out again.
-        plain = [(w[1:] if w[0] == SPACE else "\n" + w).replace(SPACE, " ") for w in parts]
+        plain = [w[1:] if w[0] == " " else "\n" + w for w in parts]
         expected = vocabulary.library.encode(plain, num_threads=1)
         for part, own, ids in zip(parts, found, expected):
-            if own != (ids if part[0] == SPACE else ids[2:]) and part != SPACE:
+            if own != (ids if part[0] == " " else ids[2:]) and part != " ":
                 raise ValueError(f"agenda and library differ on {part!r}")
-        decimals = vocabulary.decimals
-        return {
-            part: (tuple(ids), ",".join([decimals[i] for i in ids]))
-            for part, ids in zip(parts, found)
-        }
+            yield array(PACKED, own).tobytes()
 
-    def encode(self, texts: list[str]) -> list[Coded]:
+    def encode(self, texts: list[str]) -> Iterator[Coded]:
         parts_of, words = self.vocabulary.word.findall, self.words
-        cut = [parts_of(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        cut = [parts_of(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
         words.add(self.worked_out(words.missing(set(chain.from_iterable(cut)))))
         at = words.young
-        out = [_together([at[p] for p in mine]) for mine in cut]
+        for mine in cut:
+            yield _together([at[p] for p in mine])
         words.settle()
-        return out
 
 
 _MEMORIES: dict[str, WordMemory] = {}
@@ -377,6 +385,14 @@ def _sha256(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def _lists(packed: list[bytes]) -> pa.ListArray:
+    """Packed ids of the rows of a batch, as one array of numbers and where each row's begin."""
+    width = array(PACKED).itemsize
+    starts = accumulate((len(ids) // width for ids in packed), initial=0)
+    numbers = np.frombuffer(b"".join(packed), PACKED)
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(numbers, pa.int32()))
+
+
 def _coded(df: DataFrame, path: str, id_col: str, text_col: str, digests: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = memory_of(path)
@@ -389,28 +405,25 @@ def _coded(df: DataFrame, path: str, id_col: str, text_col: str, digests: bool)
             gc.enable()
 
     def rows_of(batches, memory, decode) -> Iterator[pa.RecordBatch]:
+        decimal = memory.vocabulary.decimals.__getitem__
         for batch in batches:
             columns: list[list] = [[], [], []]
             texts = (text.decode() for text in row_bytes(batch.column(1)))
             for part in _slices(texts, SLICE_CHARS):
-                coded = memory.encode(part)
-                decoded = decode([list(ids) for ids, _ in coded], num_threads=1)
-                if digests:
-                    columns[0] += [len(ids) for ids, _ in coded]
-                    columns[1] += [_sha256(joined) for _, joined in coded]
-                    columns[2] += [_sha256(text) for text in decoded]
-                else:
-                    columns[0] += [ids for ids, _ in coded]
-                    columns[1] += decoded
+                for ids, packed in memory.encode(part):
+                    if digests:
+                        columns[0].append(len(ids))
+                        columns[1].append(_sha256(",".join(map(decimal, ids))))
+                        columns[2].append(_sha256(decode(ids)))
+                    else:
+                        columns[0].append(packed)
+                        columns[1].append(decode(ids))
             if digests:
                 arrays = [pa.array(columns[0], pa.int64())]
                 arrays += [pa.array(c, pa.string()) for c in columns[1:]]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             else:
-                arrays = [
-                    pa.array(columns[0], pa.list_(pa.int32())),
-                    pa.array(columns[1], pa.string()),
-                ]
+                arrays = [_lists(columns[0]), pa.array(columns[1], pa.string())]
                 names = ["doc_id", "ids", "decoded"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names)
 

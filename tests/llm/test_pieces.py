@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -67,6 +68,23 @@ def test_words_are_the_whole_text(library):
     assert all(len(x) < 1000 for x in (memory.words.young, memory.words.old))
 
 
+def test_remembered_words_are_small():
+    rng = random.Random(8)
+    memory = pieces.WordMemory(pieces.Vocabulary(PATH))
+    texts = [" ".join("".join(rng.choices("aeioutnrslkm", k=7)) for _ in range(200)) for _ in range(300)]
+    tracemalloc.start()
+    try:
+        for _ in memory.encode(texts):
+            pass
+        held, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    words = len(memory.words.young)
+    assert words > 50_000
+    assert held < 200 * words
+    assert most < 600 * words
+
+
 def test_rows(spark, library):
     rows = [*enumerate(TEXTS), (3, "again"), (3, "again"), (None, "no id"), (99, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as ids", "2 as n_tokens")
